@@ -305,3 +305,30 @@ def ids_array(ids: Column) -> Column:
         return pa.array([None if x is None else np.frombuffer(x, "<u4").astype("i4") for x in batch.to_pylist()], pa.list_(pa.int32()))
 
     return _udf(unpack, "array<int>")(ids)
+
+
+class FastByteBpe(ByteBpe):
+    """The same vocabulary with tiktoken's merging of single pieces, for callers that need ids and not the method.
+
+    Exact where merge ranks and ids rise together: two symbols that stand side by
+    side once all lower ranks are merged are then the one listed pair of their
+    concatenation.  Other vocabularies keep the heap.
+    """
+
+    def __init__(self, path: str, memo: int = MEMO_WORDS):
+        super().__init__(path, memo)
+        if all(a < b for a, b in zip([max(self.byte_id), *self.made], self.made)):
+            import tiktoken
+
+            ranks = {b: i for i, b in enumerate(self.bytes_of) if b and i <= self.made[-1]} if self.made else {}
+            if len(ranks) == len(self.made) + 256:
+                self.merged = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
+_fast: dict[str, FastByteBpe] = {}
+
+
+def opened_fast(path: str) -> FastByteBpe:
+    if path not in _fast:
+        _fast[path] = FastByteBpe(path)
+    return _fast[path]

@@ -6,7 +6,11 @@ from . import queries_text as text
 
 QUERIES = {
     "op2_bpe_round_trip": text.op2_bpe_round_trip,
+    "op3_best_fit_packing": text.op3_best_fit_packing,
+    "op7_media_columns": text.op7_media_columns,
+    "op8_language_id": text.op8_language_id,
     "op9_token_counts": text.op9_token_counts,
+    "op10_quality_rules": text.op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
