@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import queries_corpus as corpus
 from . import queries_text as text
 
 QUERIES = {
+    "op1_line_dedup": corpus.op1_line_dedup,
     "op2_bpe_round_trip": text.op2_bpe_round_trip,
     "op3_best_fit_packing": text.op3_best_fit_packing,
     "op7_media_columns": text.op7_media_columns,
@@ -13,4 +15,6 @@ QUERIES = {
     "op10_quality_rules": text.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": corpus.OP1_SQL,
+}
