@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines
+from . import lines, pii
 from .tables import documents
 
 
@@ -42,3 +42,7 @@ SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed
        sha256(coalesce(k.kept, '')) AS kept_sha256, length(coalesce(k.kept, ''))::BIGINT AS n_kept_chars
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir, "doc_id", "text")).drop("text")
