@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, pii
+from . import jaccard, lines, pii
 from .tables import documents
 
 
@@ -46,3 +46,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir, "doc_id", "text")).drop("text")
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir, "doc_id", "text"))
