@@ -11,6 +11,7 @@ QUERIES = {
     "op3_best_fit_packing": text.op3_best_fit_packing,
     "op4_pii": corpus.op4_pii,
     "op5_ngram_jaccard_join": corpus.op5_ngram_jaccard_join,
+    "op6_suffix_dedup": corpus.op6_suffix_dedup,
     "op7_media_columns": text.op7_media_columns,
     "op8_language_id": text.op8_language_id,
     "op9_token_counts": text.op9_token_counts,
