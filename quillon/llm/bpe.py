@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import appended
+
 MEMO_WORDS = 250_000
 LONGEST_MEMO = 48
 
@@ -252,45 +254,35 @@ def _udf(fn, returns):
     return F.arrow_udf(fn, returnType=returns)
 
 
-def encode_column(text: Column, path: str) -> Column:
-    """Struct (n_tokens, ids): ids packed as little-endian u32, so that a digest or a slice stays in the JVM."""
+def count_column(text: Column, path: str) -> Column:
+    """Number of tokens, without making them."""
 
-    def encode(batch: pa.Array) -> pa.Array:
+    def count(batch: pa.Array) -> pa.Array:
         bpe = opened(path)
-        ids = [bpe.encode(t) for t in batch.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([len(i) >> 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"])
+        return pa.array([bpe.count(t) for t in batch.to_pylist()], pa.int64())
 
-    return _udf(encode, "n_tokens long, ids binary")(text)
+    return _udf(count, "long")(text)
 
 
-def decode_column(ids: Column, path: str) -> Column:
-    """Text of packed ids."""
+def encode(df: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``n_tokens`` and ``ids``, packed as little-endian u32 so that a digest or a slice stays in the JVM; columns of these names are replaced."""
 
-    def decode(batch: pa.Array) -> pa.Array:
+    def make(texts: pa.Array) -> list[pa.Array]:
         bpe = opened(path)
-        return pa.array([None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.to_pylist()], pa.string())
+        ids = [bpe.encode(t) for t in texts.to_pylist()]
+        return [pa.array([len(i) >> 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-    return _udf(decode, "string")(ids)
+    return appended(df, make, text, "n_tokens long, ids binary", drop)
 
 
-def count_column(text: Column, path: str) -> Column:
-    """Number of tokens, without making them."""
+def decode(df: DataFrame, path: str, ids: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``decoded``, the text of packed ids (null for null), replacing a column of that name."""
 
-    def count(batch: pa.Array) -> pa.Array:
+    def make(packed: pa.Array) -> list[pa.Array]:
         bpe = opened(path)
-        return pa.array([bpe.count(t) for t in batch.to_pylist()], pa.int64())
-
-    return _udf(count, "long")(text)
-
-
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``n_tokens`` and ``ids`` (packed u32); columns of these names are replaced, all others stay."""
-    return df.withColumn("_bpe", encode_column(F.col(text), path)).withColumn("n_tokens", F.col("_bpe.n_tokens")).withColumn("ids", F.col("_bpe.ids")).drop("_bpe")
-
+        return [pa.array([None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in packed.to_pylist()], pa.string())]
 
-def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``, replacing a column of that name."""
-    return df.withColumn("decoded", decode_column(F.col(ids), path))
+    return appended(df, make, ids, "decoded string", drop)
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 512, text: str = "text") -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import appended
+
 RATE = 8000
 BLOCK = 64
 UNKNOWN = "application/octet-stream"
@@ -244,34 +246,25 @@ def features(samples: bytes) -> str:
     return f"audio/wav;rate={RATE};n={n};mean_milli={1000 * total // n};var_milli={1000 * (n * squares - total * total) // (n * n)};crossings={int((side[1:] != side[:-1]).sum())};peak={int(x.max())}"
 
 
-def store(df: DataFrame, text: str = "text") -> DataFrame:
+def store(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``media``, the stored form of the UTF-8 text (null: empty)."""
-
-    @F.arrow_udf("binary")
-    def stored(batch: pa.Array) -> pa.Array:
-        return pa.array([store_bytes((t or "").encode()) for t in batch.to_pylist()], pa.binary())
-
-    return df.withColumn("media", stored(text))
+    return appended(df, lambda texts: [pa.array([store_bytes((t or "").encode()) for t in texts.to_pylist()], pa.binary())], text, "media binary", drop)
 
 
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds media_type and, of the bytes read back, payload_bytes, payload_sha256, tail_crc32 and feature."""
-    schema = "media_type string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    names = [c.split()[0] for c in schema.split(", ")]
+    """Adds media_type and, of the bytes read back, payload_bytes, payload_sha256, tail_crc32 and feature (all null for null media)."""
 
-    @F.arrow_udf(schema)
-    def read(batch: pa.Array) -> pa.Array:
+    def read(values: pa.Array) -> list[pa.Array]:
         rows = []
-        for value in batch.to_pylist():
+        for value in values.to_pylist():
+            if value is None:
+                rows.append((None,) * 5)
+                continue
             kind = next((t for t, s, n in objects(value) if s == 0 and n == len(value)), None)
             if kind != "audio/wav":
                 raise ValueError(f"stored media is {kind or 'unknown'}")
             payload = read_samples(value)
             rows.append((kind, len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-BLOCK:]), features(payload)))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+        return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))]
 
-    out = df.withColumn("_p", read(media))
-    for c in names:
-        out = out.withColumn(c, F.col(f"_p.{c}"))
-    return out.drop("_p")
+    return appended(df, read, media, "media_type string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")

@@ -45,7 +45,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id:
 
     def run(batches):
         bpe = opened_fast(path)
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows: list[list] = [[] for _ in names]
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = bpe.encode(t) + end

@@ -17,7 +17,7 @@ def byte_bpe() -> str:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = byte_bpe()
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path).drop("text"), path)
+    coded = bpe.decode(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path, drop=("text",)), path)
     return coded.select(
         "doc_id",
         "n_tokens",
@@ -38,7 +38,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return media.read_back(media.store(docs).drop("text")).select(
+    return media.read_back(media.store(docs, drop=("text",))).select(
         "doc_id",
         "n_bytes",
         "payload_bytes",

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -28,3 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def appended(df: DataFrame, make: Callable[[pa.Array], list[pa.Array]], column: str, fields: str, drop: tuple[str, ...] = (), rows: int = 256) -> DataFrame:
+    """The columns but for ``drop``, and those that ``make`` computes from ``column``; columns of the new names are replaced.
+
+    Batches go through in slices of a few rows, so that a task never holds the
+    results of a whole Arrow batch.
+    """
+    new = T._parse_datatype_string(fields)
+    names = [f.name for f in new]
+    kept = [c for c in df.columns if c not in names and c not in drop]
+    source = df.select(*(df[c] for c in kept), df[column].alias("_input"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(len(kept)))], [*kept, *names])
+
+    return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new]))
