@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: outside
 ROUNDS = 12
-SURE = 0.9
+SURE = 0.75
 
 _TRIGGER = re.compile(r"[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
