@@ -13,12 +13,12 @@ from ..functions import text as X
 def merge_unique(df: DataFrame, key: str, question: str, order: str | list[str], limit: int) -> DataFrame:
     """(key, questions): the first spelling of each question regardless of case, in order, at most ``limit``."""
     order = [order] if isinstance(order, str) else order
-    rows = df.select(key, X.strip(question).alias("q"), F.struct(*order).alias("o")).where("q is not null and q <> ''")
-    first = rows.groupBy(key, X.casefolded("q").alias("k")).agg(F.min(F.struct("o", "q")).alias("f"))
-    n = F.row_number().over(Window.partitionBy(key).orderBy("f.o"))
-    kept = first.withColumn("n", n).where(F.col("n") <= limit)
-    sets = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("f.q").alias("q")))), lambda s: s["q"]).alias("questions"))
-    return sets
+    rows = df.select(key, X.strip(question).alias("_q"), F.struct(*order).alias("_o")).where("_q is not null and _q <> ''")
+    first = rows.groupBy(key, X.casefolded("_q").alias("_k")).agg(F.min(F.struct("_o", "_q")).alias("_f"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy("_f._o"))
+    kept = first.withColumn("_n", n).where(F.col("_n") <= limit)
+    numbered = F.array_sort(F.collect_list(F.struct("_n", F.col("_f._q").alias("q"))))
+    return kept.groupBy(key).agg(F.transform(numbered, lambda s: s["q"]).alias("questions"))
 
 
 def wide(sets: DataFrame, n: int, questions: str = "questions") -> DataFrame:
