@@ -3,7 +3,7 @@
 What a line is (level, continuation, inline sub-section) is decided in columns; a
 fold per document then does what depends on the lines before: which lines a
 heading takes up, the present hierarchy, and the number of the last article kept.
-A document is one group of ``applyInPandas``, as large as one document.
+Documents are hashed and sorted once and folded as a task meets them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,17 +131,35 @@ def described(lines: DataFrame) -> DataFrame:
 
 
 def extract(lines: DataFrame, source_path: str = "doc") -> DataFrame:
-    """A1: the article table of a line table, an ordered fold per document."""
-    rows = described(lines).withColumn("source", F.col(source_path))
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_no"], kind="stable").astype(object)
-        pdf = pdf.where(pdf.notna(), None)
-        made = articles_of(list(pdf[["page", "text", "level", "continuation", "inline_offset", "inline_heading"]].itertuples(index=False, name=None)))
-        table = [{"document_name": key[0], "pos": i, **a, "source_relative_path": pdf["source"].iloc[0]} for i, a in enumerate(made)]
-        return pd.DataFrame(table, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.groupBy("doc").applyInPandas(fold, SCHEMA)
+    """A1: the article table of a line table, an ordered fold per document.
+
+    Lines are hashed by document and sorted by place, and a task folds one document
+    after the other as they come: no call per group, and no more than one document
+    in memory.
+    """
+    rows = described(lines).withColumn("source", F.col(source_path)).where("doc is not null")
+    placed = rows.repartition("doc").sortWithinPartitions("doc", "page", "line_no")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    fields = ("page", "text", "level", "continuation", "inline_offset", "inline_heading")
+
+    def table(doc: str, source: str, own: list[tuple]) -> pa.RecordBatch:
+        made = [{"document_name": doc, "pos": i, **a, "source_relative_path": source} for i, a in enumerate(articles_of(own))]
+        return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int32() if c == "pos" else pa.string()) for c in names], names)
+
+    def fold(batches):
+        now, source, own = None, None, []
+        for batch in batches:
+            docs, sources = batch.column("doc").to_pylist(), batch.column("source").to_pylist()
+            for doc, path, row in zip(docs, sources, zip(*(batch.column(f).to_pylist() for f in fields))):
+                if doc != now:
+                    if own:
+                        yield table(now, source, own)
+                    now, source, own = doc, path, []
+                own.append(row)
+        if own:
+            yield table(now, source, own)
+
+    return placed.withColumn("doc", F.col("doc").cast("string")).withColumn("source", F.col("source").cast("string")).mapInArrow(fold, SCHEMA)
 
 
 def carry_hierarchy(lines: DataFrame, doc: str = "doc", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
