@@ -50,17 +50,17 @@ SUB_SECTION_START = f"^{S}sous" + one_of(f"{S}[{DASHES}‑]{S}", S1) + "section"
 STRUCTURAL = f"^{S}" + one_of(
     f"livre{S1}{ORDINAL}", f"titre{S1}{ORDINAL}", f"c?hapitre{S1}" + one_of("premier", ROMAN + r"(?:\d{1,2})?", N), "section" + B, SUB_SECTION_START[len(f"^{S}") :]
 )
-LEVEL_WORDS = f"^{S}" + one_of("livre", "titre", "chapitre", "section", r"sous[\s-]?section", "article") + B
+LEVEL_WORDS = f"^{S}" + one_of("article", r"(?:sous[\s-]?)?section", "chapitre", "titre", "livre") + B
 DETERMINER = f"^{S}" + one_of("la", "les?", f"l{APOSTROPHE}", "une?", "aux?") + B
 OF_START = "^" + one_of(f"de(?:{S1}l{APOSTROPHE}?)?", "des", "du", f"d{APOSTROPHE}") + B
 LIVRE = f"^{S}livre{B}"
 TITRE = f"^{S}titre{S1}{ORDINAL}{B}"
 CHAPITRE = f"^{S}c?hapitre{S1}" + one_of("premier", ROMAN + r"(?:\d{1,2})?", N) + B + f"(?:{S}[:：].*)?$"
 SECTION = f"^{S}section{B}"
-GLUED_CHAPTER = f"^{S}(c?hapitre{S1}{ROMAN})" + r"\d{1,2}(\b.*)$"
+GLUED_CHAPTER = f"^{S}(c?hapitre{S1}{ROMAN})" + r"\d{1,2}" + f"({B}.*)$"
 NUMBERED_SUB = f"^{S}" + r"(\d{1,2})" + f"{S}{DASH}{S1}(.+?){S}$"
 INLINE_SUB = B + "sous[ -]?section" + B + f"{S}[:{DASHES}]?{S}"
-NEXT_LEVEL = B + one_of("livre", "titre", "chapitre", "section", "sous[ -]?section", "article") + B
+NEXT_LEVEL = B + one_of("article", "sous[ -]?section", "section", "chapitre", "titre", "livre") + B
 CITATION = B + one_of("article", "dahir", "bulletin", "officiel", "voir", "d[ée]cret", "loi", "pr[ée]cit[ée]e?") + B
 CITATION_OR_CODE = one_of(CITATION, B + "code" + B)
 LEADERS = r"\.{5,}"
@@ -81,7 +81,7 @@ _PAREN_COMMON = [phrase("sont abrogEes"), phrase("dans les cas oU"), "modifi[ée
 PAREN_NOTE_NEAR = PAREN_NOTE + one_of(phrase("lQemploi"), phrase("le ministre"), *_PAREN_COMMON)
 
 LEADING_SUB_TOKEN = f"^{S}" + one_of(
-    r"[.\-–—]" + S + r"\d{1,6}" + f"(?:{S}{QUALIFIER})?" + r"(?:\s*\d{2,3})?",
+    r"[.\-–—]" + S + r"\d{1,6}" + f"(?:{S}{QUALIFIER})?(?:{S}" + r"\d{2,3})?",
     f"{QUALIFIER}{S}" + r"\.?\s*\d{2,3}",
     QUALIFIER + one_of(f"{S}[:：{DASHES}]{S}", r"\s+\(", S1),
 )
@@ -96,16 +96,17 @@ CUTS = (
 ANNOTATION = f"^{S}" + r"\(" + S + "(" + one_of("modifi[ée]", "ajout[ée]", phrase("avant dernier"), "dernier", "paragraphes?", "alin[ée]as?", r"le\s+n[°º]?\d+", phrase("les numEros?")) + f"{S1}[^)]{{0,220}})" + r"\)"
 ANNOTATION_UNOPENED = f"^{S}(" + one_of("modifi[ée]", "ajout[ée]") + f"{S1}[^)]{{0,220}})" + r"\)"
 
-SUFFIX_NOTE = f"^{S}" + r"(?:[.\-–—]\s*)?" + f"({QUALIFIER}){S}" + r"\.?\s*(\d{2,3})\b"
+_ABOVE = r"(\d{2,3})"
+SUFFIX_NOTE = f"^{S}" + r"(?:[.\-–—]\s*)?" + f"({QUALIFIER}){S}[.]?{S}{_ABOVE}{B}"
 SUFFIX_MARK = f"^{S}" + r"(?:[.\-–—]\s*)?" + f"({QUALIFIER})" + one_of(f"{S}[:：{DASHES}]{S1}", r"\s+\(")
 SUFFIX_WORD = f"^{S}" + r"(?:[.\-–—]\s*)?" + f"({QUALIFIER}){S1}(?=[{LETTERS}])"
-SUFFIX_NUMBER = f"^{S}" + r"[.\-–—]" + S + r"(\d{1,6})" + f"(?:{S}({QUALIFIER}))?" + r"(?:\s*(\d{2,3}))?\b"
+SUFFIX_NUMBER = f"^{S}" + r"[.\-–—]" + S + r"(\d{1,6})" + f"(?:{S}({QUALIFIER}))?(?:{S}{_ABOVE})?{B}"
 COMPOUND_QUALIFIED = f"^({N}{S}{QUALIFIER})" + r"\.\d{1,3}$"
 COMPOUND_DASHED = f"^({N}(?:-{N})+)" + r"\.\d{1,3}$"
 
 FOOTER_ONLY = f"^{S}{N}{S}[" + "­" + f"{DASHES}]*{S}$"
-_UNTIL_ITEM = r".*?(?=(?:\s+-\s)|$)"
-CHUNK_MARKERS = ("2.CADRE RELATIF AUX ETABLISSEMENTS DE CREDIT", "LOUANGE A DIEU SEUL", "A décidé ce qui suit")
+_UNTIL_ITEM = f".*?(?=$|{S1}-" + r"\s)"
+CHUNK_MARKERS = ("A décidé ce qui suit", "LOUANGE A DIEU SEUL", "2.CADRE RELATIF AUX ETABLISSEMENTS DE CREDIT")
 CHUNK_NOTES = (
     f"{S}{N}{S1}Publié au Bulletin officiel" + _UNTIL_ITEM,
     f"{S}{N}{S1}Les dispositions de l[’']article" + _UNTIL_ITEM,

@@ -47,9 +47,9 @@ def normalise_heading(c) -> Column:
 def margin_signature(c) -> Column:
     """what recurs in a header or footer when numbers and punctuation change."""
     low = F.lower(normalise_heading(c))
-    for pattern, by in (("(?U)\\d+", "#"), (f"(?U)[\\s{P.DASHES}_]+", " "), ("[^a-zà-öø-ÿ# ]+", "")):
-        low = F.regexp_replace(low, pattern, by)
-    return strip(low)
+    counted = F.regexp_replace(low, "(?U)\\d+", "#")
+    spaced = F.regexp_replace(counted, f"(?U)[\\s{P.DASHES}_]+", " ")
+    return strip(F.regexp_replace(spaced, "[^# a-zà-öø-ÿ]+", ""))
 
 
 def normalise_hierarchy(level: str | Column, c) -> Column:
@@ -235,7 +235,7 @@ def closeness(similarity) -> Column:
     return F.when(s >= 0.6, "very-close").when(s >= 0.45, "close").when(s >= 0.3, "moderate").otherwise("weak")
 
 
-CLOSE_FILTERS = {"off": 0.0, "loose": 0.2, "balanced": 0.35, "strict": 0.5}
+CLOSE_FILTERS = dict(zip(("off", "loose", "balanced", "strict"), (0.0, 0.2, 0.35, 0.5)))
 
 
 def close_threshold(c) -> Column:
@@ -247,7 +247,7 @@ def close_threshold(c) -> Column:
 
 def truth(c) -> Column:
     """F28 of a string column: numbers other than 0 have to be given as numbers."""
-    return F.coalesce(F.lower(strip(_col(c))).isin("1", "true", "yes", "on"), F.lit(False))
+    return F.coalesce(F.lower(strip(_col(c))).isin(*"on yes true 1".split()), F.lit(False))
 
 
 def relative_path(c, *roots: str) -> Column:
@@ -276,7 +276,7 @@ def casefolded(c) -> Column:
     return F.lower(F.upper(_col(c)))
 
 
-PROMPT_FIELDS = ("id", "article_number", "document_name", "livre", "titre", "chapitre", "section", "sous_section", "pages", "content")
+PROMPT_FIELDS = tuple("id article_number document_name livre titre chapitre section sous_section pages content".split())
 
 
 def prompt_record(columns: list[str]) -> Column:

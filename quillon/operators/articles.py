@@ -20,7 +20,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from . import lines as L
 
-LEVELS = ("livre", "titre", "chapitre", "section", "sous_section")
+LEVELS = tuple("livre titre chapitre section sous_section".split())
 SCHEMA = "document_name string, pos int, article_number string, livre string, titre string, chapitre string, section string, sous_section string, pages string, content string, source_relative_path string"
 _ARTICLE = P.python(P.ARTICLE, re.MULTILINE)
 _QUOTED = P.python(P.QUOTED_BEFORE)
@@ -97,7 +97,7 @@ def articles_of(rows: list[tuple]) -> list[dict]:
         if _quoted(text, m.start()) or _restarted(text, m.start(), raw, previous):
             continue
         number, base = N.article_number(raw, previous)
-        stop = matches[i + 1].start() if i + 1 < len(matches) else len(text)
+        stop = next((n.start() for n in matches[i + 1 : i + 2]), len(text))
         stop = next((e[0] for e in events[k:] if m.end() < e[0] < stop), stop)
         body = text[m.end() : stop]
         mark = N.suffix(body)

@@ -21,18 +21,17 @@ from ..functions import vectors as V
 
 def checked(query: str, top_k: int = 5, threshold: float = 0.0, close_filter: str | None = "off", verify_top_n: int = 5) -> float:
     """The effective threshold, or ValueError."""
-    if not query or not query.strip():
-        raise ValueError("query is required")
-    if top_k < 1:
-        raise ValueError("top_k must be at least 1")
-    if math.isnan(threshold) or not 0 <= threshold <= 1:
-        raise ValueError("threshold must be between 0.0 and 1.0")
-    if verify_top_n < 1:
-        raise ValueError("verify_top_n must be at least 1")
-    key = (close_filter or "").strip().lower()
-    if key not in X.CLOSE_FILTERS:
-        raise ValueError("close_filter must be one of: " + ", ".join(X.CLOSE_FILTERS))
-    return max(threshold, X.CLOSE_FILTERS[key])
+    least = X.CLOSE_FILTERS.get(str(close_filter or "").strip().lower())
+    wrong = {
+        "an empty query": not (query and query.strip()),
+        f"top_k below one: {top_k}": top_k < 1,
+        f"a threshold outside 0 to 1: {threshold}": math.isnan(threshold) or not 0 <= threshold <= 1,
+        f"verify_top_n below one: {verify_top_n}": verify_top_n < 1,
+        f"close_filter {close_filter!r}, not one of {', '.join(X.CLOSE_FILTERS)}": least is None,
+    }
+    if any(wrong.values()):
+        raise ValueError("; ".join(what for what, so in wrong.items() if so))
+    return max(threshold, least)
 
 
 def scored(corpus: DataFrame, vector: Sequence[float], embedding: str = "embedding") -> DataFrame:
@@ -50,7 +49,7 @@ def above(df: DataFrame, threshold: float | Column, similarity: str = "similarit
 def search(corpus: DataFrame, vector: Sequence[float], top_k: int = 5, threshold: float = 0.0, order: Sequence[str] = ("source_file", "pos"), embedding: str = "embedding") -> DataFrame:
     """The best hits, ties in the order of the corpus (T1, T2), with closeness_label."""
     if top_k < 1:
-        raise ValueError("top_k must be at least 1")
+        raise ValueError(f"top_k below one: {top_k}")
     hits = above(scored(corpus, vector, embedding), threshold)
     return hits.orderBy(F.desc("similarity"), *order).limit(top_k).withColumn("closeness_label", X.closeness("similarity"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-GROUP = ("document_name", "livre", "titre", "chapitre", "section", "sous_section", "article_number")
+GROUP = tuple("document_name livre titre chapitre section sous_section article_number".split())
 
 
 def assign_ids(df: DataFrame, file: str, order: str | list[str], name: str = "id") -> DataFrame:

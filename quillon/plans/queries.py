@@ -215,7 +215,7 @@ def record_labels(spark: SparkSession, d: str) -> DataFrame:
 
 SPLIT = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL"
 CLEAN = r"trim(regexp_replace(line, '\s+', ' ', 'g'))"
-HEADING = rf"regexp_replace({CLEAN}, '([A-Za-zÀ-ÖØ-öø-ÿ])(\d{{2,3}})$', '\1.\2')"
+HEADING = rf"regexp_replace({CLEAN}, '([a-zA-ZÀ-ÖØ-öø-ÿ])([0-9]{{2,3}})$', '\1.\2')"
 SIGNATURE = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({HEADING}), '\d+', '#', 'g'), '[\s\-–—_]+', ' ', 'g'), '[^a-zà-öø-ÿ# ]+', '', 'g'))"
 PSEUDO = f"""SELECT doc_id, n, CASE WHEN n % 12 = 0 THEN 'Titre ' || (n // 12 + 1) WHEN n % 12 = 1 THEN 'Chapitre ' || (n // 12 + 1)
  WHEN n % 12 = 6 THEN 'Section ' || (n // 12 + 1) || ' : ' || line WHEN n % 3 = 2 THEN 'Article ' || (n // 3 + 1) || ' ' || line ELSE line END AS line FROM ({SPLIT})"""
@@ -308,7 +308,7 @@ def upper_fragments(spark: SparkSession, d: str) -> DataFrame:
 WITH t AS (SELECT doc_id, n, {HEADING} AS t FROM ({SPLIT})), m AS (SELECT doc_id, n, (n % 50) || ' - ' || t AS t FROM t),
 b AS (SELECT doc_id, n, n % 50 AS number, trim(regexp_replace(t, '^\s*[0-9]+\s*[–—-]\s*', '')) AS body FROM m)
 SELECT number >= 30 AS high, CASE WHEN number >= 30 THEN true WHEN body = '' OR regexp_matches(body, '(?i)^(l[''’]|(les?|la|du|des?)([^\pL\d_]|$))') THEN false
-  WHEN regexp_matches(body, '(?i)(^|[^\pL\d_])(article|dahir|bulletin\s+officiel|d[ée]cret|loi|code)([^\pL\d_]|$)')
+  WHEN regexp_matches(body, '(?i)(^|[^\pL\d_])(code|loi|d[ée]cret|bulletin\s+officiel|dahir|article)([^\pL\d_]|$)')
     OR regexp_matches(body, '(?i)^\s*(voir|les\s+dispositions|comparer|m[êe]me\s+remarque|ibid|a\s+comparer)([^\pL\d_]|$)') THEN true ELSE length(body) > 120 END AS note,
   count(*) AS n FROM b GROUP BY ALL""")
 def footnote_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -192,7 +192,7 @@ def read_object(said: str) -> dict:
     said = said.strip()
     tries = [said]
     rows = said.splitlines()
-    if said.startswith("```") and len(rows) > 2 and rows[-1].strip() == "```":
+    if len(rows) > 2 and {rows[0][:3], rows[-1].strip()} == {"```"}:
         tries.append("\n".join(rows[1:-1]).strip())
     a, b = said.find("{"), said.rfind("}")
     if 0 <= a < b:

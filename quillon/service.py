@@ -20,7 +20,7 @@ from .operators import search
 from .providers import Chat, Embedder, HashingEmbedder, read_object, verify_prompt
 from .sources import files
 
-SHOWN = ("document_name", "article_number", "livre", "titre", "chapitre", "section", "sous_section", "pages", "content", "source_relative_path", "embedded_file")
+SHOWN = (*files.ARTICLE_FIELDS, "embedded_file")
 
 
 @dataclass
@@ -49,9 +49,9 @@ class Request:
 
 def truth(value: object) -> bool:
     """F28."""
-    if isinstance(value, str):
-        return value.strip().lower() in ("1", "true", "yes", "on")
-    return bool(value) if isinstance(value, (bool, int, float)) else False
+    if not isinstance(value, str):
+        return isinstance(value, (bool, int, float)) and bool(value)
+    return value.lower().strip() in frozenset("on yes true 1".split())
 
 
 class Engine:
@@ -68,7 +68,7 @@ class Engine:
         hits = search.search(self.corpus, vector, r.top_k, threshold, order)
         shown = [c for c in SHOWN if c in hits.columns]
         results = [row.asDict(recursive=True) for row in hits.select(*shown, "similarity", "closeness_label").collect()]  # top_k rows
-        said = {"enabled": False, "model": r.verify_model, "checked_count": 0, "relevant_count": 0, "overall": "not-run", "explanation": ""}
+        said = dict(enabled=False, model=r.verify_model, checked_count=0, relevant_count=0, overall="not-run", explanation="")
         if r.verify_results and results and self.chat is not None:
             try:
                 said, results = verified(self.chat, r, results)
@@ -90,14 +90,14 @@ def verified(chat: Chat, r: Request, results: list[dict]) -> tuple[dict, list[di
             judge = items.get(k, {})
             try:
                 score = min(1.0, max(0.0, float(judge.get("score", 0))))
-            except (TypeError, ValueError):
+            except (ValueError, TypeError):
                 score = 0.0
-            hit = hit | {"ai_is_relevant": bool(judge.get("is_relevant")), "ai_relevance_score": score, "ai_reason": str(judge.get("reason", ""))[:200]}
+            hit = hit | {"ai_is_relevant": bool(judge.get("is_relevant")), "ai_relevance_score": score, "ai_reason": f"{judge.get('reason') or ''}"[:200]}
         out.append(hit)
     good = sum(h["ai_is_relevant"] for h in out[:n])
     own = str(said.get("overall", "")).strip().lower()
     band = "high" if good >= 0.75 * n else "low" if good <= 0.34 * n else "medium"
-    summary = {"enabled": True, "model": r.verify_model, "checked_count": n, "relevant_count": good, "overall": own if own in ("high", "medium", "low") else band, "explanation": str(said.get("explanation", "")).strip()[:300]}
+    summary = {"enabled": True, "model": r.verify_model, "checked_count": n, "relevant_count": good, "overall": own if own in ("high", "medium", "low") else band, "explanation": f"{said.get('explanation') or ''}".strip()[:300]}
     return summary, out
 
 
@@ -107,7 +107,7 @@ def respond(engine: Engine, method: str, target: str, body: bytes = b"") -> tupl
     if method == "GET" and url.path in ("/", "/index.html"):
         return 200, {"service": "article search", "routes": ["/health", "/search"]}
     if method == "GET" and url.path == "/health":
-        return 200, {"status": "ok", "embeddings_source": engine.source, "file_count": files.file_count(engine.corpus)}
+        return 200, {"file_count": files.file_count(engine.corpus), "embeddings_source": engine.source, "status": "ok"}
     if url.path != "/search" or method not in ("GET", "POST"):
         return 404, {"error": "not found"}
     try:
@@ -126,7 +126,9 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
         def _send(self, status: int, payload: dict | None) -> None:
             raw = b"" if payload is None else json.dumps(payload, ensure_ascii=False).encode()
             self.send_response(status)
-            for name, value in (("Content-Type", "application/json; charset=utf-8"), ("Content-Length", str(len(raw))), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type")):
+            allow = {"Origin": "*", "Methods": "OPTIONS, POST, GET", "Headers": "Content-Type"}
+            headers = {"Content-Length": str(len(raw)), "Content-Type": "application/json;charset=UTF-8"} | {f"Access-Control-Allow-{k}": v for k, v in allow.items()}
+            for name, value in headers.items():
                 self.send_header(name, value)
             self.end_headers()
             self.wfile.write(raw)
@@ -149,9 +151,9 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
 def main(argv: list[str] | None = None, ask: Callable[[str], str] = input) -> None:
     p = argparse.ArgumentParser(description="Search embedded articles.")
     p.add_argument("source", help="JSON file or folder with embedded articles")
-    p.add_argument("-q", "--query")
-    p.add_argument("-k", "--top-k", type=int, default=5)
-    p.add_argument("-t", "--threshold", type=float, default=0.0)
+    p.add_argument("--query", "-q")
+    for flags, kind, usual in (("--top-k -k", int, 5), ("--threshold -t", float, 0.0)):
+        p.add_argument(*flags.split(), type=kind, default=usual)
     p.add_argument("--serve", type=int, metavar="PORT", help="answer HTTP requests instead")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("article-search").getOrCreate()

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-ARTICLE_FIELDS = ("document_name", "article_number", "livre", "titre", "chapitre", "section", "sous_section", "pages", "content", "source_relative_path")
-CHUNK_FIELDS = ("chunk_id", "chunk_index", "chunk_count", "article_number", "document_name", "livre", "titre", "chapitre", "section", "sous_section", "pages", "source_relative_path", "content")
+ARTICLE_FIELDS = tuple("document_name article_number livre titre chapitre section sous_section pages content source_relative_path".split())
+CHUNK_FIELDS = tuple("chunk_id chunk_index chunk_count article_number document_name livre titre chapitre section sous_section pages source_relative_path content".split())
 
 
 def json_items(spark: SparkSession, path: str, strict: bool = True, pattern: str | None = None, recursive: bool = False) -> DataFrame:
