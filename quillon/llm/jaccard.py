@@ -30,6 +30,7 @@ from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from .tables import written
 
 TILE = 256
 BUCKET = 512
+SKETCH_BITS = 1024
 BLOOM_BITS = 1 << 23
 _U = np.uint64
 _NEED = 15  # the low bits of a class id hold how many common blocks it needs
@@ -231,6 +233,29 @@ def _tile_links(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, t: Fr
     return t.denominator * both >= t.numerator * (sizes[i] + sizes[j] - both)
 
 
+def _compact(key: np.ndarray, owner: np.ndarray, targets: int):
+    """Blobs of five bytes a key (the target holds the rest; a chance meeting is one more pair to check) and runs of classes, compressed."""
+    target = X.target_of(key, targets)
+    order = np.argsort(target, kind="stable")
+    key, owner, target = key[order], owner[order], target[order]
+    at = X.runs(target)
+    for t, a, z in zip(target[at].tolist(), at.tolist(), np.append(at[1:], len(target)).tolist()):
+        first = X.runs(owner[a:z])
+        runs = np.concatenate([owner[a:z][first], np.diff(first, append=z - a).astype(np.uint64)])
+        low = np.ascontiguousarray(key[a:z]).view(np.uint8).reshape(-1, 8)[:, :5]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t], pa.int32()), pa.array([0], pa.int32()), pa.array([low.tobytes()], pa.binary()), pa.array([zstandard.compress(runs.tobytes(), 1)], pa.binary())],
+            ["target", "kind", "key", "cls"],
+        )
+
+
+def _expanded(key: bytes, cls: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low = np.zeros((len(key) // 5, 8), np.uint8)
+    low[:, :5] = np.frombuffer(key, np.uint8).reshape(-1, 5)
+    names, times = np.frombuffer(zstandard.decompress(cls), "<u8").reshape(2, -1)
+    return low.view("<u8").ravel(), np.repeat(names, times.astype(np.int64))
+
+
 def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> DataFrame:
     """Blobs of block keys (kind 0) and a row per document (kind 1: key is the set's size) by target."""
     targets = X.targets(df.sparkSession)
@@ -251,11 +276,10 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> Data
                 cls[at.astype(np.int64)], size[at.astype(np.int64)] = c, s
             if keys:
                 key, owner = np.concatenate(keys), np.concatenate(owners)
-                order = np.lexsort((owner, key))
+                order = np.lexsort((key, owner))
                 key, owner = key[order], owner[order]
-                at = X.runs(key, owner)  # copies within the batch send their blocks once
-                key, owner = key[at], owner[at]
-                yield from X.blobs(0, key, {"key": key, "cls": owner}, targets)
+                at = X.runs(owner, key)  # copies within the batch send their blocks once
+                yield from _compact(key[at], owner[at], targets)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([size.astype("<i8").tobytes()], pa.binary()), pa.array([np.stack([cls.view(np.int64), ids]).tobytes()], pa.binary())],
                 ["target", "kind", "key", "cls"],
@@ -274,10 +298,11 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     def settle(batches):
         keys, owners = [], []
         for batch in batches:
-            for kind, key, cls in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), batch.column("cls").to_pylist()):
+            for target, kind, key, cls in zip(*(batch.column(c).to_pylist() for c in ("target", "kind", "key", "cls"))):
                 if kind == 0:
-                    keys.append(np.frombuffer(key, "<u8"))
-                    owners.append(np.frombuffer(cls, "<u8"))
+                    low, own = _expanded(key, cls)
+                    keys.append(low ^ _U(target << 40))
+                    owners.append(own)
                 else:
                     size = np.frombuffer(key, "<i8")
                     c, ids = np.frombuffer(cls, "<i8").reshape(2, -1)
@@ -318,19 +343,8 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     needed = F.least(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
     pairs = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= needed).select("a", "b"), "pairs")
 
-    # tiles of neighbours
-    near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-    near = near.select(F.col("a").alias("cls"), F.least("a", "b").alias("lead"))
-    sides = near.groupBy("lead").agg(F.ceil(F.count("*") / TILE).alias("s"))
-    tile = near.join(sides, "lead").select("cls", F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.col("s"))).alias("tile"))
-    tile = written(tile, "tiles")
-    ta, tb = tile.select(F.col("cls").alias("a"), F.col("tile").alias("ta")), tile.select(F.col("cls").alias("b"), F.col("tile").alias("tb"))
-    placed = pairs.join(ta, "a").join(tb, "b").select(F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"), "a", "b")
-    placed = written(placed, "placed")
-    wanted = placed.select("tile", F.explode(F.array("a", "b")).alias("cls")).distinct()
-
     # whole sets of one document of each class that has a candidate
-    chosen = wanted.select("cls").distinct().join(classes, "cls").select("cls", "rep")
+    chosen = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", "rep")
     chosen = written(chosen, "chosen")
     bloom = _bloom(chosen.where("rep is not null").select("rep"))
 
@@ -351,30 +365,61 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
             for first, row, element in shingles(batch.column(1), n):
                 for r, start, end in _slices(row):
                     own = element[start:end]
-                    size = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(cls[first + r])]), pa.array([own.tobytes()], pa.binary()), pa.array([size], pa.int32())], ["cls", "elements", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(cls[first + r])]), pa.array([own.tobytes()], pa.binary()), pa.array([_parity(own)], pa.binary())], ["cls", "elements", "sketch"])
+
+    # a wide sketch of each set goes first: most pairs that are not similar end there, and whole sets needn't follow
+    sets = written(texts.mapInArrow(whole, "cls long, elements binary, sketch binary"), "sets")
 
-    sets = texts.mapInArrow(whole, "cls long, elements binary, size int").dropDuplicates(["cls"])
-    sets = sets.join(wanted, "cls").select("tile", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
-    rows = sets.union(placed.select("tile", "a", "b", F.lit(None).cast("binary"))).repartition(targets, "tile")
+    def near_sketches(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        place = {c: k for k, c in enumerate(payload)}
+        raw = [np.frombuffer(x, "<u8") for x in payload.values()]
+        bits, sizes = np.stack([x[1:] for x in raw]), np.array([int(x[0]) for x in raw])
+        i, j = (np.array([place[c] for c in x.tolist()]) for x in (a, b))
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        return (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (sizes[i] + sizes[j])
+
+    def near_sets(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _tile_links({c: np.frombuffer(x, "<u8") for c, x in payload.items()}, a, b, t)
+
+    close = _in_tiles(pairs, sets.select("cls", F.col("sketch").alias("payload")), near_sketches, targets)
+    return {"documents": documents, "classes": classes, "links": _in_tiles(close, sets.select("cls", F.col("elements").alias("payload")), near_sets, targets)}
+
+
+def _parity(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """The set's size and the parity of the elements that hash to each of the bits; the Hamming distance of two never exceeds the symmetric difference."""
+    odd = np.bincount((W.mix(elements + W.STEPS[2]) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.uint64(len(elements)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _in_tiles(pairs: DataFrame, payload: DataFrame, judge, targets: int) -> DataFrame:
+    """The pairs that ``judge`` finds similar, written.  A class is tiled by its least neighbour, in sub-tiles of about TILE; its payload goes once to each tile with a pair of its own."""
+    near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    near = near.select(F.col("a").alias("cls"), F.least("a", "b").alias("lead"))
+    sides = near.groupBy("lead").agg(F.ceil(F.count("*") / TILE).alias("s"))
+    tile = written(near.join(sides, "lead").select("cls", F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.col("s"))).alias("tile")), "tiles")
+    ta, tb = tile.select(F.col("cls").alias("a"), F.col("tile").alias("ta")), tile.select(F.col("cls").alias("b"), F.col("tile").alias("tb"))
+    placed = pairs.join(ta, "a").join(tb, "b").select(F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"), "a", "b")
+    placed = written(placed, "placed")
+    wanted = placed.select("tile", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sent = payload.join(wanted, "cls").select("tile", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+    rows = sent.union(placed.select("tile", "a", "b", F.lit(None).cast("binary"))).repartition(targets, "tile")
 
     def verify(batches):
-        sets: dict[int, dict[int, np.ndarray]] = {}
-        pairs: dict[int, list] = {}
+        sets: dict[int, dict[int, bytes]] = {}
+        asked: dict[int, list] = {}
         for batch in batches:
             for tile, a, b, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if raw is None:
-                    pairs.setdefault(tile, []).append((a, b))
+                    asked.setdefault(tile, []).append((a, b))
                 else:
-                    sets.setdefault(tile, {})[a] = np.frombuffer(raw, "<u8")
-        for tile, own in pairs.items():
+                    sets.setdefault(tile, {})[a] = raw
+        for tile, own in asked.items():
             a, b = np.array(own).T
-            good = _tile_links(sets.pop(tile), a, b, t)
+            good = judge(sets.pop(tile), a, b)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    links = written(rows.mapInArrow(verify, "a long, b long"), "links")
-    return {"documents": documents, "classes": classes, "links": links}
+    return written(rows.mapInArrow(verify, "a long, b long"), "links")
 
 
 def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame:
