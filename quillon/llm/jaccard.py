@@ -264,6 +264,7 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> Data
         for batch in batches:
             ids = X.ids(batch.column(0))
             classes, numbers, keys, owners = [], [], [], []
+            parities: dict[int, bytes] = {}
             for first, row, element in shingles(batch.column(1), n):
                 rows = int(min(len(ids), first + (row[-1] + 1 if len(row) else 0))) - first
                 cls, key, owner = sketches(row, element, rows, bands)
@@ -271,6 +272,9 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> Data
                 numbers.append(np.bincount(row, minlength=rows))
                 keys.append(key)
                 owners.append(owner)
+                for r, start, end in _slices(row):
+                    if int(cls[r]) not in parities:
+                        parities[int(cls[r])] = _parity(element[start:end])
             cls, size = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.int64)
             for (at, c), s in zip(classes, numbers):
                 cls[at.astype(np.int64)], size[at.astype(np.int64)] = c, s
@@ -280,10 +284,11 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> Data
                 key, owner = key[order], owner[order]
                 at = X.runs(owner, key)  # copies within the batch send their blocks once
                 yield from _compact(key[at], owner[at], targets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([size.astype("<i8").tobytes()], pa.binary()), pa.array([np.stack([cls.view(np.int64), ids]).tobytes()], pa.binary())],
-                ["target", "kind", "key", "cls"],
-            )
+            home = int(ids[:1].astype(np.uint64).sum() * _U(0x9E3779B97F4A7C15) >> _U(33)) % targets if len(ids) else 0
+            rows = [(home, 1, size.astype("<i8").tobytes(), np.stack([cls.view(np.int64), ids]).tobytes())]
+            if parities:
+                rows.append((home, 2, np.array(list(parities), np.uint64).tobytes(), b"".join(parities.values())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["target", "kind", "key", "cls"])
 
     return df.select(F.col(id).cast("long"), text).mapInArrow(spread, X.schema(_FIELDS))
 
@@ -303,6 +308,11 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
                     low, own = _expanded(key, cls)
                     keys.append(low ^ _U(target << 40))
                     owners.append(own)
+                elif kind == 2:
+                    c = np.frombuffer(key, "<i8")
+                    width = len(cls) // max(1, len(c))
+                    own = [cls[k * width : (k + 1) * width] for k in range(len(c))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), 3, np.int32)), pa.array(c), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int32()), pa.array(own, pa.binary())], ["kind", "a", "b", "n", "members"])
                 else:
                     size = np.frombuffer(key, "<i8")
                     c, ids = np.frombuffer(cls, "<i8").reshape(2, -1)
@@ -343,9 +353,23 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     needed = F.least(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
     pairs = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= needed).select("a", "b"), "pairs")
 
-    # whole sets of one document of each class that has a candidate
-    chosen = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", "rep")
-    chosen = written(chosen, "chosen")
+    def near_sketches(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        place = {c: k for k, c in enumerate(payload)}
+        raw = [np.frombuffer(x, "<u8") for x in payload.values()]
+        bits, sizes = np.stack([x[1:] for x in raw]), np.array([int(x[0]) for x in raw])
+        i, j = (np.array([place[c] for c in x.tolist()]) for x in (a, b))
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        return (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (sizes[i] + sizes[j])
+
+    # a wide sketch of each set goes first: most pairs that are not similar end there, and whole sets needn't follow
+    sketch = found.where("kind = 3").select(F.col("a").alias("cls"), F.col("members").alias("payload"))
+    placed, wanted = _tiles(pairs)
+    close = written(_judged(placed, sketch.join(wanted, "cls").select("tile", "cls", "payload"), near_sketches, targets), "close")
+
+    # whole sets of one document of each class that still has a candidate, straight to its tiles
+    placed, wanted = _tiles(close)
+    members = wanted.groupBy("cls").agg(F.collect_list("tile").alias("tiles"))
+    chosen = written(members.join(classes, "cls").select("cls", "rep", "tiles"), "chosen")
     bloom = _bloom(chosen.where("rep is not null").select("rep"))
 
     def likely(batches):
@@ -357,32 +381,22 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
 
     texts = df.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
     texts = texts.mapInArrow(likely, "rep long, text string").join(chosen.where("rep is not null").hint("shuffle_hash"), "rep")
-    texts = texts.union(_nameless(df, id, text, chosen)).select("cls", "text")
+    texts = texts.select("cls", "text", "tiles").union(_nameless(df, id, text, chosen))
 
     def whole(batches):
         for batch in batches:
-            cls = batch.column(0).to_numpy(zero_copy_only=False)
+            cls, tiles = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for first, row, element in shingles(batch.column(1), n):
                 for r, start, end in _slices(row):
-                    own = element[start:end]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(cls[first + r])]), pa.array([own.tobytes()], pa.binary()), pa.array([_parity(own)], pa.binary())], ["cls", "elements", "sketch"])
-
-    # a wide sketch of each set goes first: most pairs that are not similar end there, and whole sets needn't follow
-    sets = written(texts.mapInArrow(whole, "cls long, elements binary, sketch binary"), "sets")
-
-    def near_sketches(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        place = {c: k for k, c in enumerate(payload)}
-        raw = [np.frombuffer(x, "<u8") for x in payload.values()]
-        bits, sizes = np.stack([x[1:] for x in raw]), np.array([int(x[0]) for x in raw])
-        i, j = (np.array([place[c] for c in x.tolist()]) for x in (a, b))
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-        return (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (sizes[i] + sizes[j])
+                    own = tiles[first + r].as_py()
+                    made = [pa.array(own, pa.int64()), pa.array([int(cls[first + r])] * len(own)), pa.array([element[start:end].tobytes()] * len(own), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(made, ["tile", "cls", "payload"])
 
     def near_sets(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _tile_links({c: np.frombuffer(x, "<u8") for c, x in payload.items()}, a, b, t)
 
-    close = _in_tiles(pairs, sets.select("cls", F.col("sketch").alias("payload")), near_sketches, targets)
-    return {"documents": documents, "classes": classes, "links": _in_tiles(close, sets.select("cls", F.col("elements").alias("payload")), near_sets, targets)}
+    sets = texts.mapInArrow(whole, "tile long, cls long, payload binary")
+    return {"documents": documents, "classes": classes, "links": written(_judged(placed, sets, near_sets, targets), "links")}
 
 
 def _parity(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -391,17 +405,26 @@ def _parity(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     return np.uint64(len(elements)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _in_tiles(pairs: DataFrame, payload: DataFrame, judge, targets: int) -> DataFrame:
-    """The pairs that ``judge`` finds similar, written.  A class is tiled by its least neighbour, in sub-tiles of about TILE; its payload goes once to each tile with a pair of its own."""
-    near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-    near = near.select(F.col("a").alias("cls"), F.least("a", "b").alias("lead"))
-    sides = near.groupBy("lead").agg(F.ceil(F.count("*") / TILE).alias("s"))
-    tile = written(near.join(sides, "lead").select("cls", F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.col("s"))).alias("tile")), "tiles")
+def _tiles(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tile, a, b) of every pair, written, and (tile, cls) of every class that a tile needs.
+
+    A class is tiled by the least of its neighbours' least neighbours, which nearly
+    all of a group of similar texts share, in sub-tiles of about TILE classes.
+    """
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lead = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    lead = both.join(lead.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("m").alias("lead"))
+    sides = lead.groupBy("lead").agg(F.ceil(F.count("*") / TILE).alias("s"))
+    tile = written(lead.join(sides, "lead").select("cls", F.xxhash64("lead", F.pmod(F.xxhash64("cls"), F.col("s"))).alias("tile")), "tiles")
     ta, tb = tile.select(F.col("cls").alias("a"), F.col("tile").alias("ta")), tile.select(F.col("cls").alias("b"), F.col("tile").alias("tb"))
     placed = pairs.join(ta, "a").join(tb, "b").select(F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tile"), "a", "b")
     placed = written(placed, "placed")
-    wanted = placed.select("tile", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sent = payload.join(wanted, "cls").select("tile", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+    return placed, placed.select("tile", F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _judged(placed: DataFrame, payload: DataFrame, judge, targets: int) -> DataFrame:
+    """The pairs that ``judge`` finds similar, given what each tile needs of its classes."""
+    sent = payload.select("tile", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
     rows = sent.union(placed.select("tile", "a", "b", F.lit(None).cast("binary"))).repartition(targets, "tile")
 
     def verify(batches):
@@ -419,14 +442,13 @@ def _in_tiles(pairs: DataFrame, payload: DataFrame, judge, targets: int) -> Data
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return written(rows.mapInArrow(verify, "a long, b long"), "links")
+    return rows.mapInArrow(verify, "a long, b long")
 
 
 def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame:
     """Texts of classes whose documents have no id at all."""
-    null = F.lit(None).cast("long").alias("rep")
     if not chosen.where("rep is null").head(1):
-        return df.sparkSession.createDataFrame([], "rep long, text string, cls long")
+        return df.sparkSession.createDataFrame([], "cls long, text string, tiles array<long>")
     bands = Bands()
 
     def classed(batches):
@@ -438,7 +460,7 @@ def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls)], ["text", "cls"])
 
     rows = df.where(F.col(id).isNull()).select(text).mapInArrow(classed, "text string, cls long")
-    return rows.join(chosen.where("rep is null").select("cls"), "cls").select(null, "text", "cls")
+    return rows.join(chosen.where("rep is null").select("cls", "tiles"), "cls").select("cls", "text", "tiles")
 
 
 def _slices(row: np.ndarray):
