@@ -42,6 +42,7 @@ from .tables import written
 TILE = 256
 BUCKET = 512
 SKETCH_BITS = 1024
+ROWS = 2_000  # documents whose blocks are sent together
 BLOOM_BITS = 1 << 23
 _U = np.uint64
 _NEED = 15  # the low bits of a class id hold how many common blocks it needs
@@ -261,7 +262,7 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> Data
     targets = X.targets(df.sparkSession)
 
     def spread(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = X.ids(batch.column(0))
             classes, numbers, keys, owners = [], [], [], []
             parities: dict[int, bytes] = {}
@@ -353,18 +354,16 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     needed = F.least(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
     pairs = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= needed).select("a", "b"), "pairs")
 
-    def near_sketches(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        place = {c: k for k, c in enumerate(payload)}
-        raw = [np.frombuffer(x, "<u8") for x in payload.values()]
-        bits, sizes = np.stack([x[1:] for x in raw]), np.array([int(x[0]) for x in raw])
-        i, j = (np.array([place[c] for c in x.tolist()]) for x in (a, b))
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-        return (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (sizes[i] + sizes[j])
-
     # a wide sketch of each set goes first: most pairs that are not similar end there, and whole sets needn't follow
-    sketch = found.where("kind = 3").select(F.col("a").alias("cls"), F.col("members").alias("payload"))
-    placed, wanted = _tiles(pairs)
-    close = written(_judged(placed, sketch.join(wanted, "cls").select("tile", "cls", "payload"), near_sketches, targets), "close")
+    @F.arrow_udf("boolean")
+    def may_be_similar(x: pa.Array, y: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), "<u8").reshape(len(v), -1) for v in (x, y))
+        apart = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
+        return pa.array((t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (x[:, 0] + y[:, 0]).astype(np.int64))
+
+    sketch = found.where("kind = 3").select(F.col("a").alias("cls"), F.col("members").alias("s")).dropDuplicates(["cls"])
+    met = pairs.join(sketch.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    close = written(met.where(may_be_similar("sa", "sb")).select("a", "b"), "close")
 
     # whole sets of one document of each class that still has a candidate, straight to its tiles
     placed, wanted = _tiles(close)
