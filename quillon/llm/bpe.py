@@ -158,6 +158,11 @@ class ByteBpe:
             return _LATIN.findall(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
+    def forget(self) -> None:
+        """Empties the memos, so that an idle worker holds the vocabulary alone."""
+        for memo in (self._id_pieces, self._n_pieces, *self._ids, *self._counts):
+            memo.clear()
+
     def _keep(self, memo: dict, piece: str, made):
         if len(piece) <= LONGEST_MEMO:
             if len(memo) >= self._limit:

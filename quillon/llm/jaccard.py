@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import words as W
 from .components import components
-from .tables import written
+from .tables import releasing, small_batches, written
 
 TILE = 256
 BUCKET = 512
@@ -199,7 +199,7 @@ def _bloom(values: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([v.tobytes() for v in seen.values()], pa.binary())], ["k", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in values.mapInArrow(part, "k int, bits binary").repartition(8, "k").mapInArrow(merged, "k int, bits binary").collect():
+    for r in values.mapInArrow(releasing(part), "k int, bits binary").repartition(8, "k").mapInArrow(releasing(merged), "k int, bits binary").collect():
         out[1024 * r["k"] : 1024 * (r["k"] + 1)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -291,12 +291,13 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> Data
                 rows.append((home, 2, np.array(list(parities), np.uint64).tobytes(), b"".join(parities.values())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["target", "kind", "key", "cls"])
 
-    return df.select(F.col(id).cast("long"), text).mapInArrow(spread, X.schema(_FIELDS))
+    return df.select(F.col(id).cast("long"), text).mapInArrow(releasing(spread), X.schema(_FIELDS))
 
 
 def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: Fraction = Fraction(4, 5)) -> dict[str, DataFrame]:
     """``documents`` (doc_id, n_shingles, cls), ``classes`` (cls, copies, rep) and ``links`` (a, b) between classes, each pair once."""
     spark: SparkSession = df.sparkSession
+    small_batches(spark)
     targets = X.targets(spark)
     bands = Bands(t)
 
@@ -332,7 +333,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
                 for y in tiles[i:]:
                     yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([int(x[0].view(np.int64))]), pa.array([int(y[0].view(np.int64))]), pa.array([len(x)], pa.int32()), pa.array([x.tobytes() + (b"" if y is x else y.tobytes())])], ["kind", "a", "b", "n", "members"])
 
-    found = X.exchanged(_class_rows(df, id, text, n, bands), targets).mapInArrow(settle, "kind int, a long, b long, n int, members binary")
+    found = X.exchanged(_class_rows(df, id, text, n, bands), targets).mapInArrow(releasing(settle), "kind int, a long, b long, n int, members binary")
     found = written(found, "blocks")
 
     def of_tiles(batches):
@@ -349,7 +350,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     documents = found.where("kind = 0").select(F.col("b").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("cls"))
     classes = documents.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
 
-    tiled = found.where("kind = 2").select("n", "members").repartition(targets).mapInArrow(of_tiles, "a long, b long, n int")
+    tiled = found.where("kind = 2").select("n", "members").repartition(targets).mapInArrow(releasing(of_tiles), "a long, b long, n int")
     counted = found.where("kind = 1").select("a", "b", "n").union(tiled)
     needed = F.least(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
     pairs = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= needed).select("a", "b"), "pairs")
@@ -379,7 +380,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
             yield batch.filter(pa.array(hit))
 
     texts = df.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
-    texts = texts.mapInArrow(likely, "rep long, text string").join(chosen.where("rep is not null").hint("shuffle_hash"), "rep")
+    texts = texts.mapInArrow(releasing(likely), "rep long, text string").join(chosen.where("rep is not null").hint("shuffle_hash"), "rep")
     texts = texts.select("cls", "text", "tiles").union(_nameless(df, id, text, chosen))
 
     def whole(batches):
@@ -394,7 +395,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     def near_sets(payload: dict[int, bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _tile_links({c: np.frombuffer(x, "<u8") for c, x in payload.items()}, a, b, t)
 
-    sets = texts.mapInArrow(whole, "tile long, cls long, payload binary")
+    sets = texts.mapInArrow(releasing(whole), "tile long, cls long, payload binary")
     return {"documents": documents, "classes": classes, "links": written(_judged(placed, sets, near_sets, targets), "links")}
 
 
@@ -441,7 +442,7 @@ def _judged(placed: DataFrame, payload: DataFrame, judge, targets: int) -> DataF
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return rows.mapInArrow(verify, "a long, b long")
+    return rows.mapInArrow(releasing(verify), "a long, b long")
 
 
 def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame:
@@ -458,7 +459,7 @@ def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame
                 cls[first : first + n] = sketches(row, element, n, bands)[0].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls)], ["text", "cls"])
 
-    rows = df.where(F.col(id).isNull()).select(text).mapInArrow(classed, "text string, cls long")
+    rows = df.where(F.col(id).isNull()).select(text).mapInArrow(releasing(classed), "text string, cls long")
     return rows.join(chosen.where("rep is null").select("cls", "tiles"), "cls").select("cls", "text", "tiles")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import words as W
+from .tables import releasing, small_batches
 
 _FIELDS = {"key": "<u8", "doc": "<i8", "tie": "<i8", "pos": "<i4"}
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -78,6 +79,7 @@ def _remove(text: str | None, places: list[bytes] | None) -> tuple[str | None, i
 
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with repeated passages cut from the text, and n_lines, n_removed."""
+    small_batches(df.sparkSession)
     n = X.targets(df.sparkSession)
     keyed = df.withColumn("_tie", F.xxhash64(F.col(text)))
 
@@ -107,8 +109,8 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
         if len(at):
             yield pa.RecordBatch.from_arrays([X.id_array(doc[at]), pa.array(tie[at]), places], ["_doc", "_tie2", "_places"])
 
-    packed = keyed.select(F.col(id).cast("long"), "_tie", text).mapInArrow(spread, X.schema(_FIELDS))
-    found = X.exchanged(packed, n).mapInArrow(settle, "_doc long, _tie2 long, _places binary")
+    packed = keyed.select(F.col(id).cast("long"), "_tie", text).mapInArrow(releasing(spread), X.schema(_FIELDS))
+    found = X.exchanged(packed, n).mapInArrow(releasing(settle), "_doc long, _tie2 long, _places binary")
     found = found.groupBy("_doc", "_tie2").agg(F.collect_list("_places").alias("_places"))
 
     @F.arrow_udf("text string, n_lines long, n_removed long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import opened_fast
-from .tables import written
+from .tables import releasing, small_batches, written
 
 ROWS_PER_SALT = 1_000_000
 
@@ -40,6 +40,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if wanted, the packed ids."""
+    small_batches(df.sparkSession)
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
@@ -55,9 +56,10 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id:
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
+        bpe.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(releasing(run), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

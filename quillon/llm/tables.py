@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +16,7 @@ from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
 
@@ -25,9 +30,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes, unless the session has smaller ones: texts are long, and each task holds a batch on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if digits is None or int(digits[1]) > BATCH_BYTES or int(digits[1]) <= 0:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory back at the end of a task; Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def releasing(run: Callable) -> Callable:
+    """The function over batches, with ``release`` after the last."""
+
+    @functools.wraps(run)
+    def over(batches):
+        yield from run(batches)
+        release()
+
+    return over
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, no lineage behind them, readable after any executor is lost."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,4 +88,5 @@ def appended(df: DataFrame, make: Callable[[pa.Array], list[pa.Array]], column:
                 part = batch.slice(k, rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column(len(kept)))], [*kept, *names])
 
-    return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new]))
+    small_batches(df.sparkSession)
+    return source.mapInArrow(releasing(run), T.StructType([*(df.schema[c] for c in kept), *new]))
