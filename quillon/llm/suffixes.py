@@ -18,7 +18,7 @@ anchors (about one in 16 bytes) are exchanged, not positions.
    each with other neighbours) are sent string by string instead, so that no
    group is large: a string is then settled by its 64-bit hash.
 
-Texts travel as compressed blocks of some megabytes, written once.  Within a block
+Texts travel as compressed blocks of about a megabyte, written once.  Within a block
 equal spans are settled at once and sent once, however many documents share them.
 
 Cases: null text is empty; texts shorter than LENGTH lose nothing; documents of
@@ -37,12 +37,15 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import words as W
-from .tables import written
+from .tables import releasing, small_batches, written
 
 LENGTH = 50
 K = 20
 SPAN = LENGTH - K + 1  # strings that one anchor can have, and K-grams in a string
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20  # compressed, less than half a region of a small JVM heap
+CHUNK_BYTES = 1 << 18  # of a block, hashed at once
+PART = 20_000  # contexts sorted at once
+ROUNDS = 16  # parts in which a target's spans are compared
 HOT = 2_000
 _U = np.uint64
 _INVERSE = pow(W._BASE, -1, 1 << 64)
@@ -175,7 +178,7 @@ class Block:
         self.data = np.frombuffer(zstandard.decompress(text, max_output_size=max(1, int(self.borders[-1]))), np.uint8) if self.borders[-1] else np.zeros(0, np.uint8)
         parts, i = [], 0
         while i < len(self.ids):
-            j = max(i + 1, int(np.searchsorted(self.borders, self.borders[i] + W.CHUNK_BYTES, side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(self.borders, self.borders[i] + CHUNK_BYTES, side="right")) - 1)
             base = self.borders[i]
             made = anchors(self.data[base : self.borders[j]], self.borders[i : j + 1] - base)
             made["row"] += i
@@ -288,6 +291,23 @@ def covered_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, ancho
     return mask
 
 
+def covered_in_parts(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``covered_strings`` of contexts that lie side by side, some whole groups at a time."""
+    mask = np.zeros(len(key), np.uint32)
+    start = np.cumsum(size) - size
+    order = np.argsort(key, kind="stable")
+    at = X.runs(key[order])
+    k = 0
+    while k < len(at):
+        stop = max(k + 1, int(np.searchsorted(at, at[k] + PART, side="right")) - 1)
+        own = order[at[k] : at[stop] if stop < len(at) else len(order)]
+        ends = np.cumsum(size[own])
+        index = np.arange(int(ends[-1])) - np.repeat(ends - size[own], size[own]) + np.repeat(start[own], size[own])
+        mask[own] = covered_strings(data[index], ends - size[own], size[own], anchor[own], key[own], doc[own])
+        k = stop
+    return mask
+
+
 def _pack(values: np.ndarray, width: int = 8) -> bytes:
     """Integers as raw bytes of a width; wide ones as differences, compressed."""
     if width == 8:
@@ -328,12 +348,13 @@ def blocks(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                 yield _batch([row], ["block", "ids", "lengths", "text"], [pa.int64(), *(pa.binary(),) * 3])
                 k += 1
 
-    return written(df.select(F.col(id).cast("long"), text).mapInArrow(pack, "block long, ids binary, lengths binary, text binary"), "texts")
+    return written(df.select(F.col(id).cast("long"), text).mapInArrow(releasing(pack), "block long, ids binary, lengths binary, text binary"), "texts")
 
 
 def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), kept being the remaining bytes; a row per document."""
-    n = X.targets(df.sparkSession)
+    small_batches(df.sparkSession)
+    n = 3 * X.targets(df.sparkSession)  # the exchanges are of short entries, and a task holds all of its own
     packed = blocks(df, id, text)
 
     def send(batches):
@@ -344,21 +365,32 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
                     yield _batch([(t, r["block"], 0, _pack(b.entry["key"][own], 5), _pack(b.entry["span"][own], 5), _pack(b.doc[own]), None)], *_SENT_KINDS)
 
     def decide(batches):
-        names, parts = [], []
+        names, sizes = [], []
+        keys, spans, docs = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 names.append((r["block"], r["target"]))
-                parts.append((_unpack(r["a"], 5), _unpack(r["b"], 5), _unpack(r["c"])))
-        if not parts:
+                keys.append(_unpack(r["a"], 5) ^ _U(r["target"] << 40))
+                spans.append(_unpack(r["b"], 5))
+                docs.append(_unpack(r["c"]))
+                sizes.append(len(docs[-1]))
+        if not names:
             return
-        target = np.repeat(np.array([t for _, t in names], np.uint64), [len(p[0]) for p in parts])
-        key, span, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        code, at = _first_round(key ^ target << _U(40), span, doc, hot), 0
-        for (block, t), p in zip(names, parts):
-            yield _batch([(block, 1, t, zstandard.compress(code[at : at + len(p[0])].tobytes(), 3))], *_REPLY_KINDS)
-            at += len(p[0])
-
-    first = written(X.exchanged(packed.mapInArrow(send, _SENT), n).mapInArrow(decide, _REPLY), "first")
+        joined_fields = []
+        for parts in (keys, spans, docs):
+            joined_fields.append(np.concatenate(parts))
+            parts.clear()
+        key, span, doc = joined_fields
+        code = np.empty(len(key), np.uint8)
+        for k in range(ROUNDS):  # equal keys stay together, and the sorts are small
+            own = np.flatnonzero(key % _U(ROUNDS) == k)
+            code[own] = _first_round(key[own], span[own], doc[own], hot)
+        at = 0
+        for (block, t), size in zip(names, sizes):
+            yield _batch([(block, 1, t, zstandard.compress(code[at : at + size].tobytes(), 3))], *_REPLY_KINDS)
+            at += size
+
+    first = written(X.exchanged(packed.mapInArrow(releasing(send), _SENT), n).mapInArrow(releasing(decide), _REPLY), "first")
 
     def joined(replies: DataFrame) -> DataFrame:
         lists = replies.groupBy("block").agg(F.collect_list(F.struct("round", "target", "reply")).alias("replies"))
@@ -398,7 +430,7 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
         if parts:
             target = np.repeat(np.array([t for _, t in names], np.uint64), [len(p[0]) for p in parts])
             key, size, anchor, doc, data = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            mask, at = covered_strings(data, np.cumsum(size) - size, size, anchor, key ^ target << _U(40), doc), 0
+            mask, at = covered_in_parts(data, size, anchor, key ^ target << _U(40), doc), 0
             for (block, t), p in zip(names, parts):
                 yield _batch([(block, 2, t, zstandard.compress(mask[at : at + len(p[0])].tobytes(), 3))], *_REPLY_KINDS)
                 at += len(p[0])
@@ -410,7 +442,7 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
                 yield _batch([(block, 3, t, np.packbits(later[at : at + len(p[0])]).tobytes())], *_REPLY_KINDS)
                 at += len(p[0])
 
-    second = X.exchanged(joined(first).mapInArrow(send_asked, _SENT), n).mapInArrow(decide_asked, _REPLY)
+    second = X.exchanged(joined(first).mapInArrow(releasing(send_asked), _SENT), n).mapInArrow(releasing(decide_asked), _REPLY)
 
     def remove(batches):
         for batch in batches:
@@ -468,7 +500,7 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
                     yield _batch(rows, *_OUT)
 
     _OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return joined(first.union(second)).mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined(first.union(second)).mapInArrow(releasing(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _least(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
