@@ -3,11 +3,13 @@
 Base spans (e-mail, ip, card, phone) come from patterns, written so that each is
 linear in the text whatever it holds.  A field over the tokens that carry a digit
 or an at sign then adds spans the patterns miss: its nodes are joined to the next
-token in line, and by skip edges to the next token with the same number or
-address (or a similar number) anywhere in the document.  Skip edges link successive
-occurrences, so they are as many as the tokens.  Sum-product message passing runs
-over all documents of a batch at once; nodes inside base spans are clamped to
-their kind, so a number that was recognised once labels its other spellings.
+token in line, and by a skip edge to a hub, one for each number or address (and each similar
+number) that a document holds more than twice or that a base span holds; two
+occurrences without one are joined directly.  So any two are two edges apart at most,
+and edges are as many as the tokens.  Sum-product message passing runs over all
+documents of a batch at once, for each until its messages stand still; nodes inside
+base spans, and the hubs of what base spans hold, are clamped to their kind, so a
+number that was recognised once labels its other spellings, however many.
 
 All other tokens are outside by construction and need no node.  Weights are
 fitted on generated documents by pseudo-likelihood, once, from a fixed seed.
@@ -31,7 +33,10 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: outside
-ROUNDS = 12
+STILL = 1e-4  # messages that move less have settled
+PATIENCE = 200
+LEAST_STEP = 1 / 64
+HELD = 1e9  # more than the messages of any number of neighbours
 SURE = 0.75
 
 _TRIGGER = re.compile(r"[0-9@]")
@@ -169,13 +174,23 @@ def _describe(token: str) -> tuple[list[int], str | None, str | None]:
 
 
 def _graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> dict:
-    """Nodes, features and edges of some documents; edge kinds: 0 next in line, 1 same key, 2 similar key."""
+    """Nodes, features, hubs and edges of some documents; edge kinds: 0 next in line, 1 same key, 2 similar key.
+
+    Hubs are numbered after the nodes; ``sure`` holds the kinds that base spans give a hub.
+    """
     doc, where, feats, clamp, edges = [], [], [], [], []
+    hub_doc, sure, ties = [], [], []
     for d, (text, base) in enumerate(zip(texts, spans)):
         if not text or _TRIGGER.search(text) is None:
             continue
         ordered = sorted((a, b, k) for k, a, b in base)
-        at, last, seen = 0, None, {}
+        at, last = 0, None
+        members: dict[tuple[int, str], list[int]] = {}
+        known: dict[tuple[int, str], set[int]] = {}
+        for a, b, k in ordered:
+            for own in enumerate(_describe(text[a:b])[1:], 1):
+                if own[1] is not None:
+                    known.setdefault(own, set()).add(k + 1)
         for a, b in _nodes(text):
             me = len(doc)
             f, key, similar = _describe(text[a:b])
@@ -188,46 +203,92 @@ def _graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> dict:
             clamp.append(inside)
             if last is not None and where[last][1] + 1 >= a:
                 edges.append((last, me, 0))
-            for kind, k in ((1, key), (2, similar)):
-                if k is not None:
-                    if k in seen:
-                        edges.append((seen[k], me, kind))
-                    seen[k] = me
+            for own in ((1, key), (2, similar)):
+                if own[1] is not None:
+                    members.setdefault(own, []).append(me)
             last = me
+        for own, nodes in members.items():
+            if len(nodes) == 2 and own not in known:
+                edges.append((*nodes, own[0]))
+            elif len(nodes) > 1 or own in known:
+                ties += [(node, len(hub_doc), own[0]) for node in nodes]
+                hub_doc.append(d)
+                sure.append(known.get(own, ()))
     x = np.zeros((len(doc), FEATURES))
     for i, f in enumerate(feats):
         x[i, f] = 1
-    return {"doc": doc, "where": where, "x": x, "clamp": np.array(clamp, np.int64), "edges": np.array(edges, np.int64).reshape(-1, 3)}
+    edges += [(node, len(doc) + hub, kind) for node, hub, kind in ties]
+    return {"doc": doc, "where": where, "x": x, "clamp": np.array(clamp, np.int64), "edges": np.array(edges, np.int64).reshape(-1, 3), "hub_doc": hub_doc, "sure": sure}
 
 
 def _beliefs(graph: dict, weights: dict) -> np.ndarray:
-    """Marginals by loopy sum-product, all edges at once."""
-    unary = graph["x"] @ weights["unary"]
-    held = graph["clamp"] > 0
-    unary[held] = -30
+    """Marginals of the nodes by loopy sum-product, all edges at once, each document until its messages stand still.
+
+    A document that still moves has its step halved every PATIENCE rounds; should it
+    never settle, mean-field sweeps, which always converge, give its beliefs.
+    """
+    n = len(graph["doc"])
+    unary = np.concatenate([graph["x"] @ weights["unary"], np.zeros((len(graph["hub_doc"]), LABELS))])
+    held = np.flatnonzero(graph["clamp"] > 0)
+    unary[held] = -HELD
     unary[held, graph["clamp"][held]] = 0
+    for hub, kinds in enumerate(graph["sure"], n):
+        if kinds:
+            unary[hub] = -HELD
+            unary[hub, list(kinds)] = 0
     e = graph["edges"]
-    n = len(unary)
     log_norm = lambda m: m - np.logaddexp.reduce(m, 1, keepdims=True)
     if not len(e):
-        return np.exp(log_norm(unary))
-    pair = weights["pair"][e[:, 2]]
-    source, target = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-    table = np.concatenate([pair, pair.transpose(0, 2, 1)])  # from source label to target label
-    back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-    messages = np.zeros((len(source), LABELS))
-    for _ in range(ROUNDS):
-        total = unary.copy()
-        np.add.at(total, target, messages)
-        out = total[source] - messages[back]
-        made = log_norm(np.logaddexp.reduce(out[:, :, None] + table, 1))
-        change = np.abs(made - messages).max()
-        messages = 0.5 * messages + 0.5 * made
-        if change < 1e-4:
-            break
-    total = unary.copy()
-    np.add.at(total, target, messages)
-    return np.exp(log_norm(total)) if n else total
+        return np.exp(log_norm(unary))[:n]
+    owner = np.array([*graph["doc"], *graph["hub_doc"]], np.int64)
+    e = e[np.argsort(owner[e[:, 0]], kind="stable")]
+    first = np.flatnonzero(np.diff(owner[e[:, 0]], prepend=-1))
+    final = np.zeros_like(unary)  # sums of the messages of settled documents
+    messages = np.zeros((2, len(e), LABELS))  # down's to up, and up's to down
+
+    def summed(e, messages):
+        return np.stack([np.bincount(e[:, 1], messages[0, :, k], len(unary)) + np.bincount(e[:, 0], messages[1, :, k], len(unary)) for k in range(LABELS)], 1)
+
+    rounds, step = 0, 0.5
+    while len(e):
+        total, pair = unary + summed(e, messages), weights["pair"][e[:, 2]]
+        out = log_norm(np.logaddexp.reduce((total[e[:, 0]] - messages[1])[:, :, None] + pair, 1))
+        back = log_norm(np.logaddexp.reduce((total[e[:, 1]] - messages[0])[:, None, :] + pair, 2))
+        made = np.stack([out, back])
+        moving = np.maximum.reduceat(np.abs(made - messages).max((0, 2)), first) >= STILL
+        if not moving.all():
+            left = np.repeat(moving, np.diff(first, append=len(e)))
+            final += summed(e[~left], messages[:, ~left])
+            e, messages, made = e[left], messages[:, left], made[:, left]
+            first = np.flatnonzero(np.diff(owner[e[:, 0]], prepend=-1))
+        messages = messages + step * (made - messages)
+        rounds += 1
+        if rounds % PATIENCE == 0:
+            step /= 2
+            if step < LEAST_STEP:
+                final += _mean_field(unary, e, weights["pair"])
+                break
+    return np.exp(log_norm(unary + final))[:n]
+
+
+def _mean_field(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """What the edges add to each node in the fixed point of mean-field updates, one node after another, so that free energy never rises."""
+    near: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for a, b, k in edges.tolist():
+        near.setdefault(a, []).append((b, pair[k].T))
+        near.setdefault(b, []).append((a, pair[k]))
+    soft = lambda s: np.exp(s - np.logaddexp.reduce(s))
+    belief = {i: soft(unary[i]) for i in near}
+    added = np.zeros_like(unary)
+    change = STILL
+    while change >= STILL:
+        change = 0.0
+        for i, others in near.items():
+            added[i] = sum(belief[j] @ table for j, table in others)
+            made = soft(unary[i] + added[i])
+            change = max(change, float(np.abs(made - belief[i]).max()))
+            belief[i] = made
+    return added
 
 
 def _generated(seed: int, documents: int) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
@@ -286,19 +347,30 @@ def _true_labels(graph: dict, spans: list[list[tuple[int, int, int]]]) -> np.nda
     return y
 
 
+def _hub_labels(graph: dict, y: np.ndarray) -> np.ndarray:
+    """A hub's true label: the commonest of its nodes'."""
+    n, e = len(y), graph["edges"][graph["edges"][:, 1] >= len(y)]
+    votes = np.zeros((len(graph["hub_doc"]), LABELS))
+    np.add.at(votes, (e[:, 1] - n, y[e[:, 0]]), 1)
+    return votes.argmax(1)
+
+
 @lru_cache(maxsize=4)
 def trained(seed: int = 11, documents: int = 1500, steps: int = 250, rate: float = 0.5, l2: float = 1e-3) -> dict:
     """Weights by pseudo-likelihood: each node's label given the true labels of its neighbours."""
     texts, spans = _generated(seed, documents)
     graph = _graph(texts, [base_spans(t) for t in texts])
-    y, x, e = _true_labels(graph, spans), graph["x"].copy(), graph["edges"]
+    y, e = _true_labels(graph, spans), graph["edges"]
+    hubs = _hub_labels(graph, y)
+    x = np.concatenate([graph["x"], np.zeros((len(hubs), FEATURES))])
+    free = np.concatenate([graph["clamp"] == 0, [not kinds for kinds in graph["sure"]]])[:, None] * 1.0
     n = len(y)
-    around = np.zeros((3, 2, n, LABELS))  # edge kind, side, node: labels of neighbours
+    y = np.concatenate([y, hubs])
+    around = np.zeros((3, 2, len(y), LABELS))  # edge kind, side, node: labels of neighbours
     np.add.at(around, (e[:, 2], 0, e[:, 1], y[e[:, 0]]), 1)
     np.add.at(around, (e[:, 2], 1, e[:, 0], y[e[:, 1]]), 1)
     unary, pair = np.zeros((FEATURES, LABELS)), np.zeros((3, LABELS, LABELS))
     target = np.eye(LABELS)[y]
-    free = (graph["clamp"] == 0)[:, None] * 1.0
     m1 = m2 = None
     for step in range(1, steps + 1):
         score = x @ unary

@@ -129,6 +129,31 @@ def test_other_spellings_follow_the_recognised_one(spark, docs, rows, none):
     assert pii.detect(docs).count() == len(rows) and pii.detect(none).count() == pii.mask(none).count() == 0
 
 
+def phones(text):
+    (base,), (added,) = pii.find([text])
+    return sorted((a, b) for k, a, b in base + added if k == 3)
+
+
+@pytest.mark.parametrize("first", [0, 50, 99])
+def test_one_recognised_form_reaches_a_hundred_others(first):
+    parts = ["so 555-234-5678 said"] * 100
+    parts[first] = "so +1 (555) 234-5678 said"
+    text = " ".join(parts)
+    got = phones(text)
+    assert len(got) == 100 and pii.masked(text, [(3, a, b) for a, b in got]) == " ".join(["so <PHONE> said"] * 100)
+    assert phones(" ".join(["so 555-234-5678 said"] * 100)) == []
+
+
+def test_beliefs_do_not_depend_on_the_batch_and_unsettled_documents_get_some(monkeypatch):
+    texts = pii._generated(5, 40)[0]
+    whole = pii.find(texts)[1]
+    assert whole == [pii.find([t])[1][0] for t in texts]
+    monkeypatch.setattr(pii, "PATIENCE", 1)
+    monkeypatch.setattr(pii, "LEAST_STEP", 1)
+    text = " ".join(["so 555-234-5678 said"] * 20 + ["+1 (555) 234-5678"])
+    assert len(phones(text)) == 21
+
+
 def png(payload=b"\0\0"):
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(payload)) + chunk(b"IEND", b"")
