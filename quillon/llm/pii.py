@@ -3,8 +3,9 @@
 Base spans (e-mail, ip, card, phone) come from patterns, written so that each is
 linear in the text whatever it holds.  A field over the tokens that carry a digit
 or an at sign then adds spans the patterns miss: its nodes are joined to the next
-token in line, and by a skip edge to a hub, one for each number or address (and each similar
-number) that a document holds more than twice or that a base span holds; two
+token in line, and by a skip edge to a hub, one for each number (whatever letters are glued on),
+address or other token (and each similar number, such as a local number and one that
+ends in it) that a document holds more than twice or that a base span holds; two
 occurrences without one are joined directly.  So any two are two edges apart at most,
 and edges are as many as the tokens.  Sum-product message passing runs over all
 documents of a batch at once, for each until its messages stand still; nodes inside
@@ -47,6 +48,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 _NUMERIC = re.compile(r"[+(]?[0-9()./-]++[,;:]?")
 _DIGITS = re.compile(r"[^0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -120,20 +122,46 @@ def _nodes(text: str) -> list[tuple[int, int]]:
 
 
 def _core(text: str, a: int, b: int, kind: int) -> tuple[int, int]:
-    """The node without the punctuation around it."""
-    while b > a and not text[b - 1].isalnum():
+    """The node without the punctuation around it; a number without the letters around it, too."""
+    inner = str.isdigit if kind in (1, 2, 3) else str.isalnum
+    while b > a and not inner(text[b - 1]):
         b -= 1
     opening = "+(" if kind == 3 else ""
-    while a < b and not (text[a].isalnum() or text[a] in opening):
+    while a < b and not (inner(text[a]) or text[a] in opening):
         a += 1
-    if kind in (1, 2, 3):
-        while a < b and text[a].isalpha():
-            a += 1
     return a, b
 
 
-def _describe(token: str) -> tuple[list[int], str | None, str | None]:
-    """(features, key, similar key) of a node's text."""
+def _quad(parts: list[str]) -> bool:
+    return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+
+
+def _keys(token: str) -> tuple[list[tuple[int, str]], dict[tuple[int, str], tuple[int, str]]]:
+    """(edge kinds and keys, local numbers that its numbers end in and the number's key) of a node's text; letters part its numbers."""
+    keys, tails = [], {}
+    if "@" in token:
+        core = token.strip(".,;:!?()<>[]\"'*$%&#|").lower()
+        keys.append((1, "e" + core))
+        if core.rpartition("@")[0]:
+            keys.append((2, "E" + core.rpartition("@")[0]))
+        return keys, tails
+    for number in _LETTERS.split(token):
+        digits = _DIGITS.sub("", number)
+        n = len(digits)
+        parts = [p for p in _DIGITS.split(number) if p]
+        if _quad(parts):
+            keys.append((1, "i" + ".".join(str(int(p)) for p in parts)))
+        elif n >= 7:
+            keys.append((1, "n" + digits[-9:]))
+            if n >= 13:
+                keys.append((2, f"N{n}{digits[:8]}"))
+            if 9 <= n <= 15:
+                tails |= {(1, "n" + digits[-k:]): (1, "n" + digits[-9:]) for k in (7, 8)}
+    return list(dict.fromkeys(keys)) or [(1, "t" + token.strip(".,;:!?"))], tails
+
+
+def _describe(token: str) -> list[int]:
+    """Features of a node's text."""
     digits = _DIGITS.sub("", token)
     letters = sum(c.isalpha() for c in token)
     n = len(digits)
@@ -147,9 +175,7 @@ def _describe(token: str) -> tuple[list[int], str | None, str | None]:
             f.append(9)
         if token.partition("@")[0]:
             f.append(10)
-    quad = [p for p in re.split(r"[^0-9]+", token) if p]
-    fours = len(quad) == 4 and not letters and all(len(p) <= 3 and int(p) <= 255 for p in quad)
-    if fours:
+    if not letters and _quad([p for p in _DIGITS.split(token) if p]):
         f.append(11)
     if token.startswith("+"):
         f.append(12)
@@ -161,16 +187,7 @@ def _describe(token: str) -> tuple[list[int], str | None, str | None]:
         f.append(15)
     if letters:
         f.append(16 if 2 * letters < len(token) else 17)
-    key = similar = None
-    if at:
-        core = token.strip(".,;:!?()<>[]\"'*$%&#|").lower()
-        key, similar = "e" + core, "E" + core.rpartition("@")[0] if core.rpartition("@")[0] else None
-    elif fours:
-        key = "i" + ".".join(str(int(p)) for p in quad)
-    elif n >= 9 and not letters:
-        key = "n" + digits[-9:]
-        similar = f"N{n}{digits[:8]}" if n >= 13 else None
-    return f, key, similar
+    return f
 
 
 def _graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> dict:
@@ -187,13 +204,14 @@ def _graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> dict:
         at, last = 0, None
         members: dict[tuple[int, str], list[int]] = {}
         known: dict[tuple[int, str], set[int]] = {}
+        longer: dict[tuple[int, str], list[tuple[int, str]]] = {}
         for a, b, k in ordered:
-            for own in enumerate(_describe(text[a:b])[1:], 1):
-                if own[1] is not None:
-                    known.setdefault(own, set()).add(k + 1)
+            keys, tails = _keys(text[a:b])
+            for own in [*keys, *(tails if k == 3 else ())]:
+                known.setdefault(own, set()).add(k + 1)
         for a, b in _nodes(text):
             me = len(doc)
-            f, key, similar = _describe(text[a:b])
+            f, (keys, tails) = _describe(text[a:b]), _keys(text[a:b])
             while at < len(ordered) and ordered[at][1] <= a:
                 at += 1
             inside = ordered[at][2] + 1 if at < len(ordered) and ordered[at][0] < b else 0
@@ -203,21 +221,27 @@ def _graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> dict:
             clamp.append(inside)
             if last is not None and where[last][1] + 1 >= a:
                 edges.append((last, me, 0))
-            for own in ((1, key), (2, similar)):
-                if own[1] is not None:
-                    members.setdefault(own, []).append(me)
+            for own in keys:
+                members.setdefault(own, []).append(me)
+            for own, whole in tails.items():
+                longer.setdefault(own, []).append(whole)
             last = me
+        # a local number that is not known is similar to the longer ones that end in it, hub to hub
+        similar = {own: dict.fromkeys(longer[own]) for own in members if own in longer and own not in known}
+        hubs = dict.fromkeys([*similar, *(own for others in similar.values() for own in others)])
         for own, nodes in members.items():
-            if len(nodes) == 2 and own not in known:
+            if len(nodes) == 2 and own not in known and own not in hubs:
                 edges.append((*nodes, own[0]))
-            elif len(nodes) > 1 or own in known:
+            elif len(nodes) > 1 or own in known or own in hubs:
+                hubs[own] = len(hub_doc)
                 ties += [(node, len(hub_doc), own[0]) for node in nodes]
                 hub_doc.append(d)
                 sure.append(known.get(own, ()))
+        ties += [(-1 - hubs[other], hubs[own], 2) for own, others in similar.items() for other in others]
     x = np.zeros((len(doc), FEATURES))
     for i, f in enumerate(feats):
         x[i, f] = 1
-    edges += [(node, len(doc) + hub, kind) for node, hub, kind in ties]
+    edges += [(node if node >= 0 else len(doc) - 1 - node, len(doc) + hub, kind) for node, hub, kind in ties]
     return {"doc": doc, "where": where, "x": x, "clamp": np.array(clamp, np.int64), "edges": np.array(edges, np.int64).reshape(-1, 3), "hub_doc": hub_doc, "sure": sure}
 
 
@@ -310,10 +334,10 @@ def _generated(seed: int, documents: int) -> tuple[list[str], list[list[tuple[in
             elif kind == 2:
                 c = "4" + digits(14)
                 c += next(x for x in "0123456789" if luhn(c + x))
-                parts += [(c, 3)] * r.randint(1, 2) + [(".".join(c[k : k + 4] for k in range(0, 16, 4)), 3)] * (r.random() < 0.6)
+                parts += [(c, 3)] * r.randint(1, 2) + [(r.choice(["", "", f"{word()}{r.choice('=:.')}"]) + ".".join(c[k : k + 4] for k in range(0, 16, 4)), 3)] * (r.random() < 0.6)
             elif kind == 3:
                 a, b, c = digits(3), digits(3), digits(4)
-                parts += [(f"+1 ({a}) {b}-{c}", 4)] + [(r.choice([f"{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"1.{a}.{b}.{c}"]), 4)] * (r.random() < 0.6)
+                parts += [(f"+1 ({a}) {b}-{c}", 4)] + [(r.choice([f"{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"1.{a}.{b}.{c}", f"{word()}{r.choice(':.=')}{a}-{b}-{c}", f"{word()}{r.choice(':.=')}{a}{b}{c}", f"{b}-{c}", f"{b}{c}"]), 4)] * (r.random() < 0.6)
             elif kind == 4:
                 d = digits(r.choice([9, 10, 13, 16, 17, 20]))
                 parts += [(d, 0)] * (1 if luhn(d) else r.randint(1, 3))
@@ -324,7 +348,7 @@ def _generated(seed: int, documents: int) -> tuple[list[str], list[list[tuple[in
             elif kind == 7:
                 parts.append((f"{r.randint(1, 12)}.{r.randint(0, 30)}.{r.randint(0, 99)}", 0))
             else:
-                parts += [(r.choice([digits(r.randint(1, 8)), f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}"]), 0)] * r.randint(1, 2)
+                parts += [(r.choice([digits(r.randint(1, 8)), f"{word()}{r.choice(':.=')}{digits(r.randint(7, 12))}", f"{digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}"]), 0)] * r.randint(1, 2)
         r.shuffle(parts)
         text, own = "", []
         for value, label in parts:
@@ -349,7 +373,8 @@ def _true_labels(graph: dict, spans: list[list[tuple[int, int, int]]]) -> np.nda
 
 def _hub_labels(graph: dict, y: np.ndarray) -> np.ndarray:
     """A hub's true label: the commonest of its nodes'."""
-    n, e = len(y), graph["edges"][graph["edges"][:, 1] >= len(y)]
+    n, e = len(y), graph["edges"]
+    e = e[(e[:, 1] >= n) & (e[:, 0] < n)]
     votes = np.zeros((len(graph["hub_doc"]), LABELS))
     np.add.at(votes, (e[:, 1] - n, y[e[:, 0]]), 1)
     return votes.argmax(1)

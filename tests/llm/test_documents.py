@@ -154,6 +154,27 @@ def test_beliefs_do_not_depend_on_the_batch_and_unsettled_documents_get_some(mon
     assert len(phones(text)) == 21
 
 
+@pytest.mark.parametrize("known, other, kind", [
+    ("+1 (555) 234-5678", "Tel:555-234-5678", "555-234-5678"),
+    ("+1 (555) 234-5678", "ph.5552345678", "5552345678"),
+    ("+1 (555) 234-5678", "234-5678", "234-5678"),
+    ("+1 (555) 234-5678", "5-234-5678", "5-234-5678"),
+    ("4111111111111111", "card=4111.1111.1111.1111", "4111.1111.1111.1111"),
+])
+def test_glued_and_local_spellings_follow_the_recognised_one(known, other, kind):
+    text = f"say {known} now and {other} then and {other} too"
+    (base,), (added,) = pii.find([text])
+    assert len(base) == 1 and [text[a:b] for _, a, b in added] == [kind] * 2 and {k for k, _, _ in added} == {base[0][0]}
+    alone = f"say {other} then and nothing"
+    assert pii.find([alone])[1] == [[]] or other.startswith("card")
+
+
+def test_identical_tokens_are_tied_whatever_they_are():
+    for token in ("Tel:555-234-5678", "12", "x9y8", "234-5678", "a1b22c", "@me"):
+        graph = pii._graph([f"{token} or {token}, not 77"], [[]])
+        assert [0, 1, 1] in graph["edges"].tolist()
+
+
 def png(payload=b"\0\0"):
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(payload)) + chunk(b"IEND", b"")
