@@ -20,7 +20,7 @@ classes; copies are never expanded into pairs.
 Cases: null, empty and blank texts have an empty set, no links and themselves as
 component; fewer words than n make one shingle; a null id never names a
 component (unless all ids in it are null); repeated rows are copies of one
-another.
+another; rows of one id with different texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -100,6 +100,16 @@ class Bands:
         return n - ceil(n * self.t) + 1
 
 
+def _set_hash(element: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return W.mix(np.add.reduceat(W.mix(element + W.STEPS[6]), starts) + sizes.astype(np.uint64))
+
+
+def _same_class(element: np.ndarray, cls: int) -> bool:
+    """Whether the elements are the set of the class, by all bits but those of what it needs."""
+    high = int(_set_hash(element, np.zeros(1, np.int64), np.array([len(element)]))[0]) & ~_NEED
+    return (high or 16) == cls & ~_NEED & (1 << 64) - 1
+
+
 def sketches(row: np.ndarray, element: np.ndarray, n_rows: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class id of each row or 0 for empty sets, key, class id of each key)."""
     sizes = np.bincount(row, minlength=n_rows)
@@ -108,7 +118,7 @@ def sketches(row: np.ndarray, element: np.ndarray, n_rows: int, bands: Bands) ->
     full = np.flatnonzero(sizes)
     if not len(full):
         return cls, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    cls[full] = W.mix(np.add.reduceat(W.mix(element + W.STEPS[6]), (ends - sizes)[full]) + sizes[full].astype(np.uint64))
+    cls[full] = _set_hash(element, (ends - sizes)[full], sizes[full])
     low, high = np.zeros(n_rows, np.int64), np.full(n_rows, -1)
     low[full], high[full] = bands.least(sizes[full]), bands.of(sizes[full])
     need = np.full(n_rows, _NEED)
@@ -388,6 +398,8 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
             cls, tiles = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for first, row, element in shingles(batch.column(1), n):
                 for r, start, end in _slices(row):
+                    if not _same_class(element[start:end], int(cls[first + r])):
+                        continue  # another text of the same id
                     own = tiles[first + r].as_py()
                     made = [pa.array(own, pa.int64()), pa.array([int(cls[first + r])] * len(own)), pa.array([element[start:end].tobytes()] * len(own), pa.binary())]
                     yield pa.RecordBatch.from_arrays(made, ["tile", "cls", "payload"])

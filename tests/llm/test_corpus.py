@@ -83,6 +83,22 @@ def test_jaccard_of_repeated_and_nameless_rows(spark):
     assert got == [(0, 1, None), (0, 1, None), (0, 2, 1), (1, 2, 1), (1, 2, 1)]
 
 
+def test_jaccard_of_one_id_with_different_texts(spark):
+    base = {p: " ".join(f"{p}{k}" for k in range(40)) for p in "abcd"}
+    rows = [(1, base["a"]), (1, base["b"]), (1, base["c"]), (2, base["a"] + " x"), (3, base["b"] + " x"), (4, base["c"] + " x"), (5, base["d"])]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = sorted((r["doc_id"], r["n_similar"], r["component_id"]) for r in jaccard.similar(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect())
+        assert got == [(1, 1, 1)] * 3 + [(2, 1, 1), (3, 1, 1), (4, 1, 1), (5, 0, 5)]
+
+
+def test_only_the_set_of_a_class_counts_as_it():
+    r = np.random.default_rng(2)
+    a, b = (np.unique(r.integers(1, 1 << 63, 50, dtype=np.uint64)) for _ in range(2))
+    cls, _, _ = jaccard.sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2, jaccard.Bands())
+    signed = cls.view(np.int64).tolist()
+    assert [[jaccard._same_class(x, c) for x in (a, b)] for c in signed] == [[True, False], [False, True]]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sketches_lose_no_similar_pair(seed):
     """Every pair of sets at or above the threshold shares as many blocks as its classes ask for."""
