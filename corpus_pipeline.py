@@ -8,7 +8,9 @@ columns of ``documents``; where a text changes, ``n_chars`` follows it.
 2. line dedup: later occurrences of repeated three-line passages are cut; a
    document of which no word is left goes with them;
 3. near duplicates: of each group linked by 5-gram Jaccard similarity of 0.8 or
-   more, the document with the smallest id stays; a row without an id stays;
+   more, one row stays: of the smallest id, then of the least hash of text, one of
+   equal rows; a row without an id only where no row of its group has one.  Rows
+   without a word are in no group, but equal ones with an id are one document;
 4. personal data is replaced by the name of its kind;
 5. best-fit packing of the token pieces into sequences of 2048.
 
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard, lines, packing, pii, quality
+from quillon.llm.components import components
 from quillon.llm.queries_text import byte_bpe
 from quillon.llm.tables import documents, written
 
@@ -38,9 +41,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.similar(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(jaccard.classed(docs).withColumn("_row", F.monotonically_increasing_id()), "classed")
+    links = written(jaccard.join(rows.select("doc_id", "text"))["links"], "linked")
+    root = components(links).select(F.col("node").alias("_cls"), "root")
+    keyed = rows.select("_row", "doc_id", F.xxhash64("text").alias("h"), "_cls").join(root, "_cls", "left").withColumn("root", F.coalesce("root", "_cls"))
+    # what no word is in has no group: its repeated rows are one document, without an id each is its own
+    blank = F.col("root").isNull()
+    alone = blank & F.col("doc_id").isNull()
+    group = ["root", F.when(blank, F.col("doc_id")).alias("i"), F.when(blank, F.col("h")).alias("t")]
+    first = keyed.where(~alone).groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "_row")).alias("m")).select("m._row")
+    stay = first.union(keyed.where(alone).select("_row"))
+    return rows.join(stay.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import words as W
 from .components import components
-from .tables import releasing, small_batches, written
+from .tables import appended, releasing, small_batches, written
 
 TILE = 256
 BUCKET = 512
@@ -475,6 +475,20 @@ def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame
     return rows.join(chosen.where("rep is null").select("cls", "tiles"), "cls").select("cls", "text", "tiles")
 
 
+def classed(df: DataFrame, text: str = "text", n: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
+    """Adds _cls, the class that ``join`` gives each text, or null where there is no word."""
+    bands = Bands(t)
+
+    def classes(texts: pa.Array) -> list[pa.Array]:
+        cls = np.zeros(len(texts), np.int64)
+        for first, row, element in shingles(texts, n):
+            rows = int(row[-1]) + 1 if len(row) else 0
+            cls[first : first + rows] = sketches(row, element, rows, bands)[0].view(np.int64)
+        return [pa.array(cls, mask=cls == 0)]
+
+    return appended(df, classes, text, "_cls long")
+
+
 def _slices(row: np.ndarray):
     at = X.runs(row)
     return zip(row[at].tolist(), at.tolist(), np.append(at[1:], len(row)).tolist())

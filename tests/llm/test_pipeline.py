@@ -42,6 +42,38 @@ def test_stages(spark, sf_dir, docs, rows, tmp_path):
     assert [name for name, _ in C.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "PII", "best-fit packing"]
 
 
+def stays(rows):
+    """One row of each brute-force component: (doc_id, text) of what the near-duplicate stage may keep, by component."""
+    sets = [s for r in rows for s in shingle_sets([r]).values()]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+            if same or not sets[i] and rows[i][0] is not None and rows[i][:2] == rows[j][:2]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    groups = {}
+    for x, r in zip(root, rows):
+        groups.setdefault(x, []).append(r)
+    return [{r[:2] for r in g if r[0] == min((x[0] for x in g if x[0] is not None), default=None)} for g in groups.values()]
+
+
+def test_near_duplicates_decide_by_row(spark, docs, rows):
+    import corpus_pipeline as C
+
+    a, b, c, d = (" ".join(f"{p}{k}" for k in range(40)) for p in "pqrs")
+    more = [(500, b), (500, a), (400, a + " x"), (501, c), (501, c), (501, c), (None, d), (None, d), (None, d + " x"), (None, c), (502, ""), (502, ""), (None, ""), (None, ""), (503, None), (503, "")]
+    whole = [*rows, *rows[30:40], *((None, *r[1:]) for r in rows[40:50]), *((i, t, "en", "s", len(t or "")) for i, t in more)]
+    got = [(r["doc_id"], r["text"]) for r in C.near_duplicates(spark, spark.createDataFrame(whole, docs.schema).repartition(3), "").collect()]
+    want = stays(whole)
+    assert len(got) == len(want)
+    rest = list(got)
+    for group in sorted(want, key=len):
+        hit = next(g for g in rest if g in group)
+        rest.remove(hit)
+    assert not rest and (500, b) in got and (400, a + " x") in got and (500, a) not in got and got.count((501, c)) == 1 and (None, c) not in got
+    assert sum(g in ((None, d), (None, d + " x")) for g in got) == 1 and got.count((502, "")) == 1 and got.count((None, "")) >= 2
+
+
 def test_run_and_empty_tables(spark, sf_dir, none, tmp_path):
     import corpus_pipeline as C
 
