@@ -1,13 +1,14 @@
 """Language identification with hyperdimensional profiles (operator 8).
 
-Each letter has a random +-1 vector.  A letter n-gram's vector binds (multiplies)
+Each letter of any script (a code point, case folded) has a random +-1 vector, made
+from its hash.  A letter n-gram's vector binds (multiplies)
 its letters' vectors, each permuted (rotated) by its place; a document bundles
 (adds) its n-grams' vectors, damped by log(1 + count); a language's prototype
 bundles the unit vectors of its training documents.  The prediction is the
 language of greatest cosine, the score that cosine (0 at least).
 
-The distinct n-grams of a batch are bound once and bundled for all its documents
-by one matrix product.  Prototypes are summed as integers by Spark, so they don't
+The distinct n-grams of a batch are bound once, some at a time, and bundled for all
+its documents: those that many documents hold by one matrix product, others row by row.  Prototypes are summed as integers by Spark, so they don't
 depend on the order of tasks; languages x dimensions numbers reach the driver.
 
 Training uses up to about ``PER_LANGUAGE`` rows of each language, chosen by the
@@ -23,44 +24,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import words as W
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 4_000
-SYMBOLS = 64
+DENSE = 16  # an n-gram that one document in so many holds goes into the product
+BLOCK = 4096
 UNKNOWN = "und"
 _SCALE = 1 << 40
+_LOW = (1 << 21) - 1
 
 _table: np.ndarray | None = None
-_letters: list[np.ndarray] | None = None
 
 
 def symbol_table() -> np.ndarray:
-    """Code point -> symbol: 0 for what is no letter, 1-26 for a-z, 27-58 for Latin-1 letters, 59-63 by hash for all others; case is folded."""
+    """Code point -> symbol: 0 for what is no letter, else the code point with its case folded."""
     global _table
     if _table is None:
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
-            if not (s := chr(c)).isalpha():
-                continue
-            low = ord(s.lower()[0])
-            table[c] = low - 96 if 97 <= low <= 122 else 27 + low - 0xDF if 0xDF <= low <= 0xFE else 59 + low * 2654435761 % 2**32 % 5
+            if (s := chr(c)).isalpha():
+                table[c] = ord(s.lower()[0])
         _table = table
     return _table
 
 
-def letter_vectors() -> list[np.ndarray]:
-    """The letters' vectors, permuted for the first, second and third place."""
-    global _letters
-    if _letters is None:
-        base = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIMENSIONS))
-        _letters = [np.roll(base, 2, 1), np.roll(base, 1, 1), base]
-    return _letters
+def letter_vectors(symbols: np.ndarray) -> np.ndarray:
+    """+-1 vectors of symbols, each from its hash alone."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    bits = W.mix(W.mix(symbols.astype(np.uint64) + W.STEPS[1])[:, None] + W.STEPS[2] * (words + W.U(1)))
+    return np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def bound(grams: np.ndarray) -> np.ndarray:
+    """Vectors of 3-grams of symbols, 21 bits each: the letters' vectors, permuted for their place, multiplied."""
+    letters, place = np.unique(np.stack([grams >> 42, grams >> 21 & _LOW, grams & _LOW]), return_inverse=True)
+    base = letter_vectors(letters)
+    first, second, third = place.reshape(3, -1)
+    return np.roll(base, 2, 1)[first] * np.roll(base, 1, 1)[second] * base[third]
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors of the documents, whether each has a letter)."""
-    table, letters = symbol_table(), letter_vectors()
+    table = symbol_table()
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for first, data, borders in W.chunks(texts, W.CHUNK_BYTES // 2):
         n = len(borders) - 1
@@ -68,7 +75,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         at = lead[borders]
         # documents side by side, each with a blank before it, and one at the end
-        symbols = np.zeros(len(codes) + n + 1, np.uint8)
+        symbols = np.zeros(len(codes) + n + 1, np.int32)
         doc = np.repeat(np.arange(n), np.diff(at))
         symbols[np.arange(len(codes)) + doc + 1] = table[codes]
         owner = np.zeros(len(symbols), np.int64)
@@ -80,16 +87,33 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         symbols, owner = symbols[stay].astype(np.int64), owner[stay]
         if len(symbols) < 3:
             continue
-        gram = symbols[:-2] << 12 | symbols[1:-1] << 6 | symbols[2:]
+        gram = symbols[:-2] << 42 | symbols[1:-1] << 21 | symbols[2:]
         same = (owner[:-2] == owner[1:-1]) & (symbols[1:-1] > 0)  # around a letter; the blank after a document is the next one's
-        keys, times = np.unique(owner[:-2][same] << 18 | gram[same], return_counts=True)
-        if not len(keys):
+        grams, column = np.unique(gram[same], return_inverse=True)
+        if not len(grams):
             continue
-        grams, column = np.unique(keys & (1 << 18) - 1, return_inverse=True)
-        bound = letters[0][grams >> 12] * letters[1][grams >> 6 & 63] * letters[2][grams & 63]
-        counts = np.zeros((n, len(grams)), np.float32)
-        counts[keys >> 18, column] = np.log1p(times)
-        out[first : first + n] = counts @ bound
+        keys, times = np.unique(column * n + owner[:-2][same], return_counts=True)
+        column, row, weight = keys // n, keys % n, np.log1p(times).astype(np.float32)
+        often = np.bincount(column, minlength=len(grams)) * DENSE >= n
+        part, at = out[first : first + n], np.zeros(len(grams), np.int64)
+        for dense in (True, False):
+            chosen = np.flatnonzero(often == dense)
+            for k in range(0, len(chosen), BLOCK):
+                some = chosen[k : k + BLOCK]
+                made = bound(grams[some])
+                at[some] = np.arange(len(some))
+                lo, hi = np.searchsorted(column, [some[0], some[-1] + 1])
+                own = lo + np.flatnonzero(often[column[lo:hi]] == dense)
+                if dense:
+                    counts = np.zeros((n, len(some)), np.float32)
+                    counts[row[own], at[column[own]]] = weight[own]
+                    part += counts @ made
+                    continue
+                own = own[np.argsort(row[own], kind="stable")]
+                for j in range(0, len(own), BLOCK):
+                    few = own[j : j + BLOCK]
+                    starts = X.runs(row[few])
+                    part[row[few][starts]] += np.add.reduceat(made[at[column[few]]] * weight[few, None], starts, axis=0)
     size = np.sqrt((out.astype(np.float64) ** 2).sum(1))
     known = size > 0
     out[known] /= size[known, None].astype(np.float32)

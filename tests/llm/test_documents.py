@@ -80,6 +80,27 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.predict(df, ([], np.zeros((0, langid.DIMENSIONS)))).collect()} == {"und"}
 
 
+SCRIPTS = {
+    "el": "ο ποταμός και η πέτρα είναι κοντά στο χωριό μας σήμερα το πρωί",
+    "ru": "река и камень сегодня утром были рядом с нашей деревней",
+    "uk": "річка і камінь сьогодні вранці були поруч із нашим селом",
+    "ja": "川と石は今朝わたしたちの村の近くにありました",
+    "zh": "今天早上河流和石头就在我们村庄的附近",
+    "pl": "rzeka i kamień są dziś rano blisko naszej wsi, żółta łódź też",
+}
+SHORT = {"el": "η πέτρα", "ru": "были рядом", "uk": "річка вранці", "ja": "村の近く", "zh": "我们村庄", "pl": "żółta łódź"}
+
+
+def test_languages_of_other_scripts(spark):
+    learned = langid.learn(spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(SCRIPTS.items())], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame(list(SHORT.items()), "lang string, text string")
+    got = {r["lang"]: r["lang_pred"] for r in langid.predict(df, learned).collect()}
+    assert got == {x: x for x in SHORT}
+    made = langid.vectors(pa.array(["αβγδε μνξ", "абвгд мно", "אבגדה", "ابجده", "かきくけ", "ΑΒΓΔΕ ΜΝΞ"]))[0]
+    cosine = made @ made.T
+    assert np.abs(cosine[:5, :5] - np.eye(5)).max() < 0.2 and cosine[0, 5] > 0.999
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
