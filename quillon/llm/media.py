@@ -17,7 +17,9 @@ equal bytes give equal results; result columns replace others of their name.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+from bisect import bisect_left
 from zlib import crc32
 
 import numpy as np
@@ -120,19 +122,39 @@ def _bmp(b: memoryview, i: int) -> int:
 def _zip(b: memoryview, i: int) -> int:
     if len(b) < i + 30:
         return 0
-    end = bytes(b[i:]).find(b"PK\x05\x06")
-    if end < 0 or i + end + 22 > len(b):
-        return 0
-    size, offset, note = struct.unpack("<IIH", b[i + end + 12 : i + end + 22])
-    whole = end + 22 + note
-    return whole if offset + size == end and i + whole <= len(b) and bytes(b[i + offset : i + offset + 4]) == b"PK\x01\x02" else 0
+    own = bytes(b[i:])
+    end = own.find(b"PK\x05\x06")
+    while 0 <= end <= len(own) - 22:  # an archive stored inside has an end record of its own, which doesn't fit
+        size, offset, note = struct.unpack("<IIH", own[end + 12 : end + 22])
+        whole = end + 22 + note
+        if offset + size == end and whole <= len(own) and own[offset : offset + 4] == b"PK\x01\x02":
+            return whole
+        end = own.find(b"PK\x05\x06", end + 1)
+    return 0
+
+
+_PDF = re.compile(rb"%PDF-[0-9]\.")
+_PDF_END = re.compile(rb"%%EOF[\r\n]*")
+_START = re.compile(rb"startxref\s{1,9}([0-9]{1,15})\s{1,9}\Z")
+_XREF = re.compile(rb"\s{0,9}(?:xref\b|[0-9]{1,10}\s{1,9}[0-9]{1,10}\s{1,9}obj\b)")
 
 
 def _pdf(b: memoryview, i: int) -> int:
-    if len(b) < i + 8 or not (48 <= b[i + 5] <= 57 and b[i + 6] == 46):
+    """To the last %%EOF whose startxref fits this file and no later one; where none fits, to the last before the next file."""
+    own = bytes(b[i:])
+    heads = [m.start() for m in _PDF.finditer(own)]
+    if len(own) < 8 or heads[:1] != [0]:
         return 0
-    end = bytes(b[i:]).find(b"%%EOF")
-    return end + 5 if end > 0 else 0
+    loose, fits = 0, 0
+    for m in _PDF_END.finditer(own):
+        if len(heads) < 2 or m.start() < heads[1]:
+            loose = m.end()
+        if said := _START.search(own, max(0, m.start() - 48), m.start()):
+            before = heads[: bisect_left(heads, m.start())]
+            owner = next((h for h in reversed(before) if h + int(said[1]) < m.start() and _XREF.match(own, h + int(said[1]))), None)
+            if owner == 0:
+                fits = m.end()
+    return fits or loose
 
 
 def _gzip(b: memoryview, i: int) -> int:

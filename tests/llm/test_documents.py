@@ -226,6 +226,33 @@ def test_zip_gzip_pdf():
         assert media.objects(b"??" + content + b"..") == [(kind, 2, len(content))]
 
 
+def pdf_update(before=b"%PDF-1.4\n", tail=b"\n"):
+    return before + b"xref\n0 0\ntrailer <<>>\nstartxref\n" + str(len(before)).encode() + b"\n%%EOF" + tail
+
+
+def test_whole_pdfs_and_zips(spark):
+    import io
+    import zipfile
+
+    plain, updated = pdf_update(), pdf_update(pdf_update() + b"1 0 obj <<>> endobj\n", b"\r\n")
+    linear = b"%PDF-1.4\n1 0 obj <<>> endobj\nxref\n0 0\nstartxref\n0\n%%EOF\n2 0 obj <<>> endobj\n"
+    linear = pdf_update(linear)
+    holding = pdf_update(b"%PDF-1.4\n1 0 obj stream\n" + plain + b"endstream endobj\n")
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a", "b")
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("in.zip", inner.getvalue())
+        z.writestr("c", "d")
+    for content, kind in ((plain, "application/pdf"), (updated, "application/pdf"), (linear, "application/pdf"), (holding, "application/pdf"), (outer.getvalue(), "application/zip")):
+        assert media.objects(b"??" + content + b"..") == [(kind, 2, len(content))]
+        assert media.objects(content)[0] == (kind, 0, len(content))
+        assert media.objects(b"?" + content + content) == [(kind, 1, len(content)), (kind, 1 + len(content), len(content))]
+    df = spark.createDataFrame([(1, updated, "text/plain")], "doc_id long, content binary, declared_type string")
+    (r,) = media.sniff(df).collect()
+    assert (r["media_type"], r["corrected"], r["embedded"]) == ("application/pdf", True, [])
+
+
 def test_sniff_and_carve(spark):
     carrier = media.store_bytes(b"before" + png() + b"after")
     rows = [(1, png(), "image/jpeg", "e"), (2, carrier, None, "e"), (3, b"plain", "text/plain", None), (4, None, "x", None), (5, b"", None, None)]
