@@ -6,8 +6,10 @@ later occurrence covers go, overlaps merged.  All windows are judged on the text
 as they came in.
 
 Windows that repeat within an Arrow batch are settled there, so a passage that a
-third of all rows share is sent once a batch.  The rest meets by hash; what comes
-back is one short row per document and target, joined to the texts once.
+third of all rows share sends its key once a batch; its later occurrences there
+are known already and go by document, not by key.  The rest meets by two independent
+hashes of 64 bits; what comes back is one short row per document and target, joined
+to the texts once.
 
 Cases: a null text stays null (no lines); a text of fewer than three lines stays;
 windows of blank lines only are no repeats; a null id comes before all others;
@@ -27,35 +29,39 @@ from . import exchange as X
 from . import words as W
 from .tables import releasing, small_batches
 
-_FIELDS = {"key": "<u8", "doc": "<i8", "tie": "<i8", "pos": "<i4"}
+_FIELDS = {"key": "<u8", "check": "<u8", "doc": "<i8", "tie": "<i8", "pos": "<i4"}
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
-def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first line, hash) of every window of three lines with a word."""
-    rows, places, keys = [], [], []
+def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first line, hash, second hash) of every window of three lines with a word."""
+    rows, places, keys, checks = [], [], [], []
     for first, data, borders in W.chunks(texts):
         doc, start, length = W.lines(data, borders)
-        h = np.full(len(doc), _EMPTY)
         full = length > 0
-        h[full] = W.segment_hash(data, start[full], length[full], W.BYTE_HASH)
-        at, g = W.grams(h, doc, 3)
+        made = []
+        for lane in (0, 1):
+            h = np.full(len(doc), _EMPTY)
+            h[full] = W.segment_hash(data, start[full], length[full], W.BYTE_HASH, lane)
+            at, g = W.grams(h, doc, 3)
+            made.append(g)
         solid = np.concatenate([[0], np.cumsum(~W.BLANK[data])])
         has = solid[start + length] > solid[start]
         some = has[at] | has[at + 1] | has[at + 2] if len(at) else np.zeros(0, bool)
-        at, g = at[some], g[some]
+        at = at[some]
         rows.append(doc[at] + first)
         places.append(at - np.searchsorted(doc, doc[at]))
-        keys.append(g)
+        keys.append(made[0][some])
+        checks.append(made[1][some])
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(places), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(keys), np.concatenate(checks)
 
 
 def _later(entry: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(entries that come first of their key, entries that come later), as indices; equal references are one occurrence."""
-    order = np.lexsort((entry["pos"], entry["tie"], entry["doc"], entry["key"]))
-    at = X.runs(entry["key"][order])
+    order = np.lexsort((entry["pos"], entry["tie"], entry["doc"], entry["check"], entry["key"]))
+    at = X.runs(entry["key"][order], entry["check"][order])
     leader = order[np.repeat(at, np.diff(at, append=len(order)))]
     same = np.ones(len(order), bool)
     for f in ("doc", "tie", "pos"):
@@ -63,6 +69,11 @@ def _later(entry: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[at], order[~same]
 
 
+def home(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The key that a document's own entries meet by."""
+    return W.mix(doc.view(np.uint64) * W.STEPS[0] + tie.view(np.uint64))
+
+
 def _remove(text: str | None, places: list[bytes] | None) -> tuple[str | None, int, int]:
     if text is None:
         return None, 0, 0
@@ -85,12 +96,13 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 
     def spread(batches):
         for batch in batches:
-            row, place, key = windows(batch.column(2))
+            row, place, key, check = windows(batch.column(2))
             doc, tie = X.ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            entry = {"key": key, "doc": doc[row], "tie": tie[row], "pos": place.astype("<i4")}
+            entry = {"key": key, "check": check, "doc": doc[row], "tie": tie[row], "pos": place.astype("<i4")}
             first, later = _later(entry)
-            for kind, own in ((0, first), (1, later)):
-                yield from X.blobs(kind, key[own], {f: v[own] for f, v in entry.items()}, n)
+            yield from X.blobs(0, key[first], {f: v[first] for f, v in entry.items()}, n)
+            nothing = np.zeros((len(later), 0), np.uint64)  # what is known to go needs no key
+            yield from X.blobs(1, home(entry["doc"][later], entry["tie"][later]), {f: nothing if f in ("key", "check") else v[later] for f, v in entry.items()}, n)
 
     def settle(batches):
         found = X.gathered(batches, _FIELDS)

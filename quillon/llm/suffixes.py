@@ -4,22 +4,25 @@ A string of ``LENGTH`` bytes is anchored at the least hash among its K-grams, so
 equal strings have the same anchor at the same place wherever they are, and only
 anchors (about one in 16 bytes) are exchanged, not positions.
 
-1. Each anchor is sent as two short hashes: of its K-gram, and of the span of all
-   strings that it anchors there.  Where both are known from an earlier document
-   the whole span goes; where the K-gram is new everywhere it stays.
-2. Only where spans differ around one K-gram (the ends of shared passages) are the
-   spans' bytes sent.  Their suffixes from the anchor on are sorted by mergesort;
-   a comparison finds the common extension by binary search over prefix
-   polynomial hashes, so it takes a logarithm of its length.  Neighbours' common
-   extensions and the hashes of what stands before the anchor give the equal
-   strings, and every string that is to go is compared byte by byte with the
-   earlier one, against collisions.
-3. K-grams around which very many spans differ (a passage in a third of all rows,
-   each with other neighbours) are sent string by string instead, so that no
-   group is large: a string is then settled by its 64-bit hash.
-
-Texts travel as compressed blocks of about a megabyte, written once.  Within a block
-equal spans are settled at once and sent once, however many documents share them.
+1. Of each anchor's K-gram a short hash is sent, once a block of documents, with the
+   least document that holds it there.  A K-gram of one document only stays.
+2. Of every other anchor the context is sent: the bytes of all strings that it
+   anchors.  The contexts' suffixes from the anchor on are sorted by mergesort; a
+   comparison finds the common extension by binary search over prefix polynomial
+   hashes, so it takes a logarithm of its length.  Neighbours in that order are then
+   compared byte by byte (should hashes have misled it, the part is sorted again by
+   its bytes).  Runs of the order with a common extension and an equal left part are
+   the equal strings; every string that is to go is compared byte by byte with that
+   of the least document.
+3. A K-gram with very many different contexts (the edge of a passage in a third of all
+   rows, each with other neighbours) is split by string: each string is a context of
+   its own, sorted and compared in the same way, sent once a block.
+
+Texts travel as compressed blocks of about a megabyte, written once; a longer text is
+a block of its own, whose anchors are found piece by piece.  Equal contexts within a
+block are compared by their bytes there and sent once, however many documents share
+them, so what a task gets of one K-gram or string grows with the number of blocks, not
+of rows.  The number of tasks grows with the texts.
 
 Cases: null text is empty; texts shorter than LENGTH lose nothing; documents of
 equal id don't cover one another; a null id comes before all others; strings
@@ -44,21 +47,24 @@ K = 20
 SPAN = LENGTH - K + 1  # strings that one anchor can have, and K-grams in a string
 BLOCK_BYTES = 1 << 20  # compressed, less than half a region of a small JVM heap
 CHUNK_BYTES = 1 << 18  # of a block, hashed at once
+TARGET_BYTES = 8 << 20  # of texts whose anchors meet in one task
+READ_BYTES = 64 << 20  # of texts that one task joins with what was found of them
 PART = 20_000  # contexts sorted at once
-ROUNDS = 16  # parts in which a target's spans are compared
+ROUNDS = 16  # parts in which a target's K-grams are counted
 HOT = 2_000
 _U = np.uint64
-_INVERSE = pow(W._BASE, -1, 1 << 64)
-_inverse_powers = np.ones(1, np.uint64)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_tables: dict[int, np.ndarray] = {}
 
 
-def inverse_powers(n: int) -> np.ndarray:
-    global _inverse_powers
-    if len(_inverse_powers) < n:
-        made = np.full(1 << max(8, (n - 1).bit_length()), _INVERSE, np.uint64)
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """The first n powers of the hash base, modulo 2**64; enough for contexts, which are too short for texts built against it."""
+    if len(own := _tables.get(base, W.BYTE_HASH[:0])) < n:
+        made = np.full(1 << max(8, (n - 1).bit_length()), base, np.uint64)
         made[0] = 1
-        _inverse_powers = np.multiply.accumulate(made)
-    return _inverse_powers[:n]
+        own = _tables[base] = np.multiply.accumulate(made)
+    return own[:n]
 
 
 class Prefixes:
@@ -67,10 +73,10 @@ class Prefixes:
     def __init__(self, data: np.ndarray):
         self.data = data
         values = W.BYTE_HASH[data]
-        values *= W.powers(len(data))
+        values *= powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values, out=self.sums[1:])
-        self.back = inverse_powers(len(data) + 1)
+        self.back = powers(len(data) + 1, _INVERSE)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -169,36 +175,80 @@ def anchors(data: np.ndarray, borders: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": np.searchsorted(borders, p1, side="right") - 1, "key": gram[at], "span": span, "at": at, "p1": p1, "p2": p2}
 
 
+def _pieces(borders: np.ndarray):
+    """(first document, one after the last, first byte, one after the last) of what is hashed at once; pieces of a long text overlap."""
+    i = 0
+    while i < len(borders) - 1:
+        j = max(i + 1, int(np.searchsorted(borders, borders[i] + CHUNK_BYTES, side="right")) - 1)
+        a, z = int(borders[i]), int(borders[j])
+        while z - a > CHUNK_BYTES + LENGTH:
+            yield i, j, a, a + CHUNK_BYTES + LENGTH - 1
+            a += CHUNK_BYTES
+        yield i, j, a, z
+        i = j
+
+
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the bytes of segments, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 class Block:
-    """A block of documents, unpacked, with its anchors and what each stands for."""
+    """A block of documents, unpacked, with its anchors."""
 
     def __init__(self, ids: bytes, lengths: bytes, text: bytes):
         self.ids = np.frombuffer(ids, "<i8")
         self.borders = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i8"))])
         self.data = np.frombuffer(zstandard.decompress(text, max_output_size=max(1, int(self.borders[-1]))), np.uint8) if self.borders[-1] else np.zeros(0, np.uint8)
-        parts, i = [], 0
-        while i < len(self.ids):
-            j = max(i + 1, int(np.searchsorted(self.borders, self.borders[i] + CHUNK_BYTES, side="right")) - 1)
-            base = self.borders[i]
-            made = anchors(self.data[base : self.borders[j]], self.borders[i : j + 1] - base)
+        parts = [anchors(np.zeros(0, np.uint8), np.zeros(1, np.int64))]
+        for i, j, a, z in _pieces(self.borders):
+            made = anchors(self.data[a:z], np.clip(self.borders[i : j + 1] - a, 0, z - a))
             made["row"] += i
             for f in ("at", "p1", "p2"):
-                made[f] += base
+                made[f] += a
             parts.append(made)
-            i = j
-        self.entry = {f: np.concatenate([p[f] for p in parts]) for f in parts[0]} if parts else anchors(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        self.entry = {f: np.concatenate([p[f] for p in parts]) for f in parts[0]}
         self.doc = self.ids[self.entry["row"]]
-        # one entry a span: the least document's first; the same document's others share its fate, later ones are covered
-        order = np.lexsort((self.entry["p1"], self.doc, self.entry["span"], self.entry["key"]))
-        at = X.runs(self.entry["key"][order], self.entry["span"][order])
-        self.stands = np.empty(len(order), np.int64)
-        self.stands[order] = order[np.repeat(at, np.diff(at, append=len(order)))]
-        self.covered = self.doc > self.doc[self.stands]
-        self.sent = np.sort(order[at])
-
-    def by_target(self, entries: np.ndarray, n: int):
+        self.order = np.lexsort((self.entry["p1"], self.doc, self.entry["span"], self.entry["key"]))
+        key = self.entry["key"][self.order]
+        at = X.runs(key)
+        size = np.diff(at, append=len(key))
+        self.group = np.empty(len(key), np.int64)  # of each entry: its K-gram's number
+        self.group[self.order] = np.repeat(np.arange(len(at)), size)
+        doc = self.doc[self.order]
+        new = np.ones(len(key), np.int64)
+        new[1:] = self.entry["span"][self.order][1:] != self.entry["span"][self.order][:-1]
+        some = len(at) > 0
+        low, high = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if some else (doc, doc)
+        new[at] = 1
+        #: of each K-gram: hash, least document, how many contexts (at most 127), and 128 if more than one document has it
+        self.grams = key[at], low, (np.minimum(np.add.reduceat(new, at) if some else new, 127) | np.where(high > low, 128, 0)).astype(np.uint8)
+
+    def stand(self) -> None:
+        """For each entry the first one of its block with the same bytes (``stands``); those of later documents are ``covered``."""
+        e, order = self.entry, self.order
+        at = X.runs(e["key"][order], e["span"][order])
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[np.repeat(at, np.diff(at, append=len(order)))]
+        mine = np.flatnonzero(lead != np.arange(len(lead)))
+        for k in range(0, len(mine), 1 << 14):
+            own = mine[k : k + (1 << 14)]
+            other = lead[own]
+            size = e["p2"][own] - e["p1"][own] + LENGTH
+            same = (e["p2"][other] - e["p1"][other] + LENGTH == size) & (e["at"][own] - e["p1"][own] == e["at"][other] - e["p1"][other])
+            lead[own[~same]] = own[~same]
+            own, other, size = own[same], other[same], size[same]
+            if len(own):
+                apart = self.data[_flat(e["p1"][own], size)] != self.data[_flat(e["p1"][other], size)]
+                bad = np.add.reduceat(apart, np.cumsum(size) - size) > 0
+                lead[own[bad]] = own[bad]
+        self.stands, self.covered = lead, self.doc > self.doc[lead]
+
+    @staticmethod
+    def by_target(key: np.ndarray, entries: np.ndarray, n: int):
         """(target, entries) in a fixed order, so that replies need no names."""
-        target = X.target_of(self.entry["key"][entries], n)
+        target = X.target_of(key[entries], n)
         order = np.argsort(target, kind="stable")
         target, entries = target[order], entries[order]
         at = X.runs(target)
@@ -206,88 +256,153 @@ class Block:
             yield t, entries[a:b]
 
     def codes(self, replies: list, n: int) -> np.ndarray:
-        """First-round verdicts of the sent entries: 0 stays, 1 goes, 2 and 3 as asked."""
-        code = np.zeros(len(self.doc), np.uint8)
+        """First-round verdicts of the entries: 0 stays, 2 is to be sent as it is, 3 by string."""
+        code = np.zeros(len(self.grams[0]), np.uint8)
         got = {r["target"]: r["reply"] for r in replies if r["round"] == 1}
-        for t, own in self.by_target(self.sent, n):
+        for t, own in self.by_target(self.grams[0], np.arange(len(code)), n):
             code[own] = np.frombuffer(zstandard.decompress(got[t]), np.uint8)
-        return code
+        return code[self.group]
 
     def contexts(self, own: np.ndarray) -> tuple[bytes, np.ndarray]:
-        p1, size = self.entry["p1"][own], self.entry["p2"][own] - self.entry["p1"][own] + LENGTH
-        ends = np.cumsum(size)
-        index = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(p1, size)
-        return self.data[index].tobytes(), size
+        size = self.entry["p2"][own] - self.entry["p1"][own] + LENGTH
+        return self.data[_flat(self.entry["p1"][own], size)].tobytes(), size
 
-    def strings(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(entry, start, hash) of every string of the entries, and each hash once with its least document."""
+    def strings(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entry, start, hash, the place of the first equal one by document) of every string of the entries."""
         size = self.entry["p2"][own] - self.entry["p1"][own] + 1
-        ends = np.cumsum(size)
-        of = np.repeat(own, size)
-        start = self.entry["p1"][of] + np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        of, start = np.repeat(own, size), _flat(self.entry["p1"][own], size)
         h = np.zeros(len(start), np.uint64)
-        for a in range(0, len(start), 1 << 16):
-            s = start[a : a + (1 << 16)]
-            rows = self.data[s[:, None] + np.arange(LENGTH)]
-            h[a : a + (1 << 16)] = W.mix((W.BYTE_HASH[rows] * W.powers(LENGTH)).sum(1, dtype=np.uint64))
-        return of, start, h
-
-
-def _first_round(key: np.ndarray, span: np.ndarray, doc: np.ndarray, hot: int) -> np.ndarray:
-    order = np.lexsort((doc, span, key))
-    k, s, d = key[order], span[order], doc[order]
-    at = X.runs(k, s)
-    size = np.diff(at, append=len(k))
-    least = np.repeat(d[at], size)
-    code = np.where(d > least, 1, 0).astype(np.uint8)
-    groups = X.runs(k[at])
-    spans = np.diff(groups, append=len(at))
-    low, high = np.minimum.reduceat(d[at], groups), np.maximum.reduceat(d[at], groups)
-    mixed = np.where((spans > 1) & (low < high), np.where(spans > hot, 3, 2), 0)
-    ask = np.repeat(np.repeat(mixed, spans), size)
-    head = np.zeros(len(k), bool)
-    head[at] = True
-    # one entry of a span asks for all of the least document (entries are sent once a block)
-    head |= d == least
-    code = np.where((code == 0) & head, ask, code).astype(np.uint8)
-    out = np.empty(len(code), np.uint8)
-    out[order] = code
+        for a in range(0, len(start), 1 << 15):
+            rows = self.data[start[a : a + (1 << 15), None] + np.arange(LENGTH)]
+            h[a : a + (1 << 15)] = W.mix((W.BYTE_HASH[rows] * W.factors(LENGTH)).sum(1, dtype=np.uint64))
+        order = np.lexsort((start, self.doc[of], h))
+        at = X.runs(h[order])
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[np.repeat(at, np.diff(at, append=len(order)))]
+        for a in range(0, len(start), 1 << 15):
+            w = np.arange(a, min(a + (1 << 15), len(start)))
+            same = (self.data[start[w][:, None] + np.arange(LENGTH)] == self.data[start[lead[w]][:, None] + np.arange(LENGTH)]).all(1)
+            lead[w[~same]] = w[~same]
+        return of, start, h, lead
+
+    def left(self, begins: np.ndarray, ends: np.ndarray):
+        """Rows of the documents without the bytes of the intervals."""
+        order = np.argsort(begins, kind="stable")
+        begins, ends = begins[order], np.maximum.accumulate(ends[order]) if len(order) else ends
+        out = np.zeros(len(self.data), bool)
+        new = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]])) if len(begins) else np.zeros(0, np.int64)
+        a, z = begins[new], ends[np.append(new[1:] - 1, len(ends) - 1)] if len(new) else ends
+        out[_flat(a, z - a)] = True
+        rows, names = [], (["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [*(pa.int64(),) * 4, pa.binary()])
+        for k, doc in enumerate(self.ids.tolist()):
+            a, z = self.borders[k], self.borders[k + 1]
+            gone = out[a:z]
+            removed = int(gone.sum())
+            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if removed else 0
+            kept = (self.data[a:z][~gone] if removed else self.data[a:z]).tobytes()
+            rows.append((None if doc == X.NULL_ID else doc, int(z - a), removed, spans, kept))
+            if len(rows) == 256:
+                yield _batch(rows, *names)
+                rows = []
+        if rows:
+            yield _batch(rows, *names)
+
+
+def _first_round(key: np.ndarray, doc: np.ndarray, about: np.ndarray, hot: int) -> np.ndarray:
+    order = np.argsort(key, kind="stable")
+    at = X.runs(key[order])
+    d, a = doc[order], about[order]
+    many = (np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at)) | (np.maximum.reduceat(a, at) >= 128)
+    contexts = np.add.reduceat((a & 127).astype(np.int64), at)
+    out = np.empty(len(key), np.uint8)
+    out[order] = np.repeat(np.where(many, np.where(contexts > hot, 3, 2), 0), np.diff(at, append=len(key)))
+    return out
+
+
+def _extensions(data: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Length of the common extension of the suffixes at a and b, at most ``room``, byte by byte."""
+    out = room.astype(np.int64)
+    for k in range(0, len(a), 1 << 12):
+        w = slice(k, k + (1 << 12))
+        columns = np.arange(int(room[w].max(initial=0)))
+        inside = columns < room[w][:, None]
+        last = len(data) - 1
+        apart = (data[np.minimum(a[w][:, None] + columns, last)] != data[np.minimum(b[w][:, None] + columns, last)]) & inside
+        some = apart.any(1)
+        out[w] = np.where(some, apart.argmax(1) if len(columns) else 0, room[w])
     return out
 
 
+def verified_order(text: Prefixes, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes by group and content, common extension of each with the next), true to the bytes whatever the hashes say."""
+    order = suffix_sort(text, start, end, group)
+    for last in (False, True):
+        a, b = order[:-1], order[1:]
+        la, lb = end[a] - start[a], end[b] - start[b]
+        room = np.where(group[a] == group[b], np.minimum(la, lb), 0)
+        shared = _extensions(text.data, start[a], start[b], room)
+        top = len(text.data) - 1
+        right = np.where(shared == room, la <= lb, text.data[np.minimum(start[a] + shared, top)] < text.data[np.minimum(start[b] + shared, top)])
+        if last or (right | (group[a] != group[b])).all():
+            return order, shared
+        raw = text.data.tobytes()  # equal hashes of different bytes
+        order = np.array(sorted(range(len(start)), key=lambda k: (group[k], raw[start[k] : end[k]])), np.int64)
+    raise AssertionError
+
+
 def covered_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Bit masks: which of the strings of each context (by start) also start in a smaller document's."""
     mask = np.zeros(len(start), np.uint32)
     if len(start) < 2:
         return mask
     text = Prefixes(data)
-    centre, end = start + anchor, start + size
-    order = suffix_sort(text, centre, end, key)
-    c, e, s = centre[order], end[order], start[order]
-    room = np.minimum(e[1:] - c[1:], e[:-1] - c[:-1])
-    shared = np.where(key[order][1:] == key[order][:-1], text.common(c[1:], c[:-1], room), 0)
+    left = text.hash(start, start + anchor) + anchor.astype(np.uint64) * W.STEPS[0]
+    first = np.lexsort((doc, left, key))  # the sort is stable, so equal contexts stay side by side, by document
+    centre, end = (start + anchor)[first], (start + size)[first]
+    order, shared = verified_order(text, centre, end, key[first])
+    order = first[order]
+    # equal contexts: the first stands for all, those of later documents go whole
+    c, e, s = (start + anchor)[order], (start + size)[order], start[order]
+    equal = (key[order][1:] == key[order][:-1]) & (shared == e[1:] - c[1:]) & (shared == e[:-1] - c[:-1]) & (anchor[order][1:] == anchor[order][:-1])
+    some = np.flatnonzero(equal)
+    equal[some] = _extensions(data, s[some], s[some + 1], anchor[order][some]) == anchor[order][some]
+    head = np.flatnonzero(np.concatenate([[True], ~equal]))
+    number = np.cumsum(np.concatenate([[True], ~equal])) - 1
+    lead = order[head[number]]
+    later = doc[order] > doc[lead]
+    strings = (size[order] - LENGTH + 1).astype(np.uint64)
+    mask[order[later]] = ((_U(1) << strings[later]) - _U(1)).astype(np.uint32)
+    # among different contexts of a K-gram, string by string
+    shared = shared[head[1:] - 1]
+    c, e, s, k, d, names = c[head], e[head], s[head], key[order][head], doc[order][head], order[head]
+    near = np.concatenate([[False], k[1:] == k[:-1]]) | np.concatenate([k[1:] == k[:-1], [False]])
+    found = np.zeros(len(head), np.uint32)
     for offset in range(SPAN):  # of the anchor within the string
-        has = (c - offset >= s) & (c - offset + LENGTH <= e)
-        run = np.cumsum(np.concatenate([[0], shared < LENGTH - offset]))
+        has = near & (c - offset >= s) & (c - offset + LENGTH <= e)
         own = np.flatnonzero(has)
         if len(own) < 2:
             continue
+        run = np.cumsum(np.concatenate([[0], (shared < LENGTH - offset) | (k[1:] != k[:-1])]))
         left = text.hash(c[own] - offset, c[own])
-        d = doc[order][own]
-        by = np.lexsort((d, left, run[own]))
-        at = X.runs(run[own][by], left[by])
-        lead = np.repeat(by[at], np.diff(at, append=len(by)))
-        later = d[by] > d[lead]
-        mine, other = own[by[later]], own[lead[later]]
         columns = np.arange(LENGTH) - offset
-        same = np.ones(len(mine), bool)
-        for a in range(0, len(mine), 1 << 15):
-            w = slice(a, a + (1 << 15))
-            same[w] = (data[c[mine[w]][:, None] + columns] == data[c[other[w]][:, None] + columns]).all(1)
-        if not same.all():
-            raise ArithmeticError("two strings have equal hashes")  # 64-bit prefix hashes within one group
-        bit = (c[mine] - offset - s[mine]).astype(np.uint32)
-        np.bitwise_or.at(mask, order[mine], np.uint32(1) << bit)
+        for attempt in (0, 1):
+            by = np.lexsort((d[own], left, run[own]))
+            at = X.runs(run[own][by], left[by])
+            lead = np.repeat(by[at], np.diff(at, append=len(by)))
+            mine, other = own[by], own[lead]
+            pick = np.flatnonzero(d[mine] > d[other])
+            same = np.ones(len(pick), bool)
+            for a in range(0, len(pick), 1 << 14):
+                w = pick[a : a + (1 << 14)]
+                same[a : a + (1 << 14)] = (data[c[mine[w]][:, None] + columns] == data[c[other[w]][:, None] + columns]).all(1)
+            if same.all():
+                break
+            # equal hashes of different bytes: by the bytes themselves
+            rows = np.ascontiguousarray(data[c[own][:, None] + columns]).view(f"V{LENGTH}").ravel()
+            left = np.unique(rows, return_inverse=True)[1].astype(np.uint64)
+        mine = mine[pick]
+        np.bitwise_or.at(found, mine, np.uint32(1) << (c[mine] - offset - s[mine]).astype(np.uint32))
+    mask[order[~later]] |= found[number[~later]]
     return mask
 
 
@@ -302,8 +417,7 @@ def covered_in_parts(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, key
         stop = max(k + 1, int(np.searchsorted(at, at[k] + PART, side="right")) - 1)
         own = order[at[k] : at[stop] if stop < len(at) else len(order)]
         ends = np.cumsum(size[own])
-        index = np.arange(int(ends[-1])) - np.repeat(ends - size[own], size[own]) + np.repeat(start[own], size[own])
-        mask[own] = covered_strings(data[index], ends - size[own], size[own], anchor[own], key[own], doc[own])
+        mask[own] = covered_strings(data[_flat(start[own], size[own])], ends - size[own], size[own], anchor[own], key[own], doc[own])
         k = stop
     return mask
 
@@ -336,7 +450,7 @@ _REPLY_KINDS = ["block", "round", "target", "reply"], [pa.int64(), pa.int32(), p
 
 
 def blocks(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, ids, lengths, text): documents packed and compressed, written once."""
+    """(block, ids, lengths, text, n_bytes): documents packed and compressed, written once."""
 
     def pack(batches):
         task, k = TaskContext.get().partitionId(), 0
@@ -344,47 +458,55 @@ def blocks(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             ids = X.ids(batch.column(0))
             for first, data, borders in W.chunks(batch.column(1), BLOCK_BYTES):
                 n = len(borders) - 1
-                row = (task << 32 | k, ids[first : first + n].tobytes(), np.diff(borders).tobytes(), zstandard.compress(data.tobytes(), 3))
-                yield _batch([row], ["block", "ids", "lengths", "text"], [pa.int64(), *(pa.binary(),) * 3])
+                row = (task << 32 | k, ids[first : first + n].tobytes(), np.diff(borders).tobytes(), zstandard.compress(data.tobytes(), 3), len(data))
+                yield _batch([row], ["block", "ids", "lengths", "text", "n_bytes"], [pa.int64(), *(pa.binary(),) * 3, pa.int64()])
                 k += 1
 
-    return written(df.select(F.col(id).cast("long"), text).mapInArrow(releasing(pack), "block long, ids binary, lengths binary, text binary"), "texts")
+    return written(df.select(F.col(id).cast("long"), text).mapInArrow(releasing(pack), "block long, ids binary, lengths binary, text binary, n_bytes long"), "texts")
 
 
 def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept), kept being the remaining bytes; a row per document."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept), kept being the remaining bytes; a row per document.
+
+    ``hot`` is the number of contexts above which a K-gram is split by string; the result doesn't depend on it.
+    """
     small_batches(df.sparkSession)
-    n = 3 * X.targets(df.sparkSession)  # the exchanges are of short entries, and a task holds all of its own
     packed = blocks(df, id, text)
+    total = packed.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = X.targets(df.sparkSession)
+    n = max(3 * tasks, total // TARGET_BYTES)  # the exchanges are of short entries, and a task holds all of its own
+    readers = max(tasks, total // READ_BYTES)
 
     def send(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 b = Block(r["ids"], r["lengths"], r["text"])
-                for t, own in b.by_target(b.sent, n):
-                    yield _batch([(t, r["block"], 0, _pack(b.entry["key"][own], 5), _pack(b.entry["span"][own], 5), _pack(b.doc[own]), None)], *_SENT_KINDS)
+                key, doc, about = b.grams
+                for t, own in b.by_target(key, np.arange(len(key)), n):
+                    yield _batch([(t, r["block"], 1, _pack(key[own], 5), zstandard.compress(about[own].tobytes(), 1), _pack(doc[own]), None)], *_SENT_KINDS)
 
     def decide(batches):
         names, sizes = [], []
-        keys, spans, docs = [], [], []
+        parts = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 names.append((r["block"], r["target"]))
-                keys.append(_unpack(r["a"], 5) ^ _U(r["target"] << 40))
-                spans.append(_unpack(r["b"], 5))
-                docs.append(_unpack(r["c"]))
-                sizes.append(len(docs[-1]))
+                parts[0].append(_unpack(r["a"], 5) ^ _U(r["target"] << 40))
+                parts[1].append(_unpack(r["c"]))
+                parts[2].append(np.frombuffer(zstandard.decompress(r["b"]), np.uint8))
+                sizes.append(len(parts[0][-1]))
         if not names:
             return
-        joined_fields = []
-        for parts in (keys, spans, docs):
-            joined_fields.append(np.concatenate(parts))
-            parts.clear()
-        key, span, doc = joined_fields
+        fields = []
+        for own in parts:
+            fields.append(np.concatenate(own))
+            own.clear()
+        key, doc, about = fields
         code = np.empty(len(key), np.uint8)
         for k in range(ROUNDS):  # equal keys stay together, and the sorts are small
             own = np.flatnonzero(key % _U(ROUNDS) == k)
-            code[own] = _first_round(key[own], span[own], doc[own], hot)
+            if len(own):
+                code[own] = _first_round(key[own], doc[own], about[own], hot)
         at = 0
         for (block, t), size in zip(names, sizes):
             yield _batch([(block, 1, t, zstandard.compress(code[at : at + size].tobytes(), 3))], *_REPLY_KINDS)
@@ -393,54 +515,50 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
     first = written(X.exchanged(packed.mapInArrow(releasing(send), _SENT), n).mapInArrow(releasing(decide), _REPLY), "first")
 
     def joined(replies: DataFrame) -> DataFrame:
-        lists = replies.groupBy("block").agg(F.collect_list(F.struct("round", "target", "reply")).alias("replies"))
-        return packed.join(lists.hint("shuffle_hash"), "block", "left")
+        lists = replies.repartition(readers, "block").groupBy("block").agg(F.collect_list(F.struct("round", "target", "reply")).alias("replies"))
+        return packed.repartition(readers, "block").join(lists.hint("shuffle_hash"), "block", "left")
+
+    def asked(b: Block, replies: list):
+        """(kind, key, entries in the order sent, what strings there are): contexts (2) and single strings (3) of a block, by target."""
+        code = b.codes(replies, n)
+        b.stand()
+        own = np.flatnonzero((code == 2) & (b.stands == np.arange(len(code))))
+        apart = b.strings(np.flatnonzero((code == 3) & ~b.covered))
+        return code, own, apart
 
     def send_asked(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 b = Block(r["ids"], r["lengths"], r["text"])
-                code = b.codes(r["replies"] or [], n)
-                for t, own in b.by_target(np.flatnonzero(code == 2), n):
+                _, own, (of, start, h, lead) = asked(b, r["replies"] or [])
+                e = b.entry
+                for t, own in b.by_target(e["key"], own, n):
                     raw, size = b.contexts(own)
-                    about = np.stack([size, b.entry["at"][own] - b.entry["p1"][own]]).astype(np.uint8)
-                    yield _batch([(t, r["block"], 2, _pack(b.entry["key"][own], 5), about.tobytes(), _pack(b.doc[own]), zstandard.compress(raw, 3))], *_SENT_KINDS)
-                hot = np.flatnonzero(code == 3)
-                if len(hot):
-                    of, _, h = b.strings(hot)
-                    lead, _ = _least(h, b.doc[of])
-                    lead = np.unique(lead)
-                    target = X.target_of(h[lead], n)
-                    for t in np.unique(target).tolist():
-                        own = lead[target == t]
-                        yield _batch([(t, r["block"], 3, h[own].tobytes(), None, _pack(b.doc[of[own]]), None)], *_SENT_KINDS)
+                    about = np.stack([size, e["at"][own] - e["p1"][own]]).astype(np.uint8)
+                    yield _batch([(t, r["block"], 2, _pack(e["key"][own], 5), about.tobytes(), _pack(b.doc[own]), zstandard.compress(raw, 3))], *_SENT_KINDS)
+                for t, own in b.by_target(h, np.unique(lead), n):
+                    about = np.stack([np.full(len(own), LENGTH), e["at"][of[own]] - start[own]]).astype(np.uint8)
+                    raw = b.data[_flat(start[own], np.full(len(own), LENGTH))].tobytes()
+                    yield _batch([(t, r["block"], 3, _pack(h[own], 5), about.tobytes(), _pack(b.doc[of[own]]), zstandard.compress(raw, 3))], *_SENT_KINDS)
 
     def decide_asked(batches):
-        names, parts, hot_names, hot_parts = [], [], [], []
+        names, parts = [], []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] == 2:
-                    names.append((r["block"], r["target"]))
-                    size, anchor = np.frombuffer(r["b"], np.uint8).reshape(2, -1).astype(np.int64)
-                    raw = zstandard.decompress(r["d"], max_output_size=int(size.sum()))
-                    parts.append((_unpack(r["a"], 5), size, anchor, _unpack(r["c"]), np.frombuffer(raw, np.uint8)))
-                else:
-                    hot_names.append((r["block"], r["target"]))
-                    hot_parts.append((np.frombuffer(r["a"], "<u8"), _unpack(r["c"])))
-        if parts:
-            target = np.repeat(np.array([t for _, t in names], np.uint64), [len(p[0]) for p in parts])
-            key, size, anchor, doc, data = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            mask, at = covered_in_parts(data, size, anchor, key ^ target << _U(40), doc), 0
-            for (block, t), p in zip(names, parts):
-                yield _batch([(block, 2, t, zstandard.compress(mask[at : at + len(p[0])].tobytes(), 3))], *_REPLY_KINDS)
-                at += len(p[0])
-        if hot_parts:
-            h, doc = (np.concatenate([p[k] for p in hot_parts]) for k in range(2))
-            lead, _ = _least(h, doc)
-            later, at = doc > doc[lead], 0
-            for (block, t), p in zip(hot_names, hot_parts):
-                yield _batch([(block, 3, t, np.packbits(later[at : at + len(p[0])]).tobytes())], *_REPLY_KINDS)
-                at += len(p[0])
+                names.append((r["block"], r["target"], r["kind"]))
+                size, anchor = np.frombuffer(r["b"], np.uint8).reshape(2, -1).astype(np.int64)
+                raw = zstandard.decompress(r["d"], max_output_size=int(size.sum()))
+                parts.append((_unpack(r["a"], 5) ^ _U(r["target"] << 40), size, anchor, _unpack(r["c"]), np.frombuffer(raw, np.uint8)))
+        if not parts:
+            return
+        sizes = [len(p[0]) for p in parts]
+        fields = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+        parts.clear()
+        key, size, anchor, doc, data = fields
+        mask, at = covered_in_parts(data, size, anchor, key, doc), 0
+        for (block, t, kind), count in zip(names, sizes):
+            yield _batch([(block, kind, t, zstandard.compress(mask[at : at + count].tobytes(), 3))], *_REPLY_KINDS)
+            at += count
 
     second = X.exchanged(joined(first).mapInArrow(releasing(send_asked), _SENT), n).mapInArrow(releasing(decide_asked), _REPLY)
 
@@ -448,65 +566,24 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
         for batch in batches:
             for r in batch.to_pylist():
                 b, replies = Block(r["ids"], r["lengths"], r["text"]), r["replies"] or []
-                code = b.codes(replies, n)
-                size = len(b.data)
-                edge = np.zeros(size + 1, np.int64)
-
-                def cover(starts, ends):
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, ends, -1)
-
-                full = b.covered | (code[b.stands] == 1)
-                cover(b.entry["p1"][full], b.entry["p2"][full] + LENGTH)
+                code, sent, (of, start, h, lead) = asked(b, replies)
+                e, got = b.entry, {(x["round"], x["target"]): x["reply"] for x in replies}
+                begins, ends = [e["p1"][b.covered]], [e["p2"][b.covered] + LENGTH]
                 mask = np.zeros(len(code), np.uint32)
-                got = {x["target"]: x["reply"] for x in replies if x["round"] == 2}
-                for t, own in b.by_target(np.flatnonzero(code == 2), n):
-                    mask[own] = np.frombuffer(zstandard.decompress(got[t]), np.uint32)
-                mask = np.where(full, 0, mask[b.stands]).astype(np.uint32)
-                for bit in range(SPAN):
-                    own = np.flatnonzero(mask >> np.uint32(bit) & np.uint32(1))
-                    cover(b.entry["p1"][own] + bit, b.entry["p1"][own] + bit + LENGTH)
-                hot = np.flatnonzero(code == 3)
-                if len(hot):
-                    got = {x["target"]: x["reply"] for x in replies if x["round"] == 3}
-                    all_hot = np.flatnonzero((code[b.stands] == 3) & ~full)
-                    of, _, h = b.strings(hot)
-                    lead, _ = _least(h, b.doc[of])
-                    heads = np.unique(lead)
-                    gone = np.zeros(len(h), bool)
-                    target = X.target_of(h[heads], n)
-                    for t in np.unique(target).tolist():
-                        own = heads[target == t]
-                        gone[own] = np.unpackbits(np.frombuffer(got[t], np.uint8))[: len(own)].astype(bool)
-                    least = {}
-                    for k in heads.tolist():
-                        least[int(h[k])] = (gone[k], int(b.doc[of[k]]))
-                    of, start, h = b.strings(all_hot)
-                    own = np.array([least[v][0] or d > least[v][1] for v, d in zip(h.tolist(), b.doc[of].tolist())], bool)
-                    cover(start[own], start[own] + LENGTH)
-                out = np.cumsum(edge[:-1]) > 0
-                rows = []
-                for k, doc in enumerate(b.ids.tolist()):
-                    a, z = b.borders[k], b.borders[k + 1]
-                    gone = out[a:z]
-                    removed = int(gone.sum())
-                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if removed else 0
-                    kept = (b.data[a:z][~gone] if removed else b.data[a:z]).tobytes()
-                    rows.append((None if doc == X.NULL_ID else doc, int(z - a), removed, spans, kept))
-                    if len(rows) == 256:
-                        yield _batch(rows, *_OUT)
-                        rows = []
-                if rows:
-                    yield _batch(rows, *_OUT)
-
-    _OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return joined(first.union(second)).mapInArrow(releasing(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+                for t, own in b.by_target(e["key"], sent, n):
+                    mask[own] = np.frombuffer(zstandard.decompress(got[2, t]), np.uint32)
+                mask = np.where(b.covered, 0, mask[b.stands]).astype(np.uint32)
+                some = np.flatnonzero(mask)
+                for bit in range(SPAN if len(some) else 0):
+                    own = some[mask[some] >> np.uint32(bit) & np.uint32(1) > 0]
+                    begins.append(e["p1"][own] + bit)
+                    ends.append(e["p1"][own] + bit + LENGTH)
+                gone = np.zeros(len(h), bool)
+                for t, own in b.by_target(h, np.unique(lead), n):
+                    gone[own] = np.frombuffer(zstandard.decompress(got[3, t]), np.uint32) > 0
+                own = start[gone[lead] | (b.doc[of] > b.doc[of[lead]])]
+                begins.append(own)
+                ends.append(own + LENGTH)
+                yield from b.left(np.concatenate(begins), np.concatenate(ends))
 
-def _least(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entry of the least document with the same hash, order) for each entry."""
-    order = np.lexsort((doc, h))
-    at = X.runs(h[order])
-    lead = np.empty(len(order), np.int64)
-    lead[order] = order[np.repeat(at, np.diff(at, append=len(order)))]
-    return lead, order
+    return joined(first.union(second)).mapInArrow(releasing(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

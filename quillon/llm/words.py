@@ -22,19 +22,7 @@ BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER_HASH = BYTE_HASH.copy()
 LOWER_HASH[65:91] = BYTE_HASH[97:123]
 STEPS = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash base, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        size = 1 << max(8, (n - 1).bit_length())
-        made = np.full(size, _BASE, np.uint64)
-        made[0] = 1
-        _powers = np.multiply.accumulate(made)
-    return _powers[:n]
+_factors: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def factors(n: int, lane: int = 0) -> np.ndarray:
+    """Random odd factors of the first n places: no text can be built on them, as it can on the powers of a base modulo 2**64."""
+    if len(own := _factors.get(lane, BYTE_HASH[:0])) < n:
+        size = 1 << max(8, (n - 1).bit_length())
+        own = _factors[lane] = mix((np.arange(1, size + 1, dtype=np.uint64) + (U(lane) << U(40))) * U(0x9E3779B97F4A7C15)) | U(1)
+    return own[:n]
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, bytes, document borders in them) for runs of documents of about `limit` bytes; null counts as empty."""
     if texts.null_count:
@@ -64,15 +60,15 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         i = j
 
 
-def segment_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """64-bit hash of each non-empty segment of the bytes."""
+def segment_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each non-empty segment of the bytes; those of two lanes are independent."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     within = np.arange(total) - np.repeat(ends - lengths, lengths)
     values = table[data[np.repeat(starts, lengths) + within]]
-    values *= powers(int(lengths.max()))[within]
+    values *= factors(int(lengths.max()), lane)[within]
     return mix(np.add.reduceat(values, ends - lengths) + lengths.astype(np.uint64))
 
 
