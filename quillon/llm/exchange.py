@@ -20,8 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 NULL_ID = np.iinfo(np.int64).min  # a null id, before all others
 
 
-def targets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+TARGET_BYTES = 16 << 20  # of the input (as its files hold it), per task of an exchange
+MOST_TARGETS = 200_000
+
+
+def targets(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """The session's shuffle partitions; more where the planner knows the input to be larger than so many tasks should hold."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is not None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < 1 << 60:  # else unknown
+            n = max(n, min(size // TARGET_BYTES, MOST_TARGETS))
+    return n
 
 
 def target_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -11,11 +11,22 @@ T + 1 blocks at least.  Blocks that hold nothing are not sent: a class with e of
 them needs T + 1 - e common others, and that many are required of a pair before
 it is verified.  A class with more than T empty blocks sends its least element
 hashes instead (as many as a similar set can't all lack), so no link is lost.
+A pair is looked for in the band of its smaller set only.
+
+Near copies agree in nearly all blocks, so their pairs would come up again and again.
+Each class therefore has ``LABELS`` labels (a least element hash under a permutation),
+which are sent as keys too and travel with its blocks: a pair of one label is made
+where that label's classes meet, and nowhere else.  Sets of up to ``SMALL`` elements
+also carry their size and a parity sketch of 64 bits, so short texts that share a
+footer end as a refused pair in the task where they meet.  A bucket of more than
+``BUCKET`` classes is cut into tiles of other tasks, which compare the parity sketches
+of 1024 bits and write the pairs that pass.  What is left of the candidates is compared
+by these sketches before whole sets follow.
 
 Pairs that pass are verified on whole sets in tiles: neighbours are tiled by
 their common least neighbour, at most about ``TILE`` classes a side, and a tile's
-intersections are one matrix product.  Links are counted with the sizes of the
-classes; copies are never expanded into pairs.
+intersections are one matrix product, one tile in memory at a time.  Links are counted
+with the sizes of the classes; copies are never expanded into pairs.
 
 Cases: null, empty and blank texts have an empty set, no links and themselves as
 component; fewer words than n make one shingle; a null id never names a
@@ -41,12 +52,20 @@ from .tables import appended, releasing, small_batches, written
 
 TILE = 256
 BUCKET = 512
+CHUNK = 2_048  # classes on a side of a tile of a large bucket
+SMALL = 100
+LABELS = 2
+KEY_BYTES = 5
 SKETCH_BITS = 1024
 ROWS = 2_000  # documents whose blocks are sent together
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = 1 << 23, 1 << 27  # least and most, by the number of classes
 _U = np.uint64
 _NEED = 15  # the low bits of a class id hold how many common blocks it needs
+_FOUND = ["kind", "a", "b", "n", "members"]
 _FIELDS = {"key": "<u8", "cls": "<u8"}
+OWN, PROBE, LABEL = 0, 1, 2  # what a key is: a block of the set's band or a least hash, a block of a smaller band, the first label (then the next)
+#: what a target gets of a class: id, labels, size (0: not small) and small sketch
+_CLASS = np.dtype([("cls", "<u8"), ("label", "<u4", LABELS), ("size", "u1"), ("small", "<u8")])
 
 
 def shingles(texts: pa.Array, n: int = 5) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -112,17 +131,23 @@ def _same_class(element: np.ndarray, cls: int) -> bool:
 
 def sketches(row: np.ndarray, element: np.ndarray, n_rows: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class id of each row or 0 for empty sets, key, class id of each key)."""
+    cls, key, owner, _ = _sketched(row, element, n_rows, bands)
+    return cls, key, cls[owner]
+
+
+def _sketched(row: np.ndarray, element: np.ndarray, n_rows: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class id of each row, key, row of each key, OWN or PROBE)."""
     sizes = np.bincount(row, minlength=n_rows)
     ends = np.cumsum(sizes)
     cls = np.zeros(n_rows, np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
-        return cls, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return cls, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
     cls[full] = _set_hash(element, (ends - sizes)[full], sizes[full])
     low, high = np.zeros(n_rows, np.int64), np.full(n_rows, -1)
     low[full], high[full] = bands.least(sizes[full]), bands.of(sizes[full])
     need = np.full(n_rows, _NEED)
-    keys, owners = [], []
+    keys, owners, kinds = [], [], []
     hashed = W.mix(element + W.STEPS[5]) >> _U(32)
     many = np.zeros(n_rows, bool)
     for step in range(int((high - low)[full].max()) + 1):
@@ -147,48 +172,79 @@ def sketches(row: np.ndarray, element: np.ndarray, n_rows: int, bands: Bands) ->
         key = W.mix(value + W.STEPS[0] * (number + _U(1)) + W.STEPS[1] * (band[of] + 1).astype(np.uint64))
         keys.append(key[used])
         owners.append(of[used])
+        kinds.append(np.where(band == high, OWN, PROBE)[of[used]])
     for r in np.flatnonzero(many):
         start = ends[r] - sizes[r]
         own = element[start : start + bands.prefix(int(sizes[r]))]  # elements are sorted, so these are the least
         keys.append(W.mix(own + W.STEPS[4]))
         owners.append(np.full(len(own), r))
+        kinds.append(np.full(len(own), OWN))
     need = np.clip(need, 1, _NEED).astype(np.uint64)
     cls[full] = (cls[full] & ~_U(_NEED)) | need[full]
     cls[full[cls[full] < 16]] += _U(16)
-    return cls, np.concatenate(keys), cls[np.concatenate(owners)]
+    return cls, np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds).astype(np.uint8)
+
+
+def _labels(element: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Labels of sets that start there, 32 bits each."""
+    return np.stack([(W.mix(np.minimum.reduceat(W.mix(element ^ W.STEPS[k]), starts)) >> _U(32)).astype(np.uint32) for k in range(LABELS)], 1)
+
+
+def _small_parity(row: np.ndarray, element: np.ndarray, n_rows: int) -> np.ndarray:
+    """Parity sketches of 64 bits."""
+    out = np.zeros(n_rows, np.uint64)
+    np.bitwise_xor.at(out, row, _U(1) << (W.mix(element + W.STEPS[3]) & _U(63)))
+    return out
 
 
-def _pairs_of_buckets(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(smaller, larger) class of all pairs of the buckets of up to BUCKET classes, and the larger buckets."""
+def _pairs_of_buckets(key: np.ndarray, cls: np.ndarray, wanted=None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(one, other) entry of all wanted pairs of the buckets of up to BUCKET classes, and the entries of larger buckets."""
     order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    at = X.runs(key, cls)
-    key, cls = key[at], cls[at]
-    at = X.runs(key)
-    size = np.diff(at, append=len(key))
+    order = order[X.runs(key[order], cls[order])]
+    at = X.runs(key[order])
+    size = np.diff(at, append=len(order))
     left, right, large = [], [], []
     for z in np.unique(size[size > 1]):
         starts = at[size == z]
         if z > BUCKET:
-            large += [cls[s : s + z] for s in starts]
+            large += [order[s : s + z] for s in starts]
             continue
         i, j = np.triu_indices(int(z), 1)
-        left.append(cls[(starts[:, None] + i).ravel()])
-        right.append(cls[(starts[:, None] + j).ravel()])
-    none = np.zeros(0, np.uint64)
+        some = max(1, (1 << 19) // len(i))
+        for k in range(0, len(starts), some):
+            own = starts[k : k + some, None]
+            x, y = order[(own + i).ravel()], order[(own + j).ravel()]
+            good = wanted(x, y) if wanted else slice(None)
+            left.append(x[good])
+            right.append(y[good])
+    none = np.zeros(0, np.int64)
     return np.concatenate(left or [none]), np.concatenate(right or [none]), large
 
 
-def _counted(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+def _wanted(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which pairs of class records are made where keys of these kinds meet."""
+    good = (fx == fy) | (fx < LABEL) & (fy < LABEL)
+    good &= (fx != PROBE) | (fy != PROBE)
+    for k in range(LABELS):  # a pair of one label is made at that label
+        good &= (x["label"][:, k] != y["label"][:, k]) | (fx >= LABEL) & (fx <= LABEL + k)
+    a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    apart = np.bitwise_count(x["small"] ^ y["small"]).astype(np.int64)
+    good &= (a == 0) | (b == 0) | ((t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (a + b)) & (t.denominator * np.minimum(a, b) >= t.numerator * np.maximum(a, b))
+    return good
+
+
+def _counted(one: np.ndarray, other: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    left, right = np.minimum(one, other), np.maximum(one, other)
     order = np.lexsort((right, left))
-    left, right = left[order], right[order]
+    left, right, times = left[order], right[order], times[order]
     at = X.runs(left, right)
-    n = np.diff(at, append=len(left))
+    n = np.add.reduceat(times, at) if len(at) else times
     return pa.RecordBatch.from_arrays([pa.array(left[at].view(np.int64)), pa.array(right[at].view(np.int64)), pa.array(n.astype(np.int32))], ["a", "b", "n"])
 
 
-def _bloom(values: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A filter of fixed size (so it may be broadcast, whatever the data) of a long column; false hits only cost time."""
+def _bloom(values: DataFrame) -> np.ndarray:
+    """A filter of 16 bits a value, within BLOOM_BITS (so it may be broadcast, whatever the data), of a long column; false hits only cost time."""
+    bits = min(max(BLOOM_BITS[0], 1 << (16 * values.count()).bit_length()), BLOOM_BITS[1])
 
     def part(batches):
         seen = np.zeros(bits // 8, np.uint8)
@@ -244,59 +300,85 @@ def _tile_links(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, t: Fr
     return t.denominator * both >= t.numerator * (sizes[i] + sizes[j] - both)
 
 
-def _compact(key: np.ndarray, owner: np.ndarray, targets: int):
-    """Blobs of five bytes a key (the target holds the rest; a chance meeting is one more pair to check) and runs of classes, compressed."""
+def _compact(key: np.ndarray, owner: np.ndarray, kind: np.ndarray, records: np.ndarray, targets: int):
+    """Blobs of KEY_BYTES a key (the target is known too; a chance meeting is one more pair to check), runs of one class and kind, and the classes."""
     target = X.target_of(key, targets)
-    order = np.argsort(target, kind="stable")
-    key, owner, target = key[order], owner[order], target[order]
+    order = np.lexsort((key, kind, owner, target))
+    key, owner, kind, target = key[order], owner[order], kind[order], target[order]
     at = X.runs(target)
     for t, a, z in zip(target[at].tolist(), at.tolist(), np.append(at[1:], len(target)).tolist()):
-        first = X.runs(owner[a:z])
-        runs = np.concatenate([owner[a:z][first], np.diff(first, append=z - a).astype(np.uint64)])
-        low = np.ascontiguousarray(key[a:z]).view(np.uint8).reshape(-1, 8)[:, :5]
+        first = X.runs(owner[a:z], kind[a:z])
+        who, of = np.unique(owner[a:z][first], return_inverse=True)
+        steps = np.diff(of, prepend=0).astype(np.uint8)  # 0 or 1
+        times = np.diff(first, append=z - a).astype("<u4")
+        raw = b"".join((np.array([len(who), len(first)], "<u4").tobytes(), steps.tobytes(), kind[a:z][first].tobytes(), times.tobytes(), *(records[f][who].tobytes() for f in _CLASS.names[:-1]), records["small"][who[records["size"][who] > 0]].tobytes()))
+        low = np.ascontiguousarray(key[a:z]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([t], pa.int32()), pa.array([0], pa.int32()), pa.array([low.tobytes()], pa.binary()), pa.array([zstandard.compress(runs.tobytes(), 1)], pa.binary())],
+            [pa.array([t], pa.int32()), pa.array([0], pa.int32()), pa.array([low.tobytes()], pa.binary()), pa.array([zstandard.compress(raw, 1)], pa.binary())],
             ["target", "kind", "key", "cls"],
         )
 
 
-def _expanded(key: bytes, cls: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low = np.zeros((len(key) // 5, 8), np.uint8)
-    low[:, :5] = np.frombuffer(key, np.uint8).reshape(-1, 5)
-    names, times = np.frombuffer(zstandard.decompress(cls), "<u8").reshape(2, -1)
-    return low.view("<u8").ravel(), np.repeat(names, times.astype(np.int64))
+def _expanded(key: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low bits of the keys, number of each key's class, kind of each key, class records)."""
+    low = np.zeros((len(key) // KEY_BYTES, 8), np.uint8)
+    low[:, :KEY_BYTES] = np.frombuffer(key, np.uint8).reshape(-1, KEY_BYTES)
+    raw, at = zstandard.decompress(packed), 8
+
+    def take(dtype, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, dtype, n, at)
+        at += out.nbytes
+        return out
 
+    classes, runs = np.frombuffer(raw, "<u4", 2).tolist()
+    of, kind, times = np.cumsum(take("u1", runs).astype(np.int64)), take("u1", runs), take("<u4", runs).astype(np.int64)
+    records = np.zeros(classes, _CLASS)
+    records["cls"] = take("<u8", classes)
+    records["label"] = take("<u4", classes * LABELS).reshape(-1, LABELS)
+    records["size"] = take("u1", classes)
+    small = np.flatnonzero(records["size"])
+    records["small"][small] = take("<u8", len(small))
+    return low.view("<u8").ravel(), np.repeat(of, times), np.repeat(kind, times), records
 
-def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands) -> DataFrame:
-    """Blobs of block keys (kind 0) and a row per document (kind 1: key is the set's size) by target."""
-    targets = X.targets(df.sparkSession)
+
+def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands, targets: int) -> DataFrame:
+    """Blobs of keys (kind 0), rows of documents (kind 1: key holds the sets' sizes) and sketches (kind 2) by target."""
 
     def spread(batches):
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = X.ids(batch.column(0))
-            classes, numbers, keys, owners = [], [], [], []
+            records, sizes = np.zeros(len(ids), _CLASS), np.zeros(len(ids), np.int64)
+            keys, owners, kinds = [], [], []
             parities: dict[int, bytes] = {}
             for first, row, element in shingles(batch.column(1), n):
-                rows = int(min(len(ids), first + (row[-1] + 1 if len(row) else 0))) - first
-                cls, key, owner = sketches(row, element, rows, bands)
-                classes.append(np.stack([np.arange(first, first + rows).astype(np.uint64), cls]))
-                numbers.append(np.bincount(row, minlength=rows))
+                rows = int(row[-1]) + 1 if len(row) else 0
+                cls, key, owner, kind = _sketched(row, element, rows, bands)
+                size = np.bincount(row, minlength=rows)
+                full, own = np.flatnonzero(size), records[first : first + rows]
+                own["cls"], sizes[first : first + rows] = cls, size
+                small = size <= SMALL
+                own["size"] = np.where(small, size, 0)
+                own["small"] = np.where(small & (size > 0), _small_parity(row, element, rows), 0)
+                label = _labels(element, (np.cumsum(size) - size)[full]) if len(full) else np.zeros((0, LABELS), np.uint32)
+                own["label"][full] = label
+                for k in range(LABELS):
+                    keys.append(W.mix(label[:, k].astype(np.uint64) + W.STEPS[2] * _U(k + 1)))
+                    owners.append(full + first)
+                    kinds.append(np.full(len(full), LABEL + k, np.uint8))
                 keys.append(key)
-                owners.append(owner)
+                owners.append(owner + first)
+                kinds.append(kind)
                 for r, start, end in _slices(row):
                     if int(cls[r]) not in parities:
                         parities[int(cls[r])] = _parity(element[start:end])
-            cls, size = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.int64)
-            for (at, c), s in zip(classes, numbers):
-                cls[at.astype(np.int64)], size[at.astype(np.int64)] = c, s
             if keys:
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                order = np.lexsort((key, owner))
-                key, owner = key[order], owner[order]
-                at = X.runs(owner, key)  # copies within the batch send their blocks once
-                yield from _compact(key[at], owner[at], targets)
-            home = int(ids[:1].astype(np.uint64).sum() * _U(0x9E3779B97F4A7C15) >> _U(33)) % targets if len(ids) else 0
-            rows = [(home, 1, size.astype("<i8").tobytes(), np.stack([cls.view(np.int64), ids]).tobytes())]
+                key, owner, kind = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds)
+                _, head, of = np.unique(records["cls"], return_index=True, return_inverse=True)
+                once = head[of[owner]] == owner  # copies within the batch send their blocks once
+                yield from _compact(key[once], owner[once], kind[once], records, targets)
+            home = (int(ids[0]) * 0x9E3779B97F4A7C15 >> 33) % targets if len(ids) else 0
+            rows = [(home, 1, sizes.astype("<i8").tobytes(), np.stack([records["cls"].view(np.int64), ids]).tobytes())]
             if parities:
                 rows.append((home, 2, np.array(list(parities), np.uint64).tobytes(), b"".join(parities.values())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["target", "kind", "key", "cls"])
@@ -308,73 +390,71 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     """``documents`` (doc_id, n_shingles, cls), ``classes`` (cls, copies, rep) and ``links`` (a, b) between classes, each pair once."""
     spark: SparkSession = df.sparkSession
     small_batches(spark)
-    targets = X.targets(spark)
+    targets = X.targets(spark, df)
     bands = Bands(t)
 
     # documents and candidate counts come out of one pass, told apart by kind
     def settle(batches):
-        keys, owners = [], []
+        keys, owners, kinds, tables, known = [], [], [], [], 0
         for batch in batches:
             for target, kind, key, cls in zip(*(batch.column(c).to_pylist() for c in ("target", "kind", "key", "cls"))):
                 if kind == 0:
-                    low, own = _expanded(key, cls)
+                    low, own, what, records = _expanded(key, cls)
                     keys.append(low ^ _U(target << 40))
-                    owners.append(own)
+                    owners.append((own + known).astype(np.int32))
+                    kinds.append(what)
+                    tables.append(records)
+                    known += len(records)
                 elif kind == 2:
                     c = np.frombuffer(key, "<i8")
                     width = len(cls) // max(1, len(c))
                     own = [cls[k * width : (k + 1) * width] for k in range(len(c))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), 3, np.int32)), pa.array(c), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int32()), pa.array(own, pa.binary())], ["kind", "a", "b", "n", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), 3, np.int32)), pa.array(c), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int32()), pa.array(own, pa.binary())], _FOUND)
                 else:
                     size = np.frombuffer(key, "<i8")
                     c, ids = np.frombuffer(cls, "<i8").reshape(2, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(c), X.id_array(ids), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.binary())], ["kind", "a", "b", "n", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(c), X.id_array(ids), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.binary())], _FOUND)
         if not keys:
             return
-        key, cls = np.concatenate(keys), np.concatenate(owners)
-        keys.clear(), owners.clear()
-        left, right, large = _pairs_of_buckets(key, cls)
+        key, own, kind, table = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds), np.concatenate(tables)
+        for parts in (keys, owners, kinds, tables):
+            parts.clear()
+        cls = table["cls"][own]
+        left, right, large = _pairs_of_buckets(key, cls, lambda x, y: _wanted(table[own[x]], table[own[y]], kind[x], kind[y], t))
         if len(left):
-            made = _counted(left, right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(made), np.int32)), *made.columns, pa.nulls(len(made), pa.binary())], ["kind", "a", "b", "n", "members"])
-        for members in large:  # tiles of a large bucket go to other tasks
-            tiles = [members[k : k + BUCKET] for k in range(0, len(members), BUCKET)]
-            for i, x in enumerate(tiles):
-                for y in tiles[i:]:
-                    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([int(x[0].view(np.int64))]), pa.array([int(y[0].view(np.int64))]), pa.array([len(x)], pa.int32()), pa.array([x.tobytes() + (b"" if y is x else y.tobytes())])], ["kind", "a", "b", "n", "members"])
-
-    found = X.exchanged(_class_rows(df, id, text, n, bands), targets).mapInArrow(releasing(settle), "kind int, a long, b long, n int, members binary")
+            made = _counted(cls[left], cls[right], np.where(kind[left] >= LABEL, _NEED, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(made), np.int32)), *made.columns, pa.nulls(len(made), pa.binary())], _FOUND)
+        for entries in large:  # its tiles go to other tasks, a row for each side; pairs of one label are made at the label
+            if kind[entries[0]] < LABEL and any((x == x[0]).all() for x in table["label"][own[entries]].T):
+                continue
+            parts = -(-len(entries) // CHUNK)
+            name = int(W.mix(key[entries[:1]] + cls[entries[:1]]).view(np.int64)[0])
+            for k in range(parts):
+                some = entries[k * CHUNK : (k + 1) * CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([name]), pa.array([parts]), pa.array([k], pa.int32()), pa.array([_tail(table[own[some]], kind[some])], pa.binary())], _FOUND)
+
+    found = X.exchanged(_class_rows(df, id, text, n, bands, targets), targets).mapInArrow(releasing(settle), "kind int, a long, b long, n int, members binary")
     found = written(found, "blocks")
 
-    def of_tiles(batches):
-        for batch in batches:
-            for split, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                members = np.frombuffer(raw, "<u8")
-                if len(members) == split:
-                    i, j = np.triu_indices(split, 1)
-                else:
-                    i, j = (x.ravel() for x in np.meshgrid(np.arange(split), np.arange(split, len(members)), indexing="ij"))
-                x, y = members[i], members[j]
-                yield _counted(np.minimum(x, y), np.maximum(x, y))
-
     documents = found.where("kind = 0").select(F.col("b").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("cls"))
     classes = documents.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
 
-    tiled = found.where("kind = 2").select("n", "members").repartition(targets).mapInArrow(releasing(of_tiles), "a long, b long, n int")
-    counted = found.where("kind = 1").select("a", "b", "n").union(tiled)
-    needed = F.least(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
+    sketch = found.where("kind = 3").select(F.col("a").alias("cls"), F.col("members").alias("s")).dropDuplicates(["cls"])
+    needed = F.greatest(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
+    counted = found.where("kind = 1").select("a", "b", "n")
     pairs = written(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= needed).select("a", "b"), "pairs")
 
     # a wide sketch of each set goes first: most pairs that are not similar end there, and whole sets needn't follow
     @F.arrow_udf("boolean")
     def may_be_similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), "<u8").reshape(len(v), -1) for v in (x, y))
-        apart = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
-        return pa.array((t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (x[:, 0] + y[:, 0]).astype(np.int64))
+        return pa.array(_near(*(np.frombuffer(b"".join(v.to_pylist()), "<u8").reshape(len(v), -1) for v in (x, y)), t))
 
-    sketch = found.where("kind = 3").select(F.col("a").alias("cls"), F.col("members").alias("s")).dropDuplicates(["cls"])
     met = pairs.join(sketch.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    close = written(met.where(may_be_similar("sa", "sb")).select("a", "b"), "close")
+    close = met.where(may_be_similar("sa", "sb")).select("a", "b")
+    large = found.where("kind = 2")
+    if large.head(1):
+        close = close.union(_tiled(large, sketch, targets, t)).distinct()
+    close = written(close, "close")
 
     # whole sets of one document of each class that still has a candidate, straight to its tiles
     placed, wanted = _tiles(close)
@@ -385,13 +465,13 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     def likely(batches):
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
-            for h in _bloom_places(X.ids(batch.column(0)), BLOOM_BITS):
+            for h in _bloom_places(X.ids(batch.column(0)), 8 * len(bloom)):
                 hit &= (bloom[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
             yield batch.filter(pa.array(hit))
 
     texts = df.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
     texts = texts.mapInArrow(releasing(likely), "rep long, text string").join(chosen.where("rep is not null").hint("shuffle_hash"), "rep")
-    texts = texts.select("cls", "text", "tiles").union(_nameless(df, id, text, chosen))
+    texts = texts.select("cls", "text", "tiles").union(_nameless(df, id, text, chosen, n, bands))
 
     def whole(batches):
         for batch in batches:
@@ -437,38 +517,91 @@ def _tiles(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _judged(placed: DataFrame, payload: DataFrame, judge, targets: int) -> DataFrame:
     """The pairs that ``judge`` finds similar, given what each tile needs of its classes."""
     sent = payload.select("tile", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
-    rows = sent.union(placed.select("tile", "a", "b", F.lit(None).cast("binary"))).repartition(targets, "tile")
+    rows = sent.union(placed.select("tile", "a", "b", F.lit(None).cast("binary"))).repartition(targets, "tile").sortWithinPartitions("tile")
 
     def verify(batches):
-        sets: dict[int, dict[int, bytes]] = {}
-        asked: dict[int, list] = {}
-        for batch in batches:
-            for tile, a, b, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if raw is None:
-                    asked.setdefault(tile, []).append((a, b))
-                else:
-                    sets.setdefault(tile, {})[a] = raw
-        for tile, own in asked.items():
-            a, b = np.array(own).T
-            good = judge(sets.pop(tile), a, b)
+        for _, own in _by_tile(batches):
+            sets = {a: raw for _, a, _, raw in own if raw is not None}
+            a, b = np.array([(a, b) for _, a, b, raw in own if raw is None]).T
+            good = judge(sets, a, b)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     return rows.mapInArrow(releasing(verify), "a long, b long")
 
 
-def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame) -> DataFrame:
+def _by_tile(batches):
+    """(tile, its rows) of rows sorted by their first column; one tile in memory at a time."""
+    tile, own = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != tile:
+                if own:
+                    yield tile, own
+                tile, own = row[0], []
+            own.append(row)
+    if own:
+        yield tile, own
+
+
+def _near(x: np.ndarray, y: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether sketches (size, then parities) may be of similar sets; rows against rows."""
+    apart = np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(-1, dtype=np.int64)
+    return (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (x[..., 0] + y[..., 0]).astype(np.int64)
+
+
+def _tail(records: np.ndarray, kind: np.ndarray) -> bytes:
+    out = np.zeros(len(records), np.dtype([("record", _CLASS), ("kind", "u1")]))
+    out["record"], out["kind"] = records, kind
+    return out.tobytes()
+
+
+def _tiled(large: DataFrame, sketch: DataFrame, targets: int, t: Fraction) -> DataFrame:
+    """(a, b) of the wanted pairs of large buckets whose wide sketches may be of similar sets, tile by tile."""
+    width = len(_tail(np.zeros(1, _CLASS), np.zeros(1, np.uint8)))
+
+    def members(batches):
+        for batch in batches:
+            for name, parts, k, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "members"))):
+                own = [raw[i : i + width] for i in range(0, len(raw), width)]
+                cls = np.frombuffer(raw, np.dtype([("record", _CLASS), ("kind", "u1")]))["record"]["cls"].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([parts] * len(own)), pa.array([k] * len(own), pa.int64()), pa.array(cls), pa.array(own, pa.binary())], ["bucket", "parts", "k", "cls", "record"])
+
+    rows = large.select("a", "b", "n", "members").mapInArrow(releasing(members), "bucket long, parts long, k long, cls long, record binary").join(sketch, "cls")
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("bucket", F.least("k", "o"), F.greatest("k", "o")).alias("tile"), "k", "record", "s").repartition(targets, "tile").sortWithinPartitions("tile")
+
+    def compare(batches):
+        for _, own in _by_tile(batches):
+            side = np.array([k for _, k, _, _ in own])
+            record = np.frombuffer(b"".join(r for _, _, r, _ in own), np.dtype([("record", _CLASS), ("kind", "u1")]))
+            wide = np.frombuffer(b"".join(s for *_, s in own), "<u8").reshape(len(own), -1)
+            one = np.flatnonzero(side == side.min())
+            other = np.flatnonzero(side == side.max())
+            cls, kind = record["record"]["cls"], record["kind"]
+            for i in one.tolist():  # a row of the tile at a time
+                j = other[cls[other] > cls[i]] if side.min() == side.max() else other
+                j = j[_near(wide[i], wide[j], t)]
+                same = np.full(len(j), i)
+                j = j[_wanted(record["record"][same], record["record"][j], kind[same], kind[j], t)]
+                if len(j):
+                    a, b = cls[i : i + 1].repeat(len(j)), cls[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
+
+    return rows.mapInArrow(releasing(compare), "a long, b long")
+
+
+def _nameless(df: DataFrame, id: str, text: str, chosen: DataFrame, n: int, bands: Bands) -> DataFrame:
     """Texts of classes whose documents have no id at all."""
     if not chosen.where("rep is null").head(1):
         return df.sparkSession.createDataFrame([], "cls long, text string, tiles array<long>")
-    bands = Bands()
 
     def classed(batches):
         for batch in batches:
             cls = np.zeros(batch.num_rows, np.int64)
-            for first, row, element in shingles(batch.column(0)):
-                n = int(row[-1]) + 1 if len(row) else 0
-                cls[first : first + n] = sketches(row, element, n, bands)[0].view(np.int64)
+            for first, row, element in shingles(batch.column(0), n):
+                rows = int(row[-1]) + 1 if len(row) else 0
+                cls[first : first + rows] = sketches(row, element, rows, bands)[0].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls)], ["text", "cls"])
 
     rows = df.where(F.col(id).isNull()).select(text).mapInArrow(releasing(classed), "text string, cls long")

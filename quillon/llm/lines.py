@@ -91,7 +91,7 @@ def _remove(text: str | None, places: list[bytes] | None) -> tuple[str | None, i
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with repeated passages cut from the text, and n_lines, n_removed."""
     small_batches(df.sparkSession)
-    n = X.targets(df.sparkSession)
+    n = X.targets(df.sparkSession, df)
     keyed = df.withColumn("_tie", F.xxhash64(F.col(text)))
 
     def spread(batches):
