@@ -4,10 +4,13 @@ One Aho-Corasick automaton finds every magic number of a byte string in a single
 pass.  A format validator then walks the structure behind it (chunk lengths,
 checksums, end markers) and gives the object's length, or rejects the place.  A
 valid object at byte 0 that accounts for the whole value corrects a wrong
-declared type; valid objects elsewhere are carved out as embedded media.
+declared type; valid objects elsewhere are carved out as embedded media.  What a
+validator has to look for ahead is found once a value, so time is linear in it; reading
+that can't be shared (decompression, chains of chunks) stops at ``PATIENCE`` times it.
 
 Payloads are stored as 8-bit mono samples in a WAV container and read back
-through the same sniffer, so that what is measured is what was stored.
+through the same sniffer, so that what is measured is what was stored; media objects
+that a payload holds are listed with their types, places and lengths.
 
 Cases: null content gives null type and no embedded objects (null text is stored
 as an empty text: 64 zero bytes); truncated or false signatures are ignored;
@@ -19,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 from bisect import bisect_left
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -32,27 +37,99 @@ from .tables import appended
 RATE = 8000
 BLOCK = 64
 UNKNOWN = "application/octet-stream"
-
-
-def _wav(b: memoryview, i: int) -> int:
-    if len(b) < i + 44 or b[i + 8 : i + 12] != b"WAVE":
+PATIENCE = 64  # times a value's length that false signatures may make validators read before the rest count as false
+NESTED = 16  # levels of a PDF in a PDF
+GULP = 1 << 14
+
+
+class Content:
+    """A byte string under search; what validators need of the whole of it is found once, so that many false signatures cost no more than one.
+
+    ``work`` counts what validators have read in vain where that can't be shared.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+        self.left = PATIENCE * self.size + (1 << 20)
+
+    def work(self, n: int) -> bool:
+        """Whether n more steps are granted."""
+        self.left -= n
+        return self.left > 0
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of each zip archive -> its end, by the first end record that fits; one stored inside has an end record of its own."""
+        out: dict[int, int] = {}
+        b, end = self.data, self.data.find(b"PK\x05\x06")
+        while 0 <= end <= self.size - 22:
+            size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+            start = end - size - offset
+            if start >= 0 and end + 22 + note <= self.size and b[start + offset : start + offset + 4] == b"PK\x01\x02":
+                out.setdefault(start, end + 22 + note)
+            end = b.find(b"PK\x05\x06", end + 1)
+        return out
+
+    @cached_property
+    def papers(self) -> tuple[list[int], list[int], list[int], dict[int, int]]:
+        """(starts of PDF heads, starts of %%EOF marks, their ends, head -> end of the last mark whose startxref fits it)."""
+        heads = [m.start() for m in _PDF.finditer(self.data)]
+        starts, ends, fits, k, open_ = [], [], {}, 0, []
+        for m in _PDF_END.finditer(self.data):
+            starts.append(m.start())
+            ends.append(m.end())
+            while k < len(heads) and heads[k] < m.start():
+                open_.append(heads[k])
+                k += 1
+            if said := _START.search(self.data, max(0, m.start() - 48), m.start()):
+                for head in open_[: -NESTED - 1 : -1]:
+                    if head + int(said[1]) < m.start() and _XREF.match(self.data, head + int(said[1])):
+                        fits[head] = m.end()
+                        del open_[bisect_left(open_, head) + 1 :]  # what lies between is over
+                        break
+        return heads, starts, ends, fits
+
+    @cached_property
+    def marks(self) -> list[int]:
+        """Places of JPEG markers other than stuffed bytes and restarts."""
+        x = np.frombuffer(self.data, np.uint8)
+        at = np.flatnonzero(x[:-1] == 0xFF)
+        return at[(x[at + 1] != 0) & ~((x[at + 1] >= 0xD0) & (x[at + 1] <= 0xD7))].tolist()
+
+    @cached_property
+    def zeros(self) -> list[int]:
+        return np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0).tolist()
+
+    @cached_property
+    def walked(self) -> dict[int, int]:
+        """Place in a JPEG -> end of the image, or 0."""
+        return {}
+
+
+def _wav(c: Content, i: int) -> int:
+    b = c.data
+    if c.size < i + 44 or b[i + 8 : i + 12] != b"WAVE":
         return 0
     end = i + 8 + int.from_bytes(b[i + 4 : i + 8], "little")
-    if end > len(b):
+    if end > c.size:
         return 0
     at, seen = i + 12, set()
     while at + 8 <= end:
-        seen.add(bytes(b[at : at + 4]))
+        if not c.work(8):
+            return 0
+        seen.add(b[at : at + 4])
         at += 8 + (n := int.from_bytes(b[at + 4 : at + 8], "little")) + n % 2
     return end - i if {b"fmt ", b"data"} <= seen and at in (end, end + 1) else 0
 
 
-def _png(b: memoryview, i: int) -> int:
-    at, first = i + 8, True
-    while at + 12 <= len(b):
+def _png(c: Content, i: int) -> int:
+    b, at, first = c.data, i + 8, True
+    while at + 12 <= c.size:
         n = int.from_bytes(b[at : at + 4], "big")
-        kind = bytes(b[at + 4 : at + 8])
-        if at + 12 + n > len(b) or first and (kind != b"IHDR" or n != 13) or crc32(b[at + 4 : at + 8 + n]) != int.from_bytes(b[at + 8 + n : at + 12 + n], "big"):
+        kind = b[at + 4 : at + 8]
+        if at + 12 + n > c.size or first and (kind != b"IHDR" or n != 13) or not c.work(12 + n):
+            return 0
+        if crc32(memoryview(b)[at + 4 : at + 8 + n]) != int.from_bytes(b[at + 8 + n : at + 12 + n], "big"):
             return 0
         at, first = at + 12 + n, False
         if kind == b"IEND":
@@ -60,22 +137,23 @@ def _png(b: memoryview, i: int) -> int:
     return 0
 
 
-def _gif(b: memoryview, i: int) -> int:
-    if len(b) < i + 13 or bytes(b[i + 4 : i + 6]) not in (b"7a", b"9a"):
+def _gif(c: Content, i: int) -> int:
+    b = c.data
+    if c.size < i + 13 or b[i + 4 : i + 6] not in (b"7a", b"9a"):
         return 0
     at = i + 13 + (3 << (b[i + 10] & 7) + 1 if b[i + 10] & 0x80 else 0)
 
     def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
+        while at < c.size and b[at] and c.work(1):
             at += 1 + b[at]
         return at + 1
 
-    while at < len(b):
+    while at < c.size and c.work(1):
         if b[at] == 0x3B:
             return at + 1 - i
         if b[at] == 0x21:
             at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 <= len(b):
+        elif b[at] == 0x2C and at + 10 <= c.size:
             flags = b[at + 9]
             at = blocks(at + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
         else:
@@ -83,54 +161,43 @@ def _gif(b: memoryview, i: int) -> int:
     return 0
 
 
-def _jpeg(b: memoryview, i: int) -> int:
-    at = i + 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
+def _jpeg(c: Content, i: int) -> int:
+    b, at, path, end = c.data, i + 2, [], 0
+    while at + 4 <= c.size and b[at] == 0xFF:
+        if at in c.walked:
+            end = c.walked[at]
+            break
+        path.append(at)
         kind = b[at + 1]
         if kind == 0xFF:
             at += 1
             continue
         n = int.from_bytes(b[at + 2 : at + 4], "big")
-        if n < 2 or at + 2 + n > len(b) or not 0xC0 <= kind <= 0xFE:
-            return 0
+        if n < 2 or at + 2 + n > c.size or not 0xC0 <= kind <= 0xFE or kind == 0xD8:
+            break
         at += 2 + n
         if kind == 0xDA:
-            rest = bytes(b[at:])
-            k = rest.find(b"\xff")
-            while k >= 0:
-                if k + 1 < len(rest) and rest[k + 1] == 0xD9:
-                    return at + k + 2 - i
-                if k + 1 < len(rest) and (rest[k + 1] == 0 or 0xD0 <= rest[k + 1] <= 0xD7):
-                    k = rest.find(b"\xff", k + 2)
-                else:
-                    break
-            if k < 0:
-                return 0
-            at += k
-    return 0
-
-
-def _bmp(b: memoryview, i: int) -> int:
-    if len(b) < i + 30:
+            k = bisect_left(c.marks, at)
+            if k == len(c.marks):
+                break
+            at = c.marks[k]
+            if b[at + 1] == 0xD9:
+                end = at + 2
+                break
+    c.walked.update(dict.fromkeys(path, end))
+    return end - i if end else 0
+
+
+def _bmp(c: Content, i: int) -> int:
+    if c.size < i + 30:
         return 0
-    n, pixels, header = (int.from_bytes(b[i + k : i + k + 4], "little") for k in (2, 10, 14))
-    planes, bits = (int.from_bytes(b[i + k : i + k + 2], "little") for k in (26, 28))
+    n, pixels, header, planes, bits = *struct.unpack_from("<I", c.data, i + 2), *struct.unpack_from("<II", c.data, i + 10), *struct.unpack_from("<HH", c.data, i + 26)
     right = header in (40, 52, 56, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and 14 + header <= pixels <= n
-    return n if right and i + n <= len(b) else 0
+    return n if right and i + n <= c.size else 0
 
 
-def _zip(b: memoryview, i: int) -> int:
-    if len(b) < i + 30:
-        return 0
-    own = bytes(b[i:])
-    end = own.find(b"PK\x05\x06")
-    while 0 <= end <= len(own) - 22:  # an archive stored inside has an end record of its own, which doesn't fit
-        size, offset, note = struct.unpack("<IIH", own[end + 12 : end + 22])
-        whole = end + 22 + note
-        if offset + size == end and whole <= len(own) and own[offset : offset + 4] == b"PK\x01\x02":
-            return whole
-        end = own.find(b"PK\x05\x06", end + 1)
-    return 0
+def _zip(c: Content, i: int) -> int:
+    return c.archives[i] - i if i in c.archives else 0
 
 
 _PDF = re.compile(rb"%PDF-[0-9]\.")
@@ -139,33 +206,46 @@ _START = re.compile(rb"startxref\s{1,9}([0-9]{1,15})\s{1,9}\Z")
 _XREF = re.compile(rb"\s{0,9}(?:xref\b|[0-9]{1,10}\s{1,9}[0-9]{1,10}\s{1,9}obj\b)")
 
 
-def _pdf(b: memoryview, i: int) -> int:
+def _pdf(c: Content, i: int) -> int:
     """To the last %%EOF whose startxref fits this file and no later one; where none fits, to the last before the next file."""
-    own = bytes(b[i:])
-    heads = [m.start() for m in _PDF.finditer(own)]
-    if len(own) < 8 or heads[:1] != [0]:
+    heads, starts, ends, fits = c.papers
+    k = bisect_left(heads, i)
+    if k == len(heads) or heads[k] != i:
+        return 0
+    if i in fits:
+        return fits[i] - i
+    stop = bisect_left(starts, heads[k + 1]) if k + 1 < len(heads) else len(starts)
+    return ends[stop - 1] - i if stop > bisect_left(starts, i) else 0
+
+
+def _gzip(c: Content, i: int) -> int:
+    b = c.data
+    if c.size < i + 18 or (flags := b[i + 3]) & 0xE0:
         return 0
-    loose, fits = 0, 0
-    for m in _PDF_END.finditer(own):
-        if len(heads) < 2 or m.start() < heads[1]:
-            loose = m.end()
-        if said := _START.search(own, max(0, m.start() - 48), m.start()):
-            before = heads[: bisect_left(heads, m.start())]
-            owner = next((h for h in reversed(before) if h + int(said[1]) < m.start() and _XREF.match(own, h + int(said[1]))), None)
-            if owner == 0:
-                fits = m.end()
-    return fits or loose
-
-
-def _gzip(b: memoryview, i: int) -> int:
-    import zlib
-
-    d = zlib.decompressobj(31)
+    at = i + 10
+    if flags & 4:
+        at += 2 + int.from_bytes(b[at : at + 2], "little")
+    for bit in (8, 16):  # a name, a comment
+        if flags & bit:
+            k = bisect_left(c.zeros, at)
+            if k == len(c.zeros):
+                return 0
+            at = c.zeros[k] + 1
+    at += 2 if flags & 2 else 0
+    d, check, n, began, made, tail = zlib.decompressobj(-15), 0, 0, at, b" ", b""
     try:
-        d.decompress(bytes(b[i:]))
+        while not d.eof:
+            part = tail or b[at : at + GULP]
+            if not (part or made) or not c.work(1 + len(part)):
+                return 0
+            at += 0 if tail else len(part)
+            made = d.decompress(part, 1 << 20)
+            check, n, tail = crc32(made, check), n + len(made), d.unconsumed_tail
     except zlib.error:
         return 0
-    return len(b) - i - len(d.unused_data) if d.eof else 0
+    at -= len(d.unused_data)
+    right = at > began and at + 8 <= c.size and struct.unpack_from("<II", b, at) == (check, n & 0xFFFFFFFF)
+    return at + 8 - i if right else 0
 
 
 FORMATS = {
@@ -196,10 +276,10 @@ def automaton():
 
 def objects(content: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of the valid media objects, outermost first, none inside another of the same level."""
-    view, found, after = memoryview(content), [], 0
+    whole, found, after = Content(content), [], 0
     for end, magic in automaton().iter(content.decode("latin-1")):
         start = end - len(magic) + 1
-        if start >= after and (n := FORMATS[magic][1](view, start)):
+        if start >= after and (n := FORMATS[magic][1](whole, start)):
             found.append((FORMATS[magic][0], start, n))
             after = start + (n if start else 0)  # a carrier at byte 0 is searched inside
     return found
@@ -250,7 +330,7 @@ def store_bytes(payload: bytes) -> bytes:
 
 def read_samples(media: bytes) -> bytes:
     """The samples of a stored WAV file; raises if it isn't one."""
-    if _wav(memoryview(media), 0) != len(media):
+    if _wav(Content(media), 0) != len(media):
         raise ValueError("not a whole WAV file")
     at = 12
     while media[at : at + 4] != b"data":
@@ -274,19 +354,24 @@ def store(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> Data
 
 
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds media_type and, of the bytes read back, payload_bytes, payload_sha256, tail_crc32 and feature (all null for null media)."""
+    """Adds media_type and, of the bytes read back, payload_bytes, payload_sha256, tail_crc32, feature, n_embedded and embedded (all null for null media).
+
+    ``embedded`` lists the media objects in the payload as type:start:length, comma-joined.
+    """
 
     def read(values: pa.Array) -> list[pa.Array]:
         rows = []
         for value in values.to_pylist():
             if value is None:
-                rows.append((None,) * 5)
+                rows.append((None,) * 7)
                 continue
-            kind = next((t for t, s, n in objects(value) if s == 0 and n == len(value)), None)
+            found = objects(value)
+            kind = next((t for t, s, n in found if s == 0 and n == len(value)), None)
             if kind != "audio/wav":
                 raise ValueError(f"stored media is {kind or 'unknown'}")
             payload = read_samples(value)
-            rows.append((kind, len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-BLOCK:]), features(payload)))
-        return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))]
+            inner = [f"{t}:{s - len(value) + len(payload)}:{n}" for t, s, n in found if s]
+            rows.append((kind, len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-BLOCK:]), features(payload), len(inner), ",".join(inner)))
+        return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))]
 
-    return appended(df, read, media, "media_type string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return appended(df, read, media, "media_type string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_embedded long, embedded string")

@@ -48,6 +48,8 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
         "media_type",
+        "n_embedded",
+        "embedded",
     )
 
 
