@@ -144,7 +144,7 @@ def slots(bins: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np
 def place(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to a table (doc_id, piece, length, ...) that can be read more than once."""
     salts = 1 + rows.count() // ROWS_PER_SALT
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     keys, sequences, offsets = slots(plan(histogram, capacity))
