@@ -20,4 +20,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": corpus.OP1_SQL,
+    "op5_ngram_jaccard_join": corpus.OP5_SQL,
+    "op6_suffix_dedup": corpus.OP6_SQL,
 }
