@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-BLANKS = "(?U)[\\s\\x1c-\\x1f]+"
+_BLANK = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # spelled out, which Java matches faster than the Unicode class
+BLANKS = f"[{_BLANK}]+"
 
 
 def _col(c) -> Column:
@@ -35,26 +36,30 @@ def strip(c) -> Column:
 
 def normalise_spaces(c) -> Column:
     """runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(_col(c), BLANKS, " "))
+    return F.trim(F.regexp_replace(_col(c), BLANKS, " "))
 
 
 def normalise_heading(c) -> Column:
-    """one readable line; a note number glued to the last word gets a dot."""
-    one = normalise_spaces(F.regexp_replace(_col(c), "\\x07", " "))
+    """one readable line; a note number glued to the last word gets a dot.  Doing it twice changes nothing."""
+    one = F.trim(F.regexp_replace(_col(c), f"[\\x07{_BLANK}]+", " "))
     return F.regexp_replace(one, f"([{P.LETTERS}])(\\d{{2,3}})$", "$1.$2")
 
 
-def margin_signature(c) -> Column:
+def _normal(c, normal: bool) -> Column:
+    """The line normalised, unless the caller says that it is: a rule names it often, and each mention would be worked out anew."""
+    return _col(c) if normal else normalise_heading(c)
+
+
+def margin_signature(c, normal: bool = False) -> Column:
     """what recurs in a header or footer when numbers and punctuation change."""
-    low = F.lower(normalise_heading(c))
-    counted = F.regexp_replace(low, "(?U)\\d+", "#")
-    spaced = F.regexp_replace(counted, f"(?U)[\\s{P.DASHES}_]+", " ")
-    return strip(F.regexp_replace(spaced, "[^# a-zà-öø-ÿ]+", ""))
+    counted = F.regexp_replace(F.lower(_normal(c, normal)), "(?U)\\d+", "#")
+    spaced = F.regexp_replace(counted, f"[ {P.DASHES}_]+", " ")
+    return F.trim(F.regexp_replace(spaced, "[^# a-zà-öø-ÿ]+", ""))
 
 
-def normalise_hierarchy(level: str | Column, c) -> Column:
+def normalise_hierarchy(level: str | Column, c, normal: bool = False) -> Column:
     """F1, and for chapters without the digits glued to a Roman numeral."""
-    heading = normalise_heading(c)
+    heading = _normal(c, normal)
     chapter = _drop(heading, P.GLUED_CHAPTER, "$1$2")
     if isinstance(level, str):
         return chapter if level == "chapitre" else heading
@@ -66,9 +71,9 @@ def starts_with_word(c, word: str) -> Column:
     return _like(_col(c), f"^{P.S}{word}{P.B}")
 
 
-def is_header_footer(c) -> Column:
+def is_header_footer(c, normal: bool = False) -> Column:
     """F5 of a normalised line."""
-    return _like(normalise_heading(c), P.HEADER_FOOTER)
+    return _like(_normal(c, normal), P.HEADER_FOOTER)
 
 
 def is_upper_fragment(c) -> Column:
@@ -77,31 +82,31 @@ def is_upper_fragment(c) -> Column:
     return (letters >= 8) & (F.length(F.regexp_replace(_col(c), "\\P{Lu}", "")) >= 0.75 * letters)
 
 
-def is_short_continuation(c) -> Column:
+def is_short_continuation(c, normal: bool = False) -> Column:
     """a short wrapped piece of a heading."""
-    n = normalise_heading(c)
+    n = _normal(c, normal)
     words = F.regexp_extract_all(n, F.lit(f"({P.WORD})"), 1)
     first = F.substring(F.try_element_at(words, F.lit(1)), 1, 1)
     plain = (n != "") & (F.length(n) <= 70) & ~n.rlike("[.;,:!?]") & ~_like(n, P.LEVEL_WORDS) & ~_like(n, P.DETERMINER)
     return plain & (F.size(words) >= 1) & (F.size(words) <= 8) & ((F.size(words) == 1) | F.coalesce(first.rlike("\\p{Lu}"), F.lit(False)))
 
 
-def heading_continuation(c) -> Column:
+def heading_continuation(c, normal: bool = False) -> Column:
     """F8: the normalised line where it continues a heading, else null."""
-    n = normalise_heading(c)
-    barred = is_header_footer(n) | _like(n, P.NOTE_LINE) | _like(n, P.LEVEL_WORDS) | _like(n, P.NUMBERED_SUB)
-    goes_on = _like(n, P.OF_START) | is_upper_fragment(n) | is_short_continuation(n)
-    return F.when((n != "") & ~barred & goes_on & (F.length(n) <= 160), n)
+    n = _normal(c, normal)
+    barred = is_header_footer(n, True) | _like(n, P.NOTE_LINE) | _like(n, P.LEVEL_WORDS) | _like(n, P.NUMBERED_SUB)
+    goes_on = _like(n, P.OF_START) | is_upper_fragment(n) | is_short_continuation(n, True)
+    return F.when((n != "") & (F.length(n) <= 160) & goes_on & ~barred, n)
 
 
-def inline_sub_section(c) -> Column:
+def inline_sub_section(c, normal: bool = False) -> Column:
     """struct (offset, heading) of a sub-section named anywhere in the line, null where none is."""
-    n = normalise_heading(c)
+    n = _normal(c, normal)
     before = F.element_at(F.split(n, P.java(P.INLINE_SUB), 2), 1)
     rest = strip(F.try_element_at(F.split(n, P.java(P.INLINE_SUB), 2), F.lit(2)))
     rest = strip(F.element_at(F.split(rest, P.java(P.NEXT_LEVEL), 2), 1))
     heading = F.when(rest != "", normalise_heading(F.concat(F.lit("Sous-section "), rest))).otherwise("Sous-section")
-    return F.when(_like(n, P.INLINE_SUB), F.struct(F.length(before).alias("offset"), heading.alias("heading")))
+    return F.when(F.lower(n).contains("section") & _like(n, P.INLINE_SUB), F.struct(F.length(before).alias("offset"), heading.alias("heading")))
 
 
 def is_footnote(c) -> Column:
@@ -130,15 +135,15 @@ def annotation_label(c) -> Column:
     return F.when(label != "", F.concat(F.lit("("), label, F.lit(")")))
 
 
-def is_numbered_sub_title(c) -> Column:
+def is_numbered_sub_title(c, normal: bool = False) -> Column:
     """F13."""
-    n = normalise_heading(c)
+    n = _normal(c, normal)
     return (n != "") & (F.length(n) <= 90) & ~_like(n, P.CITATION) & _like(n, f"^(?:des?|du){P.B}")
 
 
-def is_unlabeled_sub_title(c) -> Column:
+def is_unlabeled_sub_title(c, normal: bool = False) -> Column:
     """F14."""
-    n = normalise_heading(c)
+    n = _normal(c, normal)
     first = F.regexp_extract(n, f"([{P.LETTERS}])", 1)
     words = F.size(F.regexp_extract_all(n, F.lit(f"([{P.LETTERS}0-9'’-]+)"), 1))
     shape = (n != "") & (F.length(n) <= 90) & ~n.rlike(P.LEADERS) & ~_like(n, P.CITATION_OR_CODE) & _like(n, f"^(?:de(?:{P.S1}l{P.APOSTROPHE}?)?|du|des){P.B}")

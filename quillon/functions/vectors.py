@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -33,6 +34,12 @@ def cosine(a, b, norm_a: Column | None = None, norm_b: Column | None = None) ->
     return F.when((na == 0) | (nb == 0), 0.0).when(F.size(a) == F.size(b), dot(whole(a), whole(b)) / (na * nb))
 
 
+def likeness(a: Sequence[float], b: Sequence[float]) -> float:
+    """V1 of two Python vectors, for folds; 0 where either norm is 0 or the lengths differ."""
+    size = math.sqrt(math.fsum(x * x for x in a) * math.fsum(y * y for y in b))
+    return math.fsum(x * y for x, y in zip(a, b)) / size if size and len(a) == len(b) else 0.0
+
+
 def running_mean(a, b) -> Column:
     """V7: the mean of what has been packed and the next vector, so earlier weights halve at every step."""
     return F.zip_with(_col(a), _col(b), lambda x, y: (x + y) / 2)

@@ -120,25 +120,24 @@ def articles_of(rows: list[tuple]) -> list[dict]:
 def described(lines: DataFrame) -> DataFrame:
     """Kept lines with level, continuation and inline sub-section."""
     kept = L.drop_margins(lines)
-    inline = X.inline_sub_section("text")
-    return kept.select(
-        "doc", "page", "line_no", "text",
+    made = kept.select(
+        "*",
         L.level(unlabeled=L.unlabeled_allowed()).alias("level"),
-        X.heading_continuation("text").alias("continuation"),
-        inline["offset"].alias("inline_offset"),
-        inline["heading"].alias("inline_heading"),
+        X.heading_continuation("text", normal=True).alias("continuation"),
+        X.inline_sub_section("text", normal=True).alias("_inline"),
     )
+    return made.select(*kept.columns, "level", "continuation", F.col("_inline.offset").alias("inline_offset"), F.col("_inline.heading").alias("inline_heading"))
 
 
 def extract(lines: DataFrame, source_path: str = "doc") -> DataFrame:
     """A1: the article table of a line table, an ordered fold per document.
 
-    Lines are hashed by document and sorted by place, and a task folds one document
-    after the other as they come: no call per group, and no more than one document
-    in memory.
+    Lines are hashed by document once, in ``lines.drop_margins``, and sorted by place;
+    a task folds one document after the other as they come: no call per group, and no
+    more than one document in memory.
     """
-    rows = described(lines).withColumn("source", F.col(source_path)).where("doc is not null")
-    placed = rows.repartition("doc").sortWithinPartitions("doc", "page", "line_no")
+    rows = described(lines).withColumn("source", F.col(source_path))
+    placed = rows.sortWithinPartitions("doc", "page", "line_no")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     fields = ("page", "text", "level", "continuation", "inline_offset", "inline_heading")
 
@@ -163,15 +162,18 @@ def extract(lines: DataFrame, source_path: str = "doc") -> DataFrame:
 
 
 def carry_hierarchy(lines: DataFrame, doc: str = "doc", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
-    """On every line the heading in force at each level; a higher level clears the lower ones.  Needs level and text."""
+    """On every line the heading in force at each level; a higher level clears the lower ones.  Needs level and text.
+
+    One window: the last heading of each level with its place, compared afterwards.
+    """
     w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.row_number().over(Window.partitionBy(doc).orderBy(*order))
-    out = lines.withColumn("_n", n)
-    place = {}
+    headed = lines.withColumn("_h", F.when(F.col("level").isNotNull(), X.normalise_hierarchy(F.col("level"), "text")))
+    entry = F.struct(F.struct(*order).alias("at"), F.col("_h").alias("value"))
+    out = headed.select("*", *(F.last(F.when(F.col("level") == name, entry), ignorenulls=True).over(w).alias(f"_{name}") for name in LEVELS))
+    shown = []
     for k, name in enumerate(LEVELS):
-        out = out.withColumn(f"_at_{name}", F.last(F.when(F.col("level") == name, F.col("_n")), ignorenulls=True).over(w))
-        out = out.withColumn(f"_v_{name}", F.last(F.when(F.col("level") == name, X.normalise_hierarchy(name, "text")), ignorenulls=True).over(w))
-        higher = [F.coalesce(F.col(f"_at_{h}"), F.lit(0)) for h in LEVELS[:k]]
-        cleared = F.greatest(F.lit(0), F.lit(0), *higher) > F.col(f"_at_{name}")
-        place[name] = F.coalesce(F.when(~cleared, F.col(f"_v_{name}")), F.lit(""))
-    return out.select(*lines.columns, *(c.alias(name) for name, c in place.items()))
+        cleared = F.lit(False)
+        for higher in LEVELS[:k]:
+            cleared = cleared | F.coalesce(F.col(f"_{higher}.at") > F.col(f"_{name}.at"), F.lit(False))
+        shown.append(F.coalesce(F.when(~cleared, F.col(f"_{name}.value")), F.lit("")).alias(name))
+    return out.select(*lines.columns, *shown)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,40 +26,57 @@ class Packing:
         return Packing(max(200, self.target_chars), max(300, self.max_chars), min(1.0, max(0.0, self.similarity)), max(1, self.embed_batch), max(0, self.retries))
 
 
-def _fold(parts: Column, vectors: Column | None, p: Packing) -> Column:
-    """Chunks of an ordered array of sentences: the running chunk takes the next sentence unless that makes it too long, or it is long enough and unlike."""
-    first = F.element_at(parts, 1)
-    none = F.array().cast("array<string>")
-    if vectors is None:
-        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-        start = F.struct(none.alias("done"), first.alias("now"))
-
-        def step(s, nxt):
-            joined = F.concat_ws(" ", s["now"], nxt)
-            split = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), nxt.alias("now"))
-            return F.when(F.length(joined) > p.max_chars, split).otherwise(F.struct(s["done"].alias("done"), joined.alias("now")))
-
-    else:
-        pairs = F.arrays_zip(parts.alias("text"), vectors.alias("vector"))
-        rest = F.slice(pairs, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-        start = F.struct(none.alias("done"), first.alias("now"), F.element_at(vectors, 1).cast("array<double>").alias("vector"))
-
-        def step(s, nxt):
-            text, vector = nxt.getField("text"), nxt.getField("vector").cast("array<double>")
-            joined = F.concat_ws(" ", s["now"], text)
-            apart = (F.length(joined) > p.max_chars) | ((F.length(s["now"]) >= p.target_chars) & (F.coalesce(V.cosine(s["vector"], vector), F.lit(0.0)) < p.similarity))
-            split = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), text.alias("now"), vector.alias("vector"))
-            return F.when(apart, split).otherwise(F.struct(s["done"].alias("done"), joined.alias("now"), V.running_mean(s["vector"], vector).alias("vector")))
-
-    made = F.aggregate(rest, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
-    return F.when(F.size(parts) > 0, made).otherwise(none)
+def _bounds(lengths: list[int], vectors: list[list[float]] | None, p: Packing) -> list[int]:
+    """How many sentences each chunk takes: the running chunk takes the next one unless that makes it too long, or it is long enough and unlike."""
+    out: list[int] = []
+    now, taken, mean = 0, 0, None
+    for k, n in enumerate(lengths):
+        if taken:
+            apart = now + 1 + n > p.max_chars
+            if not apart and vectors is not None and now >= p.target_chars:
+                apart = V.likeness(mean, vectors[k]) < p.similarity
+            if apart:
+                out.append(taken)
+                taken = 0
+        if taken:
+            now, taken = now + 1 + n, taken + 1
+            mean = [(x + y) / 2 for x, y in zip(mean, vectors[k])] if vectors is not None else None
+        else:
+            now, taken, mean = n, 1, vectors[k] if vectors is not None else None
+    return [*out, taken] if taken else out
+
+
+def _fold(parts: str, vectors: str | None, p: Packing) -> Column:
+    """Chunks of an ordered array of sentences.  Only their lengths (and vectors) go to Python, and only the chunks' sizes come back."""
+    lengths = F.transform(parts, F.length)
+    kind = "array<struct<first:int,n:int>>"
+
+    def placed(sizes: list[int]) -> list[dict]:
+        out, at = [], 1
+        for n in sizes:
+            out.append({"first": at, "n": n})
+            at += n
+        return out
+
+    made = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+
+    @F.arrow_udf(kind)
+    def by_length(sizes: pa.Array) -> pa.Array:
+        return pa.array([placed(_bounds(own or [], None, p)) for own in sizes.to_pylist()], made)
+
+    @F.arrow_udf(kind)
+    def by_meaning(sizes: pa.Array, vectors: pa.Array) -> pa.Array:
+        return pa.array([placed(_bounds(own or [], v or [], p)) for own, v in zip(sizes.to_pylist(), vectors.to_pylist())], made)
+
+    bounds = by_length(lengths) if vectors is None else by_meaning(lengths, F.col(vectors))
+    return F.transform(bounds, lambda b: F.array_join(F.slice(F.col(parts), b["first"], b["n"]), " "))
 
 
 def pack_by_length(df: DataFrame, text: str = "content", p: Packing = Packing(), name: str = "chunks") -> DataFrame:
     """V8 with a threshold of 0: length alone decides."""
     p = p.clamped()
     staged = df.withColumn("_s", X.sentences(X.strip(F.coalesce(F.col(text), F.lit(""))), p.max_chars))
-    return staged.withColumn(name, _fold(F.col("_s"), None, p)).drop("_s")
+    return staged.withColumn(name, _fold("_s", None, p)).drop("_s")
 
 
 def pack_by_meaning(df: DataFrame, embed, text: str = "content", p: Packing = Packing(), name: str = "chunks") -> DataFrame:
@@ -66,7 +84,7 @@ def pack_by_meaning(df: DataFrame, embed, text: str = "content", p: Packing = Pa
     p = p.clamped()
     staged = df.withColumn("_s", X.sentences(X.strip(F.coalesce(F.col(text), F.lit(""))), p.max_chars))
     staged = staged.withColumn("_v", embed(F.col("_s")))
-    return staged.withColumn(name, _fold(F.col("_s"), F.col("_v"), p)).drop("_s", "_v")
+    return staged.withColumn(name, _fold("_s", "_v", p)).drop("_s", "_v")
 
 
 def records(df: DataFrame, chunks: str = "chunks") -> DataFrame:

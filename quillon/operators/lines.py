@@ -6,7 +6,7 @@ is a line, and (doc, page, line_no) is its place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -41,31 +41,42 @@ def zone() -> Column:
 
 def recurring(lines: DataFrame) -> DataFrame:
     """A3: (doc, zone, signature, times) of margin lines that occur twice or more."""
-    found = lines.select("doc", zone().alias("zone"), X.margin_signature("text").alias("signature")).where("zone is not null and length(signature) >= 6")
-    return found.groupBy("doc", "zone", "signature").agg(F.count("*").alias("times")).where("times >= 2")
+    found = lines.where(zone().isNotNull()).select("doc", zone().alias("zone"), X.margin_signature("text").alias("signature"))
+    # the length comes out of the aggregate, or the filter would move below it and work out each signature twice
+    times = found.groupBy("doc", "zone", "signature").agg(F.count("*").alias("times"), F.max(F.length("signature")).alias("_n"))
+    return times.where("times >= 2 and _n >= 6").drop("_n")
 
 
 def drop_margins(lines: DataFrame) -> DataFrame:
-    """Without running headers, footers and page numbers; adds body_size."""
-    sized = lines.join(body_sizes(lines), "doc").withColumn("text", X.normalise_heading("text"))
-    placed = sized.withColumn("zone", zone()).withColumn("signature", F.when(F.col("zone").isNotNull(), X.margin_signature("text")))
-    marked = placed.join(recurring(lines), ["doc", "zone", "signature"], "left")
+    """Without running headers, footers and page numbers; adds body_size.
+
+    One pass: A2 and A3 are windows over the lines hashed by document, and each text
+    is normalised once.  The result is still hashed by document (``articles.extract``
+    builds on that).
+    """
+    placed = lines.where("doc is not null").withColumn("text", X.normalise_heading("text")).withColumn("zone", zone())
+    placed = placed.withColumn("signature", F.when(F.col("zone").isNotNull(), X.margin_signature("text", normal=True)))
+    median = F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy("doc"))
+    times = F.count("*").over(Window.partitionBy("doc", "zone", "signature"))
+    again = F.col("zone").isNotNull() & (F.length("signature") >= 6) & (times >= 2)
+    marked = placed.select("*", F.coalesce(median, F.lit(NO_SIZE)).alias("body_size"), F.when(again, times).alias("times"))
     text, size, body = F.col("text"), F.coalesce("size", F.lit(0.0)), F.col("body_size")
     heading = F.coalesce(text.rlike(P.java(P.STRUCTURAL)), F.lit(False)) & ((size <= 0) | (size >= body))
     small = (size > 0) & (size <= body * 0.9) & text.rlike(P.java(P.MARGIN_WORDS))
     margin = F.col("zone").isNotNull() & ~heading & (F.col("times").isNotNull() | text.rlike(P.java(P.PAGE_NUMBER)) | small)
-    return marked.where((text != "") & ~X.is_header_footer("text") & ~F.coalesce(margin, F.lit(False))).drop("zone", "signature", "times")
+    return marked.where((text != "") & ~X.is_header_footer("text", normal=True) & ~F.coalesce(margin, F.lit(False))).drop("zone", "signature", "times")
 
 
 def level(text: str = "text", size: str = "size", fonts: str = "fonts", body_size: str = "body_size", unlabeled: Column | None = None) -> Column:
-    """Livre, titre, chapitre, sous_section or section, in this order; null for ordinary lines.  ``unlabeled``: documents with sub-sections that bear no number."""
+    """P2 of a normalised line: livre, titre, chapitre, sous_section or section, in this order; null for ordinary lines.  ``unlabeled``: documents with sub-sections that bear no number."""
     t = F.col(text)
     number = F.regexp_extract(t, P.java(P.NUMBERED_SUB), 1).try_cast("int")
     title = F.regexp_extract(t, P.java(P.NUMBERED_SUB), 2)
     bold, s = X.is_bold(fonts), F.coalesce(F.col(size), F.lit(0.0))
-    numbered = number.isNotNull() & number.between(1, 30) & X.is_numbered_sub_title(title) & ~title.rlike(P.LEADERS) & (bold | (s >= F.col(body_size) * 1.06))
-    bare = number.isNull() & X.is_unlabeled_sub_title(t) & (bold | (s >= F.col(body_size) * 1.08))
-    bare = bare & unlabeled if unlabeled is not None else F.lit(False)
+    numbered = number.isNotNull() & number.between(1, 30) & X.is_numbered_sub_title(title, normal=True) & ~title.rlike(P.LEADERS) & (bold | (s >= F.col(body_size) * 1.06))
+    bare = F.lit(False)
+    if unlabeled is not None:
+        bare = unlabeled & (bold | (s >= F.col(body_size) * 1.08)) & number.isNull() & X.is_unlabeled_sub_title(t, normal=True)
     sub = t.rlike(P.java(P.SUB_SECTION_START)) | numbered | bare
     return (
         F.when(t.rlike(P.java(P.LIVRE)), "livre")

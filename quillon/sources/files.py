@@ -7,6 +7,8 @@ commit protocol makes every write atomic (K5).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,30 @@ def embedded_corpus(spark: SparkSession, path: str, names: tuple[str, ...] = ART
     return rows.withColumn("embedding", vector).withColumn("embedded_file", F.substring_index("source_file", "/", -1))
 
 
+def row_groups(spark: SparkSession, paths: list[str]) -> int:
+    """Row groups of some Parquet files, from their footers."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for path in paths:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+        try:
+            n += reader.getRowGroups().size()
+        finally:
+            reader.close()
+    return n
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a Parquet table over all cores, by keys if given, where its files hold fewer row groups than there are cores: a row group is read by one task.
+
+    Tables of more files than cores, or of more row groups, are left as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores, paths = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if 0 < len(paths) < cores and row_groups(spark, paths) < cores:
+        return df.repartition(cores, *keys)
+    return df
+
+
 def file_count(df: DataFrame) -> int:
     """Files with at least one item."""
     return df.select("source_file").distinct().count()
@@ -68,6 +94,24 @@ def json_lines(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def articles_with_ids(spark: SparkSession, path: str, strict: bool = True, ids: bool = False) -> DataFrame:
+    """The items of a folder's ``*_articles.json`` files, or with ``ids`` of its ``*_with_ids.json``, sorted by path and place."""
+    return json_items(spark, path, strict, "*_with_ids.json" if ids else "*_articles.json").orderBy("source_file", "pos")
+
+
+def output_name(stem: str, pages: int = 0) -> str:
+    """K1: the name of a document's article file; a page limit is part of it."""
+    return f"{stem}{f'_first_{pages}p' if pages > 0 else ''}_articles.json"
+
+
+def union_csv(parts: Sequence[DataFrame], path: str) -> None:
+    """K3: all columns of all parts, in the order they first come; cells that a part lacks are empty."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    csv(whole, path)
+
+
 def json_document(df: DataFrame, path: str, file: str, order: str) -> None:
     """K1, K7: one array per source file, as one text row each; a file is as large as one document."""
     record = F.struct(*[c for c in df.columns if c not in (file, order)])
