@@ -62,41 +62,50 @@ def ranked(hits: DataFrame, order: Sequence[str]) -> DataFrame:
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 1, id: str = "vec_id", embedding: str = "embedding", block: int = 1024, same: bool = False) -> DataFrame:
     """The k best rows for each query, exactly: (query_id, id, similarity), ties to the smaller id.
 
-    Queries are packed into blocks of vectors; each task of the corpus compares a
-    block with its rows by a matrix product and keeps k of them a query, so what
-    is shuffled is k rows a query and task, not pairs.  ``same`` leaves out the row
-    with the query's own id.
+    Both sides are packed into blocks of raw vectors, so that what meets is a block of
+    queries and a block of rows: a matrix product, of which k rows a query are kept.
+    What is shuffled is that, not pairs.  ``same`` leaves out the row with the query's
+    own id.
     """
-    packed = queries.where(V.has_embedding(embedding)).select(F.col(id).cast("long").alias("q"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
-    width = packed.groupBy(F.pmod(F.xxhash64("q"), F.lit(max(1, queries.count() // block + 1))).alias("b")).agg(F.collect_list(F.struct("q", "v")).alias("queries"))
-    rows = corpus.where(V.has_embedding(embedding)).select(F.col(id).cast("long").alias("i"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
-    # rows in packets of one list, so that a block meets packets and not single rows
-    packets = rows.groupBy(F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() / block).alias("n")).agg(F.collect_list(F.struct("i", "v")).alias("rows"))
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        def pack(batches):
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                rows = batch.column(1)
+                flat, width = rows.flatten().to_numpy(zero_copy_only=False).astype("<f8"), rows.value_lengths().to_numpy(zero_copy_only=False)
+                begins = np.cumsum(width) - width
+                for w in np.unique(width).tolist():
+                    own = np.flatnonzero(width == w)
+                    for k in range(0, len(own), block):
+                        some = own[k : k + block]
+                        vectors = flat[begins[some][:, None] + np.arange(w)]
+                        yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([ids[some].tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], [f"{side}_w", f"{side}_ids", f"{side}_v"])
+
+        rows = df.where(V.has_embedding(embedding)).select(F.col(id).cast("long"), F.transform(embedding, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))))
+        return rows.mapInArrow(pack, f"{side}_w int, {side}_ids binary, {side}_v binary")
 
     def best(batches):
         for batch in batches:
-            for qs, rs in zip(batch.column("queries").to_pylist(), batch.column("rows").to_pylist()):
-                for n in sorted({len(q["v"]) for q in qs}):
-                    own = [r for r in rs if len(r["v"]) == n]
-                    asked = [q for q in qs if len(q["v"]) == n]
-                    if not own:
-                        continue
-                    ids, qid = np.array([r["i"] for r in own]), np.array([q["q"] for q in asked])
-                    a, b = np.array([q["v"] for q in asked], float), np.array([r["v"] for r in own], float)
-                    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        s = (a @ b.T) / na[:, None] / nb[None, :]
-                    s[(na == 0)[:, None] | (nb == 0)[None, :]] = 0.0
-                    s[np.isnan(s)] = -np.inf
-                    if same:
-                        s[qid[:, None] == ids[None, :]] = -np.inf
-                    top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                    score = np.take_along_axis(s, top, 1)
-                    use = ~np.isneginf(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, top.shape[1])[use.ravel()]), pa.array(ids[top][use]), pa.array(score[use])], ["query_id", "vec_id", "similarity"])
-
-    met = width.join(packets, F.lit(True))
-    found = met.select("queries", "rows").mapInArrow(best, "query_id long, vec_id long, similarity double")
+            for w, q, a, v, i, b in zip(*(batch.column(c).to_pylist() for c in ("q_w", "q_ids", "q_v", "r_w", "r_ids", "r_v"))):
+                if w != v:
+                    continue  # vectors of another length are skipped
+                qid, ids = np.frombuffer(q, "<i8"), np.frombuffer(i, "<i8")
+                a, b = np.frombuffer(a, "<f8").reshape(-1, w), np.frombuffer(b, "<f8").reshape(-1, w)
+                na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = (a @ b.T) / na[:, None] / nb[None, :]
+                s[(na == 0)[:, None] | (nb == 0)[None, :]] = 0.0
+                s[np.isnan(s)] = -np.inf
+                if same:
+                    s[qid[:, None] == ids[None, :]] = -np.inf
+                top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                score = np.take_along_axis(s, top, 1)
+                use = ~np.isneginf(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, top.shape[1])[use.ravel()]), pa.array(ids[top][use]), pa.array(score[use])], ["query_id", "vec_id", "similarity"])
+
+    met = packed(queries, "q").join(packed(corpus, "r"), F.lit(True))
+    found = met.mapInArrow(best, "query_id long, vec_id long, similarity double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
