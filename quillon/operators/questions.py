@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..providers import Chat, question_column
 
 
 def merge_unique(df: DataFrame, key: str, question: str, order: str | list[str], limit: int) -> DataFrame:
@@ -51,3 +53,46 @@ def summary(sets: DataFrame, source: str, model: str, per_article: int, chunk: i
         F.lit(source).alias("source_file"), F.lit(model).alias("model"), F.lit(per_article).alias("questions_per_article"), F.lit(chunk).alias("chunk_size"), "total_articles",
         F.when(enough, "completed").otherwise("stopped").alias("status"), F.when(enough, "").otherwise(f"fewer than {need} articles have questions").alias("stopped_reason"), "articles",
     )
+
+
+def run(spark: SparkSession, articles: DataFrame, store: str, chat: Chat, n: int = 10, chunk: int = 5, most: int | None = None, order: str = "pos", id: str = "id", attempts: int = 3) -> dict:
+    """Questions for articles in ordered batches of ``chunk``, until ``most`` have some, none are left, or a stop.
+
+    Each batch's answers are written once to ``store/answers`` (batch_index, article_id,
+    questions, error), so nothing is asked twice and what is done outlives the run; a
+    later run takes up the articles that the store lacks.  Returns the status, the
+    reason and how many articles have questions.  ``chunk`` articles go to the workers
+    at a time, so it sets how many calls run side by side.
+    """
+    answers, done = f"{store}/answers", None
+    schema = T.StructType([T.StructField("batch_index", T.IntegerType()), T.StructField("article_id", articles.schema[id].dataType), *T._parse_datatype_string("questions array<string>, error string, stop string")])
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("append").parquet(answers)
+    done = spark.read.schema(schema).parquet(answers)
+    index = (done.agg(F.max("batch_index")).first()[0] or 0) + 1
+    got = done.where("questions is not null").count()
+    status, reason, after = "completed", "", None
+    todo = articles.join(done.where("questions is not null").select(F.col("article_id").alias(id)), id, "left_anti")
+    while most is None or got < most:
+        rows = (todo if after is None else todo.where(F.col(order) > F.lit(after))).orderBy(order).limit(chunk if most is None else min(chunk, most - got))
+        batch = [r[order] for r in rows.select(order).collect()]  # at most ``chunk`` places
+        if not batch:
+            break
+        after = batch[-1]
+        made = question_column(rows.repartition(max(1, len(batch))), chat, n, attempts, id)
+        made.select(F.lit(index).alias("batch_index"), "article_id", "questions", "error", "stop").write.mode("append").parquet(answers)
+        mine = spark.read.schema(schema).parquet(answers).where(F.col("batch_index") == index)
+        told = mine.agg(F.count_if(F.col("questions").isNotNull()).alias("n"), F.max("stop").alias("stop")).first()
+        got += told["n"]
+        if told["stop"] is not None:
+            status, reason = "stopped", told["stop"]
+            break
+        index += 1
+    return {"status": status, "stopped_reason": reason, "total_articles": got}
+
+
+def batch_files(answers: DataFrame, path: str) -> None:
+    """K6: a folder with a three-digit name per batch that has an answer; the batch in which a run stopped has none."""
+    whole = answers.groupBy("batch_index").agg(F.max("stop").alias("s")).where("s is null").select("batch_index")
+    rows = answers.where("questions is not null").join(whole, "batch_index", "left_semi")
+    rows.select(F.format_string("%03d", "batch_index").alias("batch"), "article_id", "questions").write.mode("overwrite").partitionBy("batch").json(path)

@@ -1,8 +1,8 @@
 """Embedding and chat providers: the interface, retries (C5, C6, C8), offline stand-ins, and tolerant reading of what models say.
 
 A provider is called in Arrow batches on the workers, never row by row from the
-driver.  No remote client is built in; anything with ``embed(texts)`` or
-``complete(prompt)`` will do, and must be picklable.
+driver.  Anything with ``embed(texts)`` or ``complete(prompt)`` will do, and must be
+picklable; ``remote`` has clients for HTTP endpoints.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RETRYABLE = frozenset("429 500 503 504 resource_exhausted unavailable internal deadline timeout".split())
 WIDTH = 64
@@ -285,22 +286,37 @@ def ask_questions(chat: Chat, article: dict, n: int = 10, attempts: int = 3, sle
         raise
 
 
+STOPS = (ModelNotFound, OutOfCredits, RateLimited)
+
+
 def question_column(df: DataFrame, chat: Chat, n: int = 10, attempts: int = 3, id: str = "id") -> DataFrame:
-    """(article_id, questions, error) of articles; the id is ours, not the model's."""
+    """(article_id, questions, error, stop) of articles; the id is ours, not the model's.
+
+    C9: what ends a run is a value, not an exception, which would have Spark repeat the
+    task and its paid calls: the article that met it and the rest of its task get it as
+    ``stop`` and no more calls are made there; what was finished before stands.
+    """
     from .functions.text import prompt_record
 
     record = prompt_record(df.columns)
-
-    @F.arrow_udf("questions array<string>, error string")
-    def asked(batch: pa.Array) -> pa.Array:
-        rows = []
-        for article in batch.to_pylist():
-            try:
-                rows.append((ask_questions(chat, article, n, attempts), None))
-            except (ModelNotFound, OutOfCredits, RateLimited):
-                raise
-            except Exception as error:
-                rows.append((None, str(error)))
-        return pa.StructArray.from_arrays([pa.array([q for q, _ in rows], pa.list_(pa.string())), pa.array([e for _, e in rows], pa.string())], ["questions", "error"])
-
-    return df.select(F.col(id).alias("article_id"), asked(record).alias("_q")).select("article_id", "_q.questions", "_q.error")
+    made = df.select(F.col(id).alias("article_id"), record.alias("_article"))
+    kinds = [pa.list_(pa.string()), pa.string(), pa.string()]
+
+    def asked(batches):
+        stop = None
+        for batch in batches:
+            rows = []
+            for article in batch.column("_article").to_pylist():
+                questions = error = None
+                if stop is None:
+                    try:
+                        questions = ask_questions(chat, article, n, attempts)
+                    except STOPS as reason:
+                        stop = f"{type(reason).__name__}: {reason}"
+                    except Exception as failure:
+                        error = str(failure)
+                rows.append((questions, error, stop))
+            yield pa.RecordBatch.from_arrays([batch.column("article_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["article_id", "questions", "error", "stop"])
+
+    schema = T.StructType([made.schema["article_id"], *T._parse_datatype_string("questions array<string>, error string, stop string")])
+    return made.mapInArrow(asked, schema)

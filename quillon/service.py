@@ -13,13 +13,36 @@ from dataclasses import asdict, dataclass, fields
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.text import CLOSE_FILTERS
 from .operators import search
 from .providers import Chat, Embedder, HashingEmbedder, read_object, verify_prompt
+from .remote import provider
 from .sources import files
 
+#: A page that asks for the hits at the default filter and has the first five verified, as ``/ui``.
+PAGE = """<!doctype html><meta charset="utf-8"><title>Article search</title>
+<style>body{font:16px sans-serif;max-width:50rem;margin:2rem auto}li{margin:1rem 0}small{color:#555}</style>
+<form><input name="q" size="50" autofocus> <label><input type="checkbox" name="v"> verify</label> <button>Search</button></form><p id="said"></p><ol id="hits"></ol>
+<script>
+const form = document.querySelector("form"), said = document.getElementById("said"), hits = document.getElementById("hits");
+form.onsubmit = async event => {
+  event.preventDefault();
+  hits.replaceChildren();
+  said.textContent = "…";
+  const body = {query: form.q.value, verify_results: form.v.checked, verify_top_n: 5};
+  const got = await (await fetch("/search", {method: "POST", body: JSON.stringify(body)})).json();
+  said.textContent = got.error || got.result_count + " hits " + (got.ai_verification.explanation || "");
+  for (const hit of got.results || []) {
+    const item = hits.appendChild(document.createElement("li")), note = item.appendChild(document.createElement("small"));
+    note.textContent = [hit.document_name, hit.article_number, hit.pages, hit.similarity.toFixed(3), hit.closeness_label, hit.ai_is_relevant === undefined ? "" : hit.ai_is_relevant ? "relevant" : "not relevant"].filter(Boolean).join(" · ");
+    item.appendChild(document.createElement("div")).textContent = hit.content;
+  }
+};
+</script>
+"""
 SHOWN = (*files.ARTICLE_FIELDS, "embedded_file")
 
 
@@ -57,12 +80,25 @@ def truth(value: object) -> bool:
 class Engine:
     """A corpus and the providers; the corpus is read once and kept in memory across queries."""
 
-    def __init__(self, corpus: DataFrame, embedder: Embedder, source: str, chat: Chat | None = None):
-        self.corpus, self.embedder, self.source, self.chat = corpus.cache(), embedder, source, chat
+    def __init__(self, corpus: DataFrame | None, embedder: Embedder, source: str, chat: Chat | None = None):
+        self.corpus, self.embedder, self.source, self.chat = corpus and corpus.cache(), embedder, source, chat
+
+    @classmethod
+    def at(cls, spark: SparkSession, source: str, embedder: Embedder, chat: Chat | None = None) -> Engine:
+        """Over the files at a path; with no corpus where there is none."""
+        try:
+            corpus = files.embedded_corpus(spark, source)
+        except (FileNotFoundError, AnalysisException) as error:
+            if isinstance(error, AnalysisException) and error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            corpus = None
+        return cls(corpus, embedder, source, chat)
 
     def answer(self, r: Request) -> dict:
         """V11-V14 for one request."""
         threshold = search.checked(r.query, r.top_k, r.threshold, r.close_filter, r.verify_top_n)
+        if self.corpus is None:
+            raise RuntimeError(f"there are no embedded articles at {self.source}")
         (vector,) = self.embedder.embed([r.query])  # V3: one vector, on the driver
         order = [c for c in ("source_file", "pos") if c in self.corpus.columns]
         hits = search.search(self.corpus, vector, r.top_k, threshold, order)
@@ -107,7 +143,7 @@ def respond(engine: Engine, method: str, target: str, body: bytes = b"") -> tupl
     if method == "GET" and url.path in ("/", "/index.html"):
         return 200, {"service": "article search", "routes": ["/health", "/search"]}
     if method == "GET" and url.path == "/health":
-        return 200, {"file_count": files.file_count(engine.corpus), "embeddings_source": engine.source, "status": "ok"}
+        return 200, {"file_count": 0 if engine.corpus is None else files.file_count(engine.corpus), "embeddings_source": engine.source, "status": "ok"}
     if url.path != "/search" or method not in ("GET", "POST"):
         return 404, {"error": "not found"}
     try:
@@ -133,10 +169,20 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             self.end_headers()
             self.wfile.write(raw)
 
+        def _page(self) -> None:
+            raw = PAGE.encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html;charset=UTF-8")
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
         def do_OPTIONS(self) -> None:
             self._send(204, None)
 
         def do_GET(self) -> None:
+            if urlparse(self.path).path == "/ui":
+                return self._page()
             self._send(*respond(engine, "GET", self.path))
 
         def do_POST(self) -> None:
@@ -155,11 +201,19 @@ def main(argv: list[str] | None = None, ask: Callable[[str], str] = input) -> No
     for flags, kind, usual in (("--top-k -k", int, 5), ("--threshold -t", float, 0.0)):
         p.add_argument(*flags.split(), type=kind, default=usual)
     p.add_argument("--serve", type=int, metavar="PORT", help="answer HTTP requests instead")
+    for what in ("provider", "chat"):
+        p.add_argument(f"--{what}", metavar="MODULE:OBJECT", help="e.g. quillon.remote:Http" + ("Embedder" if what == "provider" else "Chat"))
+    for what in ("url", "model", "key"):
+        p.add_argument(f"--{what}", default="", help="passed to the provider")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("article-search").getOrCreate()
-    engine = Engine(files.embedded_corpus(spark, a.source), HashingEmbedder(), a.source)
+    given = {"url": a.url, "model": a.model, "key": a.key}
+    embedder = provider(a.provider, **given) if a.provider else HashingEmbedder()
+    engine = Engine.at(spark, a.source, embedder, provider(a.chat, **given) if a.chat else None)
     if a.serve is not None:
         ThreadingHTTPServer(("0.0.0.0", a.serve), handler(engine)).serve_forever()
+    if engine.corpus is None:
+        raise SystemExit(f"there are no embedded articles at {a.source}")
     while (query := a.query or ask("query (quit to leave): ")).strip().lower() != "quit":
         search.checked(query, a.top_k, a.threshold, "off")
         (vector,) = engine.embedder.embed([query])

@@ -7,10 +7,12 @@ rewriting anything.  ``follow`` does the same from a stream of new files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as X
 from ..functions import vectors as V
 from ..providers import Embedder, embed_column
 
@@ -39,26 +41,41 @@ def latest(checkpoints: DataFrame, path: str = "path") -> DataFrame:
     return checkpoints.agg(F.max_by(path, number).alias("path"), F.max(number).alias("number"))
 
 
-def backfill(spark: SparkSession, articles: DataFrame, store: str, provider: Embedder, text: str = "content", keys: tuple[str, ...] = KEYS) -> int:
-    """Embeds what the store lacks and appends it; returns how many failed (they stay missing)."""
+def has_text(text: str) -> Column:
+    """Not empty but for white space of any kind."""
+    return X.strip(F.coalesce(F.col(text), F.lit(""))) != ""
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """The store, or None where there is none yet."""
     try:
-        todo = missing(articles, spark.read.parquet(store), keys)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        todo = articles
-    made = embed_column(todo.where(F.trim(text) != ""), provider, text)
-    before = spark.read.parquet(store).count() if todo is not articles else 0
-    wanted = todo.where(F.trim(text) != "").count()
-    made.where("embedding is not null").drop("embed_error").write.mode("append").parquet(store)
-    return wanted - (spark.read.parquet(store).count() - before)
+        return None
+
+
+def backfill(spark: SparkSession, articles: DataFrame, store: str, provider: Embedder, text: str = "content", keys: tuple[str, ...] = KEYS) -> int:
+    """Embeds what the store lacks and appends it; returns how many failed (they stay missing)."""
+    done = _stored(spark, store)
+    todo = (articles if done is None else missing(articles, done, keys)).where(has_text(text))
+    made = embed_column(todo, provider, text)
+    # what is asked for is asked once: the count comes out of the same pass as the rows
+    seen = Observation()
+    observed = made.observe(seen, F.count(F.lit(1)).alias("wanted"), F.count("embedding").alias("made"))
+    observed.where("embedding is not null").drop("embed_error").write.mode("append").parquet(store)
+    return seen.get["wanted"] - seen.get["made"]
+
 
+def follow(articles: DataFrame, store: str, checkpoint: str, provider: Embedder, text: str = "content", keys: tuple[str, ...] = KEYS) -> StreamingQuery:
+    """Embeds a stream of articles into the store as files arrive; one pass over what is there, then ends.
 
-def follow(articles: DataFrame, store: str, checkpoint: str, provider: Embedder, text: str = "content") -> StreamingQuery:
-    """Embeds a stream of articles into the store as files arrive; one pass over what is there, then ends."""
+    A batch that is tried again after a failure, and articles that another run has
+    embedded, find their keys in the store and aren't written twice.
+    """
 
     def append(batch: DataFrame, _: int) -> None:
-        made = embed_column(batch.where(F.trim(text) != ""), provider, text)
-        made.where("embedding is not null").drop("embed_error").write.mode("append").parquet(store)
+        backfill(batch.sparkSession, batch.dropDuplicates(list(keys)), store, provider, text, keys)
 
     return articles.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
