@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import providers
+from ..functions import patterns as P
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import articles, chunks, lines, questions, search, tables
+from ..sources import files
 from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts by id, on all cores: rules over whole texts are the work here, not the reading."""
+    return files.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 # search -------------------------------------------------------------------------
 
 Q0 = "(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
@@ -118,13 +125,13 @@ SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(rep
 @query(f"SELECT doc_id, sentence, count(*) AS n FROM ({SENTENCES}) GROUP BY 1, 2")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     """every sentence of every text, and how often the text has it."""
-    return table(spark, d, "documents").select("doc_id", F.explode(X.sentences("text")).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
+    return texts(spark, d).select("doc_id", F.explode(X.sentences("text")).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars, max(length(sentence))::BIGINT AS longest FROM ({SENTENCES}) GROUP BY 1")
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
     """F24 without exploding: sentences, characters and the longest, per text."""
-    s = table(spark, d, "documents").select("doc_id", F.transform(X.sentences("text"), F.length).alias("n")).where(F.size("n") > 0)
+    s = texts(spark, d).select("doc_id", F.transform(X.sentences("text"), F.length).alias("n")).where(F.size("n") > 0)
     return s.select("doc_id", F.size("n").cast("long").alias("n_sentences"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"), F.array_max("n").cast("long").alias("longest"))
 
 
@@ -143,21 +150,63 @@ WITH RECURSIVE t AS (
 SELECT doc_id, pos::BIGINT AS pos, piece FROM w WHERE piece IS NOT NULL AND (piece <> '' OR pos = 1)""")
 def long_split(spark: SparkSession, d: str) -> DataFrame:
     """every whole text as one long sentence, in pieces of 300 characters at most."""
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = texts(spark, d).where("text is not null")
     return docs.select("doc_id", F.posexplode(X.long_pieces("text", 300)).alias("p", "piece")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "piece")
 
 
-@query(None)
+PIECES = rf"""
+u AS (
+  SELECT doc_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS k
+  FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10), ' '), '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1)),
+    lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM documents)
+), w AS (
+  SELECT doc_id, k, 1 AS j, sentence AS rest, CAST(NULL AS VARCHAR) AS piece FROM u WHERE length(sentence) > 1400
+  UNION ALL
+  SELECT doc_id, k, j + (piece IS NOT NULL)::INT, CASE WHEN length(rest) <= 1400 THEN NULL ELSE ltrim(substr(rest, cut + 1)) END,
+         CASE WHEN length(rest) <= 1400 THEN rest ELSE rtrim(substr(rest, 1, cut)) END
+  FROM (SELECT *, CASE WHEN contains(substr(rest, 1, 1401), ' ') AND 1401 - instr(reverse(substr(rest, 1, 1401)), ' ') >= 700
+                       THEN 1401 - instr(reverse(substr(rest, 1, 1401)), ' ') ELSE 1400 END AS cut FROM w WHERE rest IS NOT NULL)
+), parts AS (
+  SELECT doc_id, k, 0 AS j, sentence AS piece FROM u WHERE length(sentence) <= 1400
+  UNION ALL SELECT doc_id, k, j, piece FROM w WHERE piece IS NOT NULL AND piece <> ''
+), lists AS (SELECT doc_id, list(piece ORDER BY k, j) AS ps FROM parts GROUP BY 1)"""
+
+
+@query(f"""
+WITH RECURSIVE {PIECES},
+packed AS (
+  SELECT doc_id, list_reduce(list_transform(ps, lambda x: [x]), lambda a, x: CASE WHEN length(a[len(a)]) + 1 + length(x[1]) > 1400 THEN list_concat(a, x)
+         ELSE list_concat(a[1:len(a) - 1], [a[len(a)] || ' ' || x[1]]) END) AS cs FROM lists
+)
+SELECT doc_id, format('{{}}_{{:03d}}', doc_id, i) AS chunk_id, i::INT AS chunk_index, len(cs)::INT AS chunk_count, cs[i] AS content
+FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM packed)""")
 def pack_chunks_len(spark: SparkSession, d: str) -> DataFrame:
     """V8 by length alone, V9."""
-    packed = chunks.pack_by_length(table(spark, d, "documents").select("doc_id", "text"), "text")
+    packed = chunks.pack_by_length(texts(spark, d), "text")
     return chunks.records(packed.drop("text").withColumn("article_number", F.col("doc_id").cast("string"))).select("doc_id", "chunk_id", "chunk_index", "chunk_count", "content")
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {PIECES},
+place AS (
+  SELECT doc_id, k, j, piece, list_transform(list_filter(string_split(lower(piece), ' '), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS p FROM parts
+), counted AS (
+  SELECT doc_id, k, j, piece, list_transform(range(0, 64), lambda b: len(list_filter(p, lambda q: q = b))::DOUBLE) AS c FROM place
+), scaled AS (
+  SELECT doc_id, k, j, piece, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS z FROM counted
+), items AS (
+  SELECT doc_id, list({{'cs': [piece], 'v': list_transform(c, lambda x: x / z)}} ORDER BY k, j) AS ps FROM scaled GROUP BY 1
+), packed AS (
+  SELECT doc_id, list_reduce(ps, lambda a, x:
+    CASE WHEN length(a.cs[len(a.cs)]) + 1 + length(x.cs[1]) > 1400 OR length(a.cs[len(a.cs)]) >= 900 AND list_cosine_similarity(a.v, x.v) < 0.72
+         THEN {{'cs': list_concat(a.cs, x.cs), 'v': x.v}}
+         ELSE {{'cs': list_concat(a.cs[1:len(a.cs) - 1], [a.cs[len(a.cs)] || ' ' || x.cs[1]]), 'v': list_transform(list_zip(a.v, x.v), lambda y: (y[1] + y[2]) / 2)}} END).cs AS cs FROM items
+)
+SELECT doc_id, format('{{}}_{{:03d}}', doc_id, i) AS chunk_id, i::INT AS chunk_index, len(cs)::INT AS chunk_count, cs[i] AS content
+FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM packed)""")
 def pack_chunks_vec(spark: SparkSession, d: str) -> DataFrame:
     """V8, V7 with the stand-in's vectors, V9."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d)
     packed = chunks.pack_by_meaning(docs, providers.embed_arrays(providers.HashingEmbedder()), "text")
     return chunks.records(packed.drop("text").withColumn("article_number", F.col("doc_id").cast("string"))).select("doc_id", "chunk_id", "chunk_index", "chunk_count", "content")
 
@@ -165,16 +214,17 @@ def pack_chunks_vec(spark: SparkSession, d: str) -> DataFrame:
 GROUPS = "SELECT doc_id, source, lang, source || '.json' AS file FROM documents"
 
 
-@query(f"""
-WITH g AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, source % 3) AS first FROM (SELECT doc_id, lang, (substr(source, 4))::INT AS source FROM documents WHERE regexp_matches(source, '^src[0-9]+$')))
+@query("""
+WITH g AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, third) AS first FROM (SELECT doc_id, lang, ('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % 3 AS third FROM documents))
 SELECT doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY first)::BIGINT AS group_id,
-       row_number() OVER (PARTITION BY lang, source % 3 ORDER BY doc_id)::BIGINT AS chunk_index,
-       count(*) OVER (PARTITION BY lang, source % 3) AS chunk_count,
-       format('{{}}_{{:03d}}_g{{:03d}}', (source % 3)::VARCHAR, row_number() OVER (PARTITION BY lang, source % 3 ORDER BY doc_id), dense_rank() OVER (PARTITION BY lang ORDER BY first)) AS chunk_id
+       row_number() OVER (PARTITION BY lang, third ORDER BY doc_id)::BIGINT AS chunk_index,
+       count(*) OVER (PARTITION BY lang, third) AS chunk_count,
+       format('{}_{:03d}_g{:03d}', third::VARCHAR, row_number() OVER (PARTITION BY lang, third ORDER BY doc_id), dense_rank() OVER (PARTITION BY lang ORDER BY first)) AS chunk_id
 FROM g""")
 def chunk_group_ids(spark: SparkSession, d: str) -> DataFrame:
-    """A4, A5: documents as chunks, a language as a file, the source's remainder as the article."""
-    docs = table(spark, d, "documents").where("source rlike '^src[0-9]+$'").select("doc_id", "lang", (F.substring("source", 4, 9).cast("int") % 3).cast("string").alias("article_number"))
+    """A4, A5: documents as chunks, a language as a file, a third of the sources as the article."""
+    third = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 3
+    docs = table(spark, d, "documents").select("doc_id", "lang", third.cast("string").alias("article_number"))
     out = tables.number_chunks(docs, "lang", "doc_id")
     return out.select("doc_id", F.col("group_id").cast("long").alias("group_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_count", "chunk_id")
 
@@ -184,7 +234,7 @@ WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''),
 SELECT doc_id, content FROM c WHERE content <> '' AND NOT regexp_matches(content, '^\s*[0-9]+\s*[\x{AD}–—-]*\s*$')""")
 def clean_content(spark: SparkSession, d: str) -> DataFrame:
     """F21-F23 (the tables hold none of the markers and notes that SQL can't cut)."""
-    docs = table(spark, d, "documents").select("doc_id", X.clean_chunk("text").alias("content"))
+    docs = texts(spark, d).select("doc_id", X.clean_chunk("text").alias("content"))
     return docs.where((F.col("content") != "") & ~X.is_footer_only("content"))
 
 
@@ -217,12 +267,12 @@ SPLIT = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(rang
 CLEAN = r"trim(regexp_replace(line, '\s+', ' ', 'g'))"
 HEADING = rf"regexp_replace({CLEAN}, '([a-zA-ZÀ-ÖØ-öø-ÿ])([0-9]{{2,3}})$', '\1.\2')"
 SIGNATURE = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({HEADING}), '\d+', '#', 'g'), '[\s\-–—_]+', ' ', 'g'), '[^a-zà-öø-ÿ# ]+', '', 'g'))"
-PSEUDO = f"""SELECT doc_id, n, CASE WHEN n % 12 = 0 THEN 'Titre ' || (n // 12 + 1) WHEN n % 12 = 1 THEN 'Chapitre ' || (n // 12 + 1)
- WHEN n % 12 = 6 THEN 'Section ' || (n // 12 + 1) || ' : ' || line WHEN n % 3 = 2 THEN 'Article ' || (n // 3 + 1) || ' ' || line ELSE line END AS line FROM ({SPLIT})"""
+PSEUDO = f"""SELECT doc_id, n, CASE WHEN n % 36 = 0 THEN 'Livre ' || (n // 36 + 1) WHEN n % 12 = 0 THEN 'Titre ' || (n // 12 + 1) WHEN n % 12 = 1 THEN 'Chapitre ' || (n // 12 + 1)
+ WHEN n % 12 = 6 THEN 'Section ' || (n // 12 + 1) || ' : ' || line WHEN n % 12 = 9 THEN 'Sous-section ' || (n // 12 + 1) || ' : ' || line WHEN n % 3 = 2 THEN 'Article ' || (n // 3 + 1) || ' ' || line ELSE line END AS line FROM ({SPLIT})"""
 
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = texts(spark, d).where("text is not null")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
@@ -230,9 +280,11 @@ def pseudo_lines(spark: SparkSession, d: str) -> DataFrame:
     n, line = F.col("n"), F.col("line")
     twelfth = (F.floor(n / 12) + 1).cast("string")
     made = (
-        F.when(n % 12 == 0, F.concat(F.lit("Titre "), twelfth))
+        F.when(n % 36 == 0, F.concat(F.lit("Livre "), (F.floor(n / 36) + 1).cast("string")))
+        .when(n % 12 == 0, F.concat(F.lit("Titre "), twelfth))
         .when(n % 12 == 1, F.concat(F.lit("Chapitre "), twelfth))
         .when(n % 12 == 6, F.concat(F.lit("Section "), twelfth, F.lit(" : "), line))
+        .when(n % 12 == 9, F.concat(F.lit("Sous-section "), twelfth, F.lit(" : "), line))
         .when(n % 3 == 2, F.concat(F.lit("Article "), (F.floor(n / 3) + 1).cast("string"), F.lit(" "), line))
         .otherwise(line)
     )
@@ -275,7 +327,21 @@ def body_sizes(spark: SparkSession, d: str) -> DataFrame:
     return lines.body_sizes(_laid_out(text_lines(spark, d))).select(F.col("doc").alias("doc_id"), "body_size")
 
 
-@query(None)
+def _re2(pattern: str) -> str:
+    """A pattern of the rules as a DuckDB literal."""
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, n, {HEADING} AS t, {SIGNATURE} AS signature, CASE WHEN n % 40 < 6 THEN 'top' WHEN n % 40 >= 35 THEN 'bottom' END AS zone,
+           CASE WHEN n % 12 = 0 THEN 14.0 WHEN n % 40 >= 35 THEN 8.0 ELSE 10.0 END AS size FROM ({PSEUDO})),
+b AS (SELECT doc_id, median(size) AS body FROM l GROUP BY 1),
+r AS (SELECT doc_id, zone, signature FROM l WHERE zone IS NOT NULL AND length(signature) >= 6 GROUP BY ALL HAVING count(*) >= 2),
+m AS (SELECT l.*, b.body, r.signature IS NOT NULL AS again FROM l JOIN b USING (doc_id) LEFT JOIN r ON r.doc_id = l.doc_id AND r.zone = l.zone AND r.signature = l.signature)
+SELECT doc_id, (n // 40 + 1)::INT AS page, n::INT AS line_no, t AS text FROM m
+WHERE t <> '' AND NOT regexp_matches(t, {_re2(P.HEADER_FOOTER)})
+  AND NOT (zone IS NOT NULL AND NOT (regexp_matches(t, {_re2(P.STRUCTURAL)}) AND size >= body)
+           AND (again OR regexp_matches(t, {_re2(P.PAGE_NUMBER)}) OR (size <= body * 0.9 AND regexp_matches(t, {_re2(P.MARGIN_WORDS)}))))""")
 def drop_margins(spark: SparkSession, d: str) -> DataFrame:
     """The lines that stay."""
     kept = lines.drop_margins(_laid_out(pseudo_lines(spark, d)))
@@ -288,11 +354,11 @@ LEVEL = rf"""CASE WHEN regexp_matches(t, '(?i)^\s*livre\b') THEN 'livre' WHEN re
  WHEN regexp_matches(t, '(?i)^\s*sous(\s*[‑–—-]\s*|\s+)section\b') THEN 'sous_section' WHEN regexp_matches(t, '(?i)^\s*section\b') THEN 'section' END"""
 
 
-@query(f"SELECT coalesce({LEVEL}, 'none') AS level, count(*) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT {HEADING} AS t FROM ({PSEUDO})) GROUP BY 1")
+@query(f"SELECT doc_id, n::BIGINT AS n, {LEVEL} AS level FROM (SELECT doc_id, n, {HEADING} AS t FROM ({PSEUDO}))")
 def line_classify(spark: SparkSession, d: str) -> DataFrame:
     """P2 of every line (of body size, so that size and weight decide nothing)."""
-    rows = pseudo_lines(spark, d).select(X.normalise_heading("line").alias("text"), F.lit(10.0).alias("size"), F.array(F.lit("Body")).alias("fonts"), F.lit(10.0).alias("body_size"))
-    return rows.groupBy(F.coalesce(lines.level(), F.lit("none")).alias("level")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    rows = pseudo_lines(spark, d).select("doc_id", "n", X.normalise_heading("line").alias("text"), F.lit(10.0).alias("size"), F.array(F.lit("Body")).alias("fonts"), F.lit(10.0).alias("body_size"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), lines.level().alias("level"))
 
 
 @query(rf"""
@@ -307,31 +373,30 @@ def upper_fragments(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""
 WITH t AS (SELECT doc_id, n, {HEADING} AS t FROM ({SPLIT})), m AS (SELECT doc_id, n, (n % 50) || ' - ' || t AS t FROM t),
 b AS (SELECT doc_id, n, n % 50 AS number, trim(regexp_replace(t, '^\s*[0-9]+\s*[–—-]\s*', '')) AS body FROM m)
-SELECT number >= 30 AS high, CASE WHEN number >= 30 THEN true WHEN body = '' OR regexp_matches(body, '(?i)^(l[''’]|(les?|la|du|des?)([^\pL\d_]|$))') THEN false
+SELECT doc_id, n::BIGINT AS n, CASE WHEN number >= 30 THEN true WHEN body = '' OR regexp_matches(body, '(?i)^(l[''’]|(les?|la|du|des?)([^\pL\d_]|$))') THEN false
   WHEN regexp_matches(body, '(?i)(^|[^\pL\d_])(code|loi|d[ée]cret|bulletin\s+officiel|dahir|article)([^\pL\d_]|$)')
-    OR regexp_matches(body, '(?i)^\s*(voir|les\s+dispositions|comparer|m[êe]me\s+remarque|ibid|a\s+comparer)([^\pL\d_]|$)') THEN true ELSE length(body) > 120 END AS note,
-  count(*) AS n FROM b GROUP BY ALL""")
+    OR regexp_matches(body, '(?i)^\s*(voir|les\s+dispositions|comparer|m[êe]me\s+remarque|ibid|a\s+comparer)([^\pL\d_]|$)') THEN true ELSE length(body) > 120 END AS note FROM b""")
 def footnote_lines(spark: SparkSession, d: str) -> DataFrame:
     """every line with a number put in front."""
     numbered = F.concat((F.col("n") % 50).cast("string"), F.lit(" - "), X.normalise_heading("line"))
-    rows = text_lines(spark, d).select((F.col("n") % 50 >= 30).alias("high"), X.is_footnote(numbered).alias("note"))
-    return rows.groupBy("high", "note").agg(F.count("*").alias("n"))
+    return text_lines(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), X.is_footnote(numbered).alias("note"))
+
+
+_AT = ", ".join(f"max(CASE WHEN level = '{x}' THEN n END) OVER w AS at_{x}, last_value(CASE WHEN level = '{x}' THEN t END IGNORE NULLS) OVER w AS v_{x}" for x in articles.LEVELS)
+_CARRIED = ", ".join(
+    f"CASE WHEN at_{x} > greatest(-1, {', '.join(f'coalesce(at_{h}, -1)' for h in articles.LEVELS[:k]) or -1}) THEN v_{x} ELSE '' END AS {x}" for k, x in enumerate(articles.LEVELS)
+)
 
 
 @query(f"""
 WITH l AS (SELECT doc_id, n, t, {LEVEL} AS level FROM (SELECT doc_id, n, {HEADING} AS t FROM ({PSEUDO}))),
-p AS (SELECT *, max(CASE WHEN level = 'titre' THEN n END) OVER w AS a, max(CASE WHEN level = 'chapitre' THEN n END) OVER w AS b, max(CASE WHEN level = 'section' THEN n END) OVER w AS c,
-        last_value(CASE WHEN level = 'titre' THEN t END IGNORE NULLS) OVER w AS va, last_value(CASE WHEN level = 'chapitre' THEN t END IGNORE NULLS) OVER w AS vb,
-        last_value(CASE WHEN level = 'section' THEN t END IGNORE NULLS) OVER w AS vc
-      FROM l WHERE level IS NULL OR level IN ('titre', 'chapitre', 'section') WINDOW w AS (PARTITION BY doc_id ORDER BY n))
-SELECT doc_id, n::BIGINT AS n, coalesce(va, '') AS titre, CASE WHEN b > coalesce(a, -1) THEN vb ELSE '' END AS chapitre,
-       CASE WHEN c > greatest(coalesce(a, -1), coalesce(b, -1)) THEN vc ELSE '' END AS section FROM p""")
+p AS (SELECT doc_id, n, {_AT} FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+SELECT doc_id, n::BIGINT AS n, {_CARRIED} FROM p""")
 def hierarchy_carry(spark: SparkSession, d: str) -> DataFrame:
-    """The headings in force on every line."""
+    """The headings in force on every line, all five levels."""
     rows = pseudo_lines(spark, d).select("doc_id", "n", X.normalise_heading("line").alias("text"), F.lit(10.0).alias("size"), F.array(F.lit("Body")).alias("fonts"), F.lit(10.0).alias("body_size"))
-    leveled = rows.withColumn("level", lines.level()).where("level is null or level in ('titre', 'chapitre', 'section')")
-    out = articles.carry_hierarchy(leveled, "doc_id", ("n",))
-    return out.select("doc_id", F.col("n").cast("long").alias("n"), "titre", "chapitre", "section")
+    out = articles.carry_hierarchy(rows.withColumn("level", lines.level()), "doc_id", ("n",))
+    return out.select("doc_id", F.col("n").cast("long").alias("n"), *articles.LEVELS)
 
 
 @query(None)
@@ -355,10 +420,54 @@ def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("offset"))
 
 
-@query(None)
+_NOTE_BODY = r"trim(regexp_replace(x, '^\s*[0-9]+\s*[–—-]\s*', ''))"
+_IS_NOTE = rf"""(regexp_matches(x, '^\s*[0-9]+\s*[–—-]') AND CASE WHEN coalesce(try_cast(regexp_extract(x, '^\s*([0-9]+)\s*[–—-]', 1) AS BIGINT), 1000000000) >= 30 THEN true
+  WHEN {_NOTE_BODY} = '' OR regexp_matches({_NOTE_BODY}, '(?i)^(l[''’]|(les?|la|du|des?)([^\pL\d_]|$))') THEN false
+  WHEN regexp_matches({_NOTE_BODY}, '(?i)(^|[^\pL\d_])(code|loi|d[ée]cret|bulletin\s+officiel|dahir|article)([^\pL\d_]|$)')
+    OR regexp_matches({_NOTE_BODY}, '(?i)^\s*(voir|les\s+dispositions|comparer|m[êe]me\s+remarque|ibid|a\s+comparer)([^\pL\d_]|$)') THEN true ELSE length({_NOTE_BODY}) > 120 END)"""
+_WORD_AFTER = _re2(P.SUFFIX_WORD.replace("(?=", "(?:"))
+
+
+def _cut(sql: str, patterns) -> str:
+    for pattern in patterns:
+        sql = f"string_split_regex({sql}, {_re2(pattern)})[1]"
+    return sql
+
+
+def _fits(cut: int) -> str:
+    return f"(length(g1) >= 3 AND try_cast(left(g1, {cut}) AS INT) BETWEEN 1 AND 30 AND length(g1) - {cut} BETWEEN 2 AND 3)"
+
+
+_SPLIT_AT = " ".join(f"WHEN {_fits(cut)} THEN {cut}" for cut in (2, 1, 3))
+
+
+@query(rf"""
+WITH l AS (
+  SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda line: {HEADING}),
+         lambda x: x <> '' AND NOT regexp_matches(x, {_re2(P.HEADER_FOOTER)}) AND NOT {_IS_NOTE}) AS kept FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT doc_id, text, {_cut(f"regexp_replace(array_to_string(kept, chr(10)), {_re2(P.LEADING_SUB_TOKEN)}, '')", P.CUTS)} AS body FROM l
+), n AS (
+  SELECT doc_id, body, text, {HEADING.replace("(line,", "(text,")} AS one FROM c
+), g AS (
+  SELECT *, coalesce(nullif(regexp_extract(one, {_re2(P.ANNOTATION)}, 1), ''), regexp_extract(one, {_re2(P.ANNOTATION_UNOPENED)}, 1)) AS label,
+         regexp_extract(text, {_re2(P.SUFFIX_NUMBER)}, 1) AS g1, regexp_extract(text, {_re2(P.SUFFIX_NUMBER)}, 2) AS g2, regexp_extract(text, {_re2(P.SUFFIX_NUMBER)}, 3) AS g3 FROM n
+), k AS (
+  SELECT *, CASE {_SPLIT_AT} ELSE 0 END AS cut FROM g
+), m AS (
+  SELECT *, try_cast(CASE WHEN cut > 0 THEN left(g1, cut) ELSE g1 END AS INT) AS number, CASE WHEN g3 <> '' THEN g3 WHEN cut > 0 THEN substr(g1, cut + 1) ELSE '' END AS above FROM k
+)
+SELECT doc_id, trim(regexp_replace(regexp_replace(body, '(\r?\n)+', ' ', 'g'), '[ \t]+', ' ', 'g')) AS content,
+  CASE WHEN label <> '' THEN '(' || {HEADING.replace("(line,", "(label,")} || ')' END AS label,
+  CASE WHEN regexp_matches(text, {_re2(P.SUFFIX_NOTE)}) THEN lower(regexp_extract(text, {_re2(P.SUFFIX_NOTE)}, 1)) || '.' || regexp_extract(text, {_re2(P.SUFFIX_NOTE)}, 2)
+       WHEN regexp_matches(text, {_re2(P.SUFFIX_MARK)}) THEN lower(regexp_extract(text, {_re2(P.SUFFIX_MARK)}, 1))
+       WHEN regexp_matches(text, {_WORD_AFTER}) THEN lower(regexp_extract(text, {_WORD_AFTER}, 1))
+       WHEN regexp_matches(text, {_re2(P.SUFFIX_NUMBER)}) AND number BETWEEN 1 AND 30
+         THEN number || CASE WHEN g2 <> '' THEN ' ' || lower(g2) ELSE '' END || CASE WHEN above <> '' THEN '.' || above ELSE '' END END AS suffix
+FROM m""")
 def strip_footnotes(spark: SparkSession, d: str) -> DataFrame:
     """F11, F12, F18, F20 of every whole text."""
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = texts(spark, d).where("text is not null")
     return docs.select("doc_id", X.flatten(X.strip_footnotes("text")).alias("content"), X.annotation_label("text").alias("label"), X.sub_article_suffix("text").alias("suffix"))
 
 
@@ -377,7 +486,7 @@ c AS (SELECT doc_id, b, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2)
 SELECT doc_id, b AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value FROM c""")
 def embed_stub(spark: SparkSession, d: str) -> DataFrame:
     """V4: the stand-in's vectors through the provider path, their places above 0."""
-    made = providers.embed_column(table(spark, d, "documents").select("doc_id", "text"), providers.HashingEmbedder(), "text")
+    made = providers.embed_column(texts(spark, d), providers.HashingEmbedder(), "text")
     out = made.select("doc_id", F.posexplode("embedding").alias("place", "value")).where("value > 0")
     exact = F.round(F.col("value").cast("double"), 4)
     return out.select("doc_id", F.col("place").cast("long").alias("place"), exact.alias("value"))
@@ -422,23 +531,26 @@ def relevance_summary(spark: SparkSession, d: str) -> DataFrame:
     return search.relevance(table(spark, d, "labels").withColumn("is_relevant", F.col("quality") == 1), ["toxic"])
 
 
-@query("""
-WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 50)
-SELECT rank, doc_id, CASE WHEN rank <= 30 THEN coalesce(quality = 1, false) END AS ai_is_relevant, CASE WHEN rank <= 30 THEN coalesce(least(greatest(quality - toxic / 2.0, 0), 1), 0)::DOUBLE END AS ai_relevance_score
-FROM h LEFT JOIN labels USING (doc_id)""")
+@query(f"""
+WITH h AS (SELECT vec_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({HITS}) WHERE s >= 0.0 ORDER BY rank LIMIT 50)
+SELECT rank, vec_id, CASE WHEN rank <= 30 THEN coalesce(quality = 1, false) END AS ai_is_relevant, CASE WHEN rank <= 30 THEN coalesce(least(greatest(quality - toxic / 2.0, 0), 1), 0)::DOUBLE END AS ai_relevance_score
+FROM h LEFT JOIN labels ON doc_id = vec_id""")
 def judged_hits(spark: SparkSession, d: str) -> DataFrame:
-    """A top-50 report, the first 30 with what the labels say of them."""
-    hits = table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(50)
-    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
-    said = hits.join(table(spark, d, "labels"), "doc_id").select((F.col("rank") - 1).alias("index"), (F.col("quality") == 1).alias("is_relevant"), (F.col("quality") - F.col("toxic") / 2).alias("score"), F.lit("label").alias("reason"), F.lit(0).alias("pos"))
-    return search.judged(hits, said, 30).select(F.col("rank").cast("long").alias("rank"), "doc_id", "ai_is_relevant", "ai_relevance_score")
+    """The 50 best of all vectors for vector 0, the first 30 with what the labels of that number say of them."""
+    best = search.ranked(search.search(table(spark, d, "embeddings"), vector0(spark, d), 50, 0.0, ["vec_id"]), ["vec_id"])
+    said = best.join(table(spark, d, "labels"), F.col("doc_id") == F.col("vec_id")).select((F.col("rank") - 1).alias("index"), (F.col("quality") == 1).alias("is_relevant"), (F.col("quality") - F.col("toxic") / 2).alias("score"), F.lit("label").alias("reason"), F.lit(0).alias("pos"))
+    return search.judged(best, said, 30).select(F.col("rank").cast("long").alias("rank"), "vec_id", "ai_is_relevant", "ai_relevance_score")
 
 
-@query(None)
+@query(r"""
+WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events),
+v AS (SELECT event_id, name, json_extract(props, '$.' || name)::VARCHAR AS value FROM k
+      UNION ALL SELECT event_id, 'note', '"a\\lb"' FROM events WHERE props IS NOT NULL AND event_id % 3 = 2)
+SELECT event_id, '{' || string_agg('"' || name || '": ' || value, ', ' ORDER BY name) || '}' AS parsed FROM v GROUP BY 1""")
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
     """events' properties in a fence, in prose, and with a bad escape."""
     e = table(spark, d, "events").select("event_id", "props")
-    bad = F.regexp_replace("props", ": *\"", ": \"\\\\\\\\l")
+    bad = F.concat(F.lit('{"note": "a\\lb", '), F.expr("substring(props, 2)"))
     said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here: "), F.col("props"), F.lit("!"))).otherwise(bad)
     return e.select("event_id", providers.parsed_column(said).alias("parsed"))
 
@@ -449,11 +561,20 @@ def outer_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", X.outer_json(F.concat(F.lit("said: "), F.col("props"), F.lit(" ."))).alias("object"))
 
 
-@query(None)
+@query("""
+WITH a AS (
+  SELECT item_id, 'Read this legal article and write 10 short study questions about it in French, without answers.' || chr(10)
+    || 'Reply with one JSON object: the key questions holds a list of 10 strings.' || chr(10) || chr(10) || '{"id": ' || item_id
+    || ', "article_number": null, "document_name": null, "livre": "", "titre": "", "chapitre": "", "section": "", "sous_section": "", "pages": "", "content": '
+    || to_json(coalesce(text, '')) || '}' AS prompt FROM benchmark
+)
+SELECT item_id AS article_id, n::BIGINT AS n, 'Que prévoit le point ' || n || ' (' || substr(md5(prompt), 1, 6) || ') ?' AS question, CAST(NULL AS VARCHAR) AS error
+FROM a, range(1, 11) r(n)""")
 def generated_questions(spark: SparkSession, d: str) -> DataFrame:
-    """G1-G3, F34, F35 with the stand-in model, for every benchmark item as an article."""
+    """G1-G3, F34, F35 with the stand-in model, for every benchmark item as an article; a row per question."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
-    return providers.question_column(items, providers.TemplateChat())
+    made = providers.question_column(items, providers.TemplateChat())
+    return made.select("article_id", "error", F.posexplode_outer("questions").alias("p", "question")).select("article_id", (F.col("p") + 1).cast("long").alias("n"), "question", "error")
 
 
 @query(f"""
