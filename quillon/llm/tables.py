@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,18 +16,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.files import spread
+
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, on all cores even where one file has but a few row groups."""
     small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh temporary one where it names none (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none, a local session gets a temporary folder that goes with the
+    process; on a cluster, whose executors wouldn't share one, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -34,7 +46,10 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of some megabytes, unless the session has smaller ones: texts are long, and each task holds a batch on both sides."""
+    """Arrow batches of some megabytes, unless the session has smaller ones: texts are long, and each task holds a batch on both sides.
+
+    The setting is the session's and stays, as results are computed when they are asked for.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     digits = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
     if digits is None or int(digits[1]) > BATCH_BYTES or int(digits[1]) <= 0:
