@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 _BLANK = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # spelled out, which Java matches faster than the Unicode class
-BLANKS = f"[{_BLANK}]+"
+#: White space but for a single blank, which a replacement by one would cost time and change nothing.
+BLANKS = f"[{_BLANK}&&[^ ]][{_BLANK}]*| [{_BLANK}]+"
 
 
 def _col(c) -> Column:
@@ -34,6 +35,11 @@ def strip(c) -> Column:
     return F.regexp_replace(_col(c), "^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$".replace("\\s", "\\p{IsWhite_Space}"), "")
 
 
+def has_text(c) -> Column:
+    """Whether anything but white space is there; false for null."""
+    return F.coalesce(_col(c).rlike(f"[^{_BLANK}]"), F.lit(False))
+
+
 def normalise_spaces(c) -> Column:
     """runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(_col(c), BLANKS, " "))
@@ -41,7 +47,7 @@ def normalise_spaces(c) -> Column:
 
 def normalise_heading(c) -> Column:
     """one readable line; a note number glued to the last word gets a dot.  Doing it twice changes nothing."""
-    one = F.trim(F.regexp_replace(_col(c), f"[\\x07{_BLANK}]+", " "))
+    one = F.trim(F.regexp_replace(_col(c), f"[\\x07{_BLANK}&&[^ ]][\\x07{_BLANK}]*| [\\x07{_BLANK}]+", " "))
     return F.regexp_replace(one, f"([{P.LETTERS}])(\\d{{2,3}})$", "$1.$2")
 
 
@@ -53,7 +59,7 @@ def _normal(c, normal: bool) -> Column:
 def margin_signature(c, normal: bool = False) -> Column:
     """what recurs in a header or footer when numbers and punctuation change."""
     counted = F.regexp_replace(F.lower(_normal(c, normal)), "(?U)\\d+", "#")
-    spaced = F.regexp_replace(counted, f"[ {P.DASHES}_]+", " ")
+    spaced = F.regexp_replace(counted, f"[{P.DASHES}_][ {P.DASHES}_]*| [ {P.DASHES}_]+", " ")
     return F.trim(F.regexp_replace(spaced, "[^# a-zà-öø-ÿ]+", ""))
 
 

@@ -90,6 +90,7 @@ def pack_by_meaning(df: DataFrame, embed, text: str = "content", p: Packing = Pa
 def records(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     """V9: a row per chunk with chunk_id, chunk_index and chunk_count; the article number or else its older name or "unknown" heads the id."""
     heads = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("article_number", "article") if c in df.columns]
-    out = df.withColumn("chunk_count", F.size(chunks)).select("*", F.posexplode(chunks).alias("_i", "_chunk"))
+    # an inner explode has the planner work out the whole array once more, early, to see that it isn't empty
+    out = df.withColumn("chunk_count", F.size(chunks)).select("*", F.posexplode_outer(chunks).alias("_i", "_chunk")).where("_chunk is not null")
     out = out.withColumn("chunk_index", F.col("_i") + 1).withColumn("chunk_id", F.format_string("%s_%03d", F.coalesce(*heads, F.lit("unknown")), "chunk_index"))
     return out.withColumn("content", F.col("_chunk")).drop("_i", "_chunk", chunks)

@@ -125,13 +125,14 @@ SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(rep
 @query(f"SELECT doc_id, sentence, count(*) AS n FROM ({SENTENCES}) GROUP BY 1, 2")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     """every sentence of every text, and how often the text has it."""
-    return texts(spark, d).select("doc_id", F.explode(X.sentences("text")).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
+    split = texts(spark, d).select("doc_id", F.explode_outer(X.sentences("text")).alias("sentence")).where("sentence is not null")
+    return split.groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars, max(length(sentence))::BIGINT AS longest FROM ({SENTENCES}) GROUP BY 1")
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
     """F24 without exploding: sentences, characters and the longest, per text."""
-    s = texts(spark, d).select("doc_id", F.transform(X.sentences("text"), F.length).alias("n")).where(F.size("n") > 0)
+    s = texts(spark, d).where(X.has_text("text")).select("doc_id", F.transform(X.sentences("text"), F.length).alias("n"))
     return s.select("doc_id", F.size("n").cast("long").alias("n_sentences"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"), F.array_max("n").cast("long").alias("longest"))
 
 
@@ -151,7 +152,7 @@ SELECT doc_id, pos::BIGINT AS pos, piece FROM w WHERE piece IS NOT NULL AND (pie
 def long_split(spark: SparkSession, d: str) -> DataFrame:
     """every whole text as one long sentence, in pieces of 300 characters at most."""
     docs = texts(spark, d).where("text is not null")
-    return docs.select("doc_id", F.posexplode(X.long_pieces("text", 300)).alias("p", "piece")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "piece")
+    return docs.select("doc_id", F.posexplode_outer(X.long_pieces("text", 300)).alias("p", "piece")).where("piece is not null").select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "piece")
 
 
 PIECES = rf"""
@@ -273,7 +274,7 @@ PSEUDO = f"""SELECT doc_id, n, CASE WHEN n % 36 = 0 THEN 'Livre ' || (n // 36 +
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d).where("text is not null")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("n", "line"))
 
 
 def pseudo_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ rewriting anything.  ``follow`` does the same from a stream of new files.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,11 +41,6 @@ def latest(checkpoints: DataFrame, path: str = "path") -> DataFrame:
     return checkpoints.agg(F.max_by(path, number).alias("path"), F.max(number).alias("number"))
 
 
-def has_text(text: str) -> Column:
-    """Not empty but for white space of any kind."""
-    return X.strip(F.coalesce(F.col(text), F.lit(""))) != ""
-
-
 def _stored(spark: SparkSession, store: str) -> DataFrame | None:
     """The store, or None where there is none yet."""
     try:
@@ -59,7 +54,7 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
 def backfill(spark: SparkSession, articles: DataFrame, store: str, provider: Embedder, text: str = "content", keys: tuple[str, ...] = KEYS) -> int:
     """Embeds what the store lacks and appends it; returns how many failed (they stay missing)."""
     done = _stored(spark, store)
-    todo = (articles if done is None else missing(articles, done, keys)).where(has_text(text))
+    todo = (articles if done is None else missing(articles, done, keys)).where(X.has_text(text))  # P8
     made = embed_column(todo, provider, text)
     # what is asked for is asked once: the count comes out of the same pass as the rows
     seen = Observation()
