@@ -55,7 +55,7 @@ BUCKET = 512
 CHUNK = 2_048  # classes on a side of a tile of a large bucket
 SMALL = 100
 LABELS = 2
-KEY_BYTES = 5
+KEY_BYTES = 4  # of a key, beside its target: a target holds about a million, so one key in some thousands meets another by chance
 SKETCH_BITS = 1024
 ROWS = 2_000  # documents whose blocks are sent together
 BLOOM_BITS = 1 << 23, 1 << 27  # least and most, by the number of classes
