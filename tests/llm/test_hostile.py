@@ -179,3 +179,20 @@ def test_sniffing_is_linear(signature):
         media.objects((signature * (size // len(signature)))[:size])
         took.append(time.perf_counter() - began)
     assert took[1] < 8 and took[1] < 12 * max(took[0], 0.05)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quillon.llm.tables import shared_folder
+
+    def session(master, folder=None):
+        kept = {"spark.checkpoint.dir": folder}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kept.get(k) or d, set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
+    one = session("local[4]")
+    assert shared_folder(one) == shared_folder(one) and shared_folder(session("local"))
