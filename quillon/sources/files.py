@@ -51,6 +51,9 @@ def embedded_corpus(spark: SparkSession, path: str, names: tuple[str, ...] = ART
     return rows.withColumn("embedding", vector).withColumn("embedded_file", F.substring_index("source_file", "/", -1))
 
 
+FEW = 64
+
+
 def row_groups(spark: SparkSession, paths: list[str]) -> int:
     """Row groups of some Parquet files, from their footers."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
@@ -66,11 +69,12 @@ def row_groups(spark: SparkSession, paths: list[str]) -> int:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows of a Parquet table over all cores, by keys if given, where its files hold fewer row groups than there are cores: a row group is read by one task.
 
-    Tables of more files than cores, or of more row groups, are left as they are, without a shuffle.
+    Tables of more files than cores (or than ``FEW``, whose footers would take a while
+    to read), or of more row groups, are left as they are, without a shuffle.
     """
     spark = df.sparkSession
     cores, paths = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if 0 < len(paths) < cores and row_groups(spark, paths) < cores:
+    if 0 < len(paths) < min(cores, FEW) and row_groups(spark, paths) < cores:
         return df.repartition(cores, *keys)
     return df
 

@@ -209,3 +209,17 @@ def test_numbers_in_slices(spark):
     named = tables.numbered(df.selectExpr("g", "cast(o as string) o"), ["g"], ["o"], "n")
     assert named.where("g = 'hot'").agg({"n": "max"}).first()[0] == 1000
     assert tables.numbered(df.where("1 = 0"), ["g"], ["o"], "n").count() == 0
+
+
+def test_a_table_of_one_row_group_is_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    (path,) = one.inputFiles()
+    assert files.row_groups(spark, [path]) == 1
+    spread = files.spread(one, "id")
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread.count() == 100
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert files.spread(many) is many
+    made = spark.range(3)
+    assert files.spread(made) is made
