@@ -12,6 +12,7 @@ GROUP = tuple("document_name livre titre chapitre section sous_section article_n
 
 
 SLICES = 32
+ONE_TASK = 64 << 20  # bytes that the planner knows to be all there is, so that any group fits a task
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -20,11 +21,13 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     A group may hold a third of all rows.  It is therefore numbered in ``SLICES``
     slices of the first order column (a number or a time; quantiles over all rows are
     the cuts), each by a window of its own, and a slice's numbers start after the
-    counts of those before it, a row per group and slice.  Other orders take one window.
+    counts of those before it, a row per group and slice.  Other orders, and tables of
+    ``ONE_TASK`` at most, take one window; the numbers are the same.
     """
     kept = [c for c in df.columns if c != name]
     lead = F.col(order[0])
-    if not isinstance(df.schema[order[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_TASK
+    if small or not isinstance(df.schema[order[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return df.select(*kept, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias(name))
     cuts = df.agg(F.percentile_approx(lead, [k / SLICES for k in range(1, SLICES)], 1000).alias("c")).first()["c"] or []
     slices = F.lit(-1)

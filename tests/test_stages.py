@@ -195,9 +195,11 @@ def test_a_missing_source_and_the_page(spark, tmp_path):
         server.shutdown()
 
 
-def test_numbers_in_slices(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 62])
+def test_numbers_in_slices(spark, monkeypatch, limit):
     from quillon.operators import tables
 
+    monkeypatch.setattr(tables, "ONE_TASK", limit)
     rows = [("hot", k * 7 % 1000) for k in range(1000)] + [(None, k) for k in range(5)] + [("a", 3), ("a", None), ("b", 1)]
     df = spark.createDataFrame(rows, "g string, o int").repartition(4)
     got = sorted(((r["g"] or "", r["o"] if r["o"] is not None else -1, r["n"]) for r in tables.numbered(df, ["g"], ["o"], "n").collect()))
