@@ -4,25 +4,29 @@ A string of ``LENGTH`` bytes is anchored at the least hash among its K-grams, so
 equal strings have the same anchor at the same place wherever they are, and only
 anchors (about one in 16 bytes) are exchanged, not positions.
 
-1. Of each anchor's K-gram a short hash is sent, once a block of documents, with the
-   least document that holds it there.  A K-gram of one document only stays.
-2. Of every other anchor the context is sent: the bytes of all strings that it
-   anchors.  The contexts' suffixes from the anchor on are sorted by mergesort; a
+1. The strings of an anchor are those that reach HALF bytes or more before it, and the
+   rest; all of the former hold the HALF + K bytes around it, all of the latter the
+   LENGTH - HALF + 1 bytes from it on.  These are the windows.  In a large corpus nearly
+   every K-gram of prose is somewhere else too, but few windows are.  Of each window a
+   short hash is sent, once a block of documents.  A window of one document only stays.
+2. Of every other window the context is sent: the bytes of all its strings.  The
+   contexts' suffixes from the anchor on are sorted by mergesort; a
    comparison finds the common extension by binary search over prefix polynomial
    hashes, so it takes a logarithm of its length.  Neighbours in that order are then
    compared byte by byte (should hashes have misled it, the part is sorted again by
    its bytes).  Runs of the order with a common extension and an equal left part are
    the equal strings; every string that is to go is compared byte by byte with that
    of the least document.
-3. A K-gram with very many different contexts (the edge of a passage in a third of all
+3. A window with very many different contexts (the edge of a passage in a third of all
    rows, each with other neighbours) is split by string: each string is a context of
    its own, sorted and compared in the same way, sent once a block.
 
-Texts travel as compressed blocks of about a megabyte, written once; a longer text is
-a block of its own, whose anchors are found piece by piece.  Equal contexts within a
-block are compared by their bytes there and sent once, however many documents share
-them, so what a task gets of one K-gram or string grows with the number of blocks, not
-of rows.  The number of tasks grows with the texts.
+Texts travel as compressed blocks of some megabytes, written once; a longer text is a
+block of its own.  Anchors are found piece by piece.  Equal contexts within a block are
+compared by their bytes there and sent once, however many documents share them, so what
+a task gets of one window or string grows with the number of blocks, not of rows.  The
+number of tasks grows with the texts, and a block sends a row to each task that it has
+anything for: the rows grow as the texts times the tasks, which is why blocks are large.
 
 Cases: null text is empty; texts shorter than LENGTH lose nothing; documents of
 equal id don't cover one another; a null id comes before all others; strings
@@ -45,12 +49,13 @@ from .tables import releasing, small_batches, written
 LENGTH = 50
 K = 20
 SPAN = LENGTH - K + 1  # strings that one anchor can have, and K-grams in a string
-BLOCK_BYTES = 1 << 20  # compressed, less than half a region of a small JVM heap
+HALF = SPAN // 2
+BLOCK_BYTES = 8 << 20  # no more than an Arrow batch has
 CHUNK_BYTES = 1 << 18  # of a block, hashed at once
-TARGET_BYTES = 8 << 20  # of texts whose anchors meet in one task
+TARGET_BYTES = 16 << 20  # of texts whose windows meet in one task
 READ_BYTES = 64 << 20  # of texts that one task joins with what was found of them
 PART = 20_000  # contexts sorted at once
-ROUNDS = 16  # parts in which a target's K-grams are counted
+ROWS = 64  # exchanged at once
 HOT = 2_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -145,7 +150,7 @@ def suffix_sort(text: Prefixes, start: np.ndarray, end: np.ndarray, group: np.nd
 
 
 def anchors(data: np.ndarray, borders: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of a run of documents: document, key, span hash, anchor, first and last string start."""
+    """Windows of a run of documents: document, key, span hash, anchor, first and last string start."""
     n = len(data)
     docs = np.flatnonzero(np.diff(borders) >= LENGTH)
     none = {f: np.zeros(0, t) for f, t in (("row", np.int64), ("key", np.uint64), ("span", np.uint64), ("at", np.int64), ("p1", np.int64), ("p2", np.int64))}
@@ -169,10 +174,16 @@ def anchors(data: np.ndarray, borders: np.ndarray) -> dict[str, np.ndarray]:
     if not len(p):
         return none
     at = (m[p] & _U(0xFFFFFFFF)).astype(np.int64)
-    first = X.runs(at, np.searchsorted(borders, p, side="right"))
+    row = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    first = X.runs(at, row[p])
     p1, p2, at = p[first], p[np.append(first[1:], len(p)) - 1], at[first]
+    before, after = np.flatnonzero(at - p1 >= HALF), np.flatnonzero(at - p2 < HALF)
+    lead, tail = at[before], at[after]
+    p1, p2 = np.concatenate([p1[before], np.maximum(p1[after], tail - HALF + 1)]), np.concatenate([np.minimum(p2[before], lead - HALF), p2[after]])
+    key = np.concatenate([W.mix(text.hash(lead - HALF, lead + K) + W.STEPS[3]), W.mix(text.hash(tail, tail + LENGTH - HALF + 1) + W.STEPS[4])])
+    at = np.concatenate([lead, tail])
     span = W.mix(text.hash(p1, p2 + LENGTH) + W.STEPS[1] * (at - p1).astype(np.uint64) + W.STEPS[2] * (p2 - p1).astype(np.uint64))
-    return {"row": np.searchsorted(borders, p1, side="right") - 1, "key": gram[at], "span": span, "at": at, "p1": p1, "p2": p2}
+    return {"row": row[p1], "key": key, "span": span, "at": at, "p1": p1, "p2": p2}
 
 
 def _pieces(borders: np.ndarray):
@@ -195,7 +206,7 @@ def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block of documents, unpacked, with its anchors."""
+    """A block of documents, unpacked, with its windows."""
 
     def __init__(self, ids: bytes, lengths: bytes, text: bytes):
         self.ids = np.frombuffer(ids, "<i8")
@@ -210,11 +221,14 @@ class Block:
             parts.append(made)
         self.entry = {f: np.concatenate([p[f] for p in parts]) for f in parts[0]}
         self.doc = self.ids[self.entry["row"]]
-        self.order = np.lexsort((self.entry["p1"], self.doc, self.entry["span"], self.entry["key"]))
+        self.order = np.argsort(self.entry["key"])
         key = self.entry["key"][self.order]
         at = X.runs(key)
         size = np.diff(at, append=len(key))
-        self.group = np.empty(len(key), np.int64)  # of each entry: its K-gram's number
+        many = np.flatnonzero(np.repeat(size > 1, size))  # only these have an order by what follows the key
+        own = self.order[many]
+        self.order[many] = own[np.lexsort((self.entry["p1"][own], self.doc[own], self.entry["span"][own], self.entry["key"][own]))]
+        self.group = np.empty(len(key), np.int64)  # of each entry: its window's number
         self.group[self.order] = np.repeat(np.arange(len(at)), size)
         doc = self.doc[self.order]
         new = np.ones(len(key), np.int64)
@@ -222,8 +236,8 @@ class Block:
         some = len(at) > 0
         low, high = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if some else (doc, doc)
         new[at] = 1
-        #: of each K-gram: hash, least document, how many contexts (at most 127), and 128 if more than one document has it
-        self.grams = key[at], low, (np.minimum(np.add.reduceat(new, at) if some else new, 127) | np.where(high > low, 128, 0)).astype(np.uint8)
+        #: of each window: hash, how many contexts (at most 127), and 128 if more than one document has it
+        self.grams = key[at], (np.minimum(np.add.reduceat(new, at) if some else new, 127) | np.where(high > low, 128, 0)).astype(np.uint8)
 
     def stand(self) -> None:
         """For each entry the first one of its block with the same bytes (``stands``); those of later documents are ``covered``."""
@@ -308,14 +322,15 @@ class Block:
             yield _batch(rows, *names)
 
 
-def _first_round(key: np.ndarray, doc: np.ndarray, about: np.ndarray, hot: int) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+def _first_round(key: np.ndarray, about: np.ndarray, hot: int) -> np.ndarray:
+    """Verdicts on the windows of all blocks; those of two blocks count as those of two documents, which the second round tells exactly."""
+    order = np.argsort(key)
     at = X.runs(key[order])
-    d, a = doc[order], about[order]
-    many = (np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at)) | (np.maximum.reduceat(a, at) >= 128)
+    a, size = about[order], np.diff(at, append=len(key))
+    many = (size > 1) | (np.maximum.reduceat(a, at) >= 128)
     contexts = np.add.reduceat((a & 127).astype(np.int64), at)
     out = np.empty(len(key), np.uint8)
-    out[order] = np.repeat(np.where(many, np.where(contexts > hot, 3, 2), 0), np.diff(at, append=len(key)))
+    out[order] = np.repeat(np.where(many, np.where(contexts > hot, 3, 2), 0), size)
     return out
 
 
@@ -372,7 +387,7 @@ def covered_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, ancho
     later = doc[order] > doc[lead]
     strings = (size[order] - LENGTH + 1).astype(np.uint64)
     mask[order[later]] = ((_U(1) << strings[later]) - _U(1)).astype(np.uint32)
-    # among different contexts of a K-gram, string by string
+    # among different contexts of a window, string by string
     shared = shared[head[1:] - 1]
     c, e, s, k, d, names = c[head], e[head], s[head], key[order][head], doc[order][head], order[head]
     near = np.concatenate([[False], k[1:] == k[:-1]]) | np.concatenate([k[1:] == k[:-1], [False]])
@@ -445,6 +460,19 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
+def _batched(rows, names: list[str], kinds: list):
+    """The rows in batches of at most ``ROWS``, or fewer of some megabytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) == ROWS or size > 4 << 20:
+            yield _batch(held, names, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names, kinds)
+
+
 _SENT_KINDS = ["target", "block", "kind", "a", "b", "c", "d"], [pa.int32(), pa.int64(), pa.int32(), *(pa.binary(),) * 4]
 _REPLY_KINDS = ["block", "round", "target", "reply"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -468,49 +496,49 @@ def blocks(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), kept being the remaining bytes; a row per document.
 
-    ``hot`` is the number of contexts above which a K-gram is split by string; the result doesn't depend on it.
+    ``hot`` is the number of contexts above which a window is split by string; the result doesn't depend on it.
     """
     small_batches(df.sparkSession)
     packed = blocks(df, id, text)
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = X.targets(df.sparkSession)
-    n = max(3 * tasks, total // TARGET_BYTES)  # the exchanges are of short entries, and a task holds all of its own
+    n = max(tasks, total // TARGET_BYTES)
     readers = max(tasks, total // READ_BYTES)
 
-    def send(batches):
+    def windows(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 b = Block(r["ids"], r["lengths"], r["text"])
-                key, doc, about = b.grams
+                key, about = b.grams
                 for t, own in b.by_target(key, np.arange(len(key)), n):
-                    yield _batch([(t, r["block"], 1, _pack(key[own], 5), zstandard.compress(about[own].tobytes(), 1), _pack(doc[own]), None)], *_SENT_KINDS)
+                    yield t, r["block"], 1, _pack(key[own], 4), zstandard.compress(about[own].tobytes(), 1), None, None
+
+    def send(batches):
+        yield from _batched(windows(batches), *_SENT_KINDS)
 
     def decide(batches):
-        names, sizes = [], []
-        parts = [], [], []
+        names, keys, abouts = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                names.append((r["block"], r["target"]))
-                parts[0].append(_unpack(r["a"], 5) ^ _U(r["target"] << 40))
-                parts[1].append(_unpack(r["c"]))
-                parts[2].append(np.frombuffer(zstandard.decompress(r["b"]), np.uint8))
-                sizes.append(len(parts[0][-1]))
+                names.append((r["block"], r["target"], len(r["a"]) // 4))
+                keys.append(r["a"])
+                abouts.append(zstandard.decompress(r["b"]))
         if not names:
             return
-        fields = []
-        for own in parts:
-            fields.append(np.concatenate(own))
-            own.clear()
-        key, doc, about = fields
+        key, about = np.frombuffer(b"".join(keys), "<u4"), np.frombuffer(b"".join(abouts), np.uint8)
         code = np.empty(len(key), np.uint8)
-        for k in range(ROUNDS):  # equal keys stay together, and the sorts are small
-            own = np.flatnonzero(key % _U(ROUNDS) == k)
-            if len(own):
-                code[own] = _first_round(key[own], doc[own], about[own], hot)
-        at = 0
-        for (block, t), size in zip(names, sizes):
-            yield _batch([(block, 1, t, zstandard.compress(code[at : at + size].tobytes(), 3))], *_REPLY_KINDS)
-            at += size
+        target = np.repeat([t for _, t, _ in names], [size for *_, size in names])
+        for t in np.unique(target):
+            own = np.flatnonzero(target == t)
+            code[own] = _first_round(key[own], about[own], hot)
+
+        def replies():
+            at = 0
+            for block, t, size in names:
+                yield block, 1, t, zstandard.compress(code[at : at + size].tobytes(), 3)
+                at += size
+
+        yield from _batched(replies(), *_REPLY_KINDS)
 
     first = written(X.exchanged(packed.mapInArrow(releasing(send), _SENT), n).mapInArrow(releasing(decide), _REPLY), "first")
 
@@ -526,7 +554,7 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
         apart = b.strings(np.flatnonzero((code == 3) & ~b.covered))
         return code, own, apart
 
-    def send_asked(batches):
+    def contexts(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 b = Block(r["ids"], r["lengths"], r["text"])
@@ -535,11 +563,14 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
                 for t, own in b.by_target(e["key"], own, n):
                     raw, size = b.contexts(own)
                     about = np.stack([size, e["at"][own] - e["p1"][own]]).astype(np.uint8)
-                    yield _batch([(t, r["block"], 2, _pack(e["key"][own], 5), about.tobytes(), _pack(b.doc[own]), zstandard.compress(raw, 3))], *_SENT_KINDS)
+                    yield t, r["block"], 2, _pack(e["key"][own], 5), about.tobytes(), _pack(b.doc[own]), zstandard.compress(raw, 1)
                 for t, own in b.by_target(h, np.unique(lead), n):
                     about = np.stack([np.full(len(own), LENGTH), e["at"][of[own]] - start[own]]).astype(np.uint8)
                     raw = b.data[_flat(start[own], np.full(len(own), LENGTH))].tobytes()
-                    yield _batch([(t, r["block"], 3, _pack(h[own], 5), about.tobytes(), _pack(b.doc[of[own]]), zstandard.compress(raw, 3))], *_SENT_KINDS)
+                    yield t, r["block"], 3, _pack(h[own], 5), about.tobytes(), _pack(b.doc[of[own]]), zstandard.compress(raw, 1)
+
+    def send_asked(batches):
+        yield from _batched(contexts(batches), *_SENT_KINDS)
 
     def decide_asked(batches):
         names, parts = [], []
@@ -555,10 +586,15 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", hot:
         fields = [np.concatenate([p[k] for p in parts]) for k in range(5)]
         parts.clear()
         key, size, anchor, doc, data = fields
-        mask, at = covered_in_parts(data, size, anchor, key, doc), 0
-        for (block, t, kind), count in zip(names, sizes):
-            yield _batch([(block, kind, t, zstandard.compress(mask[at : at + count].tobytes(), 3))], *_REPLY_KINDS)
-            at += count
+        mask = covered_in_parts(data, size, anchor, key, doc)
+
+        def replies():
+            at = 0
+            for (block, t, kind), count in zip(names, sizes):
+                yield block, kind, t, zstandard.compress(mask[at : at + count].tobytes(), 3)
+                at += count
+
+        yield from _batched(replies(), *_REPLY_KINDS)
 
     second = X.exchanged(joined(first).mapInArrow(releasing(send_asked), _SENT), n).mapInArrow(releasing(decide_asked), _REPLY)
 

@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from quillon.llm import exchange, jaccard, lines, media, quality, suffixes, words
 
@@ -158,6 +159,26 @@ def test_a_long_text_in_pieces_and_a_hot_passage(spark, monkeypatch):
         assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got} == want
 
 
+def test_prose_whose_short_grams_all_repeat_is_hardly_sent(spark, monkeypatch):
+    """In a large corpus nearly every 20-gram is in other documents too; what is exchanged must not follow it, nor grow as blocks times tasks."""
+    made, write = {}, suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(60)]
+    rows = [(k, " ".join(r.choice(vocabulary) for _ in range(1000))) for k in range(400)]
+    rows += [(1000 + k, f"{k} {rows[k][1][200:260]} {k}") for k in range(40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = suffixes.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got} == brute_bytes(rows)
+    replies = [zstandard.decompress(x["reply"]) for x in made["first"].collect()]
+    assert len(replies) <= 16
+    assert sum(c > 0 for x in replies for c in x) < 0.1 * sum(map(len, replies))
+
+
 def test_the_order_of_suffixes_survives_bad_hashes(monkeypatch):
     r = np.random.default_rng(3)
     data = r.choice(np.frombuffer(b"ab", np.uint8), 400)
