@@ -6,8 +6,8 @@ anchors (about one in 16 bytes) are exchanged, not positions.
 
 1. The strings of an anchor are those that reach HALF bytes or more before it, and the
    rest; all of the former hold the HALF + K bytes around it, all of the latter the
-   LENGTH - HALF + 1 bytes from it on.  These are the windows.  In a large corpus nearly
-   every K-gram of prose is somewhere else too, but few windows are.  Of each window a
+   LENGTH - HALF + 1 bytes from it on.  These are the windows.  Chance
+   repeats of windows in prose are much rarer than those of K-grams.  Of each window a
    short hash is sent, once a block of documents.  A window of one document only stays.
 2. Of every other window the context is sent: the bytes of all its strings.  The
    contexts' suffixes from the anchor on are sorted by mergesort; a

@@ -160,7 +160,7 @@ def test_a_long_text_in_pieces_and_a_hot_passage(spark, monkeypatch):
 
 
 def test_prose_whose_short_grams_all_repeat_is_hardly_sent(spark, monkeypatch):
-    """In a large corpus nearly every 20-gram is in other documents too; what is exchanged must not follow it, nor grow as blocks times tasks."""
+    """Of these words nearly every 20-gram is in other documents too; what is exchanged must not follow it, nor grow as blocks times tasks."""
     made, write = {}, suffixes.written
     monkeypatch.setattr(suffixes, "written", lambda df, name: made.setdefault(name, write(df, name)))
     r = random.Random(8)
