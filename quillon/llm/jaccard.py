@@ -13,14 +13,20 @@ it is verified.  A class with more than T empty blocks sends its least element
 hashes instead (as many as a similar set can't all lack), so no link is lost.
 A pair is looked for in the band of its smaller set only.
 
+Most texts are like no other, and their blocks needn't travel.  A first pass sends the
+least elements of each set, without its class: two similar sets have some of them in
+common (``_least``).  A class with fewer that another class or batch has too is done;
+one text of each other class goes on to the blocks.
+
 Near copies agree in nearly all blocks, so their pairs would come up again and again.
 Each class therefore has ``LABELS`` labels (a least element hash under a permutation),
 which are sent as keys too and travel with its blocks: a pair of one label is made
-where that label's classes meet, and nowhere else.  Sets of up to ``SMALL`` elements
+where that label's classes meet, and nowhere else.  Sets carry their size on a scale,
+and pairs of sizes too far apart end where they meet.  Sets of up to ``SMALL`` elements
 also carry their size and a parity sketch of 64 bits, so short texts that share a
 footer end as a refused pair in the task where they meet.  A bucket of more than
 ``BUCKET`` classes is cut into tiles of other tasks, which compare the parity sketches
-of 1024 bits and write the pairs that pass.  What is left of the candidates is compared
+of 1024 bits or twice the set's size and write the pairs that pass (a sketch folds to a smaller one).  What is left of the candidates is compared
 by these sketches before whole sets follow.
 
 Pairs that pass are verified on whole sets in tiles: neighbours are tiled by
@@ -36,6 +42,7 @@ another; rows of one id with different texts are documents of their own.
 
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 from math import ceil, floor
 
@@ -56,7 +63,9 @@ CHUNK = 2_048  # classes on a side of a tile of a large bucket
 SMALL = 100
 LABELS = 2
 KEY_BYTES = 4  # of a key, beside its target: a target holds about a million, so one key in some thousands meets another by chance
-SKETCH_BITS = 1024
+SKETCH_BITS = 1024  # at least; twice the set's size where that is more
+TARGET_ELEMENTS = 1 << 21  # of the sets, about twice as many as their keys, whose blocks a task settles
+SCALE = 1.04  # a step of the scale of sizes
 ROWS = 2_000  # documents whose blocks are sent together
 BLOOM_BITS = 1 << 23, 1 << 27  # least and most, by the number of classes
 _U = np.uint64
@@ -64,8 +73,8 @@ _NEED = 15  # the low bits of a class id hold how many common blocks it needs
 _FOUND = ["kind", "a", "b", "n", "members"]
 _FIELDS = {"key": "<u8", "cls": "<u8"}
 OWN, PROBE, LABEL = 0, 1, 2  # what a key is: a block of the set's band or a least hash, a block of a smaller band, the first label (then the next)
-#: what a target gets of a class: id, labels, size (0: not small) and small sketch
-_CLASS = np.dtype([("cls", "<u8"), ("label", "<u4", LABELS), ("size", "u1"), ("small", "<u8")])
+#: what a target gets of a class: id, labels, size (0: not small), size on the scale (0: unknown) and small sketch
+_CLASS = np.dtype([("cls", "<u8"), ("label", "<u4", LABELS), ("size", "u1"), ("step", "u1"), ("small", "<u8")])
 
 
 def shingles(texts: pa.Array, n: int = 5) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -190,6 +199,26 @@ def _labels(element: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([(W.mix(np.minimum.reduceat(W.mix(element ^ W.STEPS[k]), starts)) >> _U(32)).astype(np.uint32) for k in range(LABELS)], 1)
 
 
+def _shared(sizes: np.ndarray, t: Fraction) -> np.ndarray:
+    """How many of its least elements the first pass asks of a set of these sizes and a similar one as large or larger; it grows with the size."""
+    return np.minimum(1 + sizes // 10, -(-sizes * t.numerator // t.denominator))
+
+
+def _least(sizes: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(how many least elements sets send in the first pass, how many of them a similar set sends too).
+
+    Similar sets have ceil(n t) elements in common at least, so the first k of these
+    are among the n - ceil(n t) + k least of either.  The other may have only n t elements.
+    """
+    common = -(-sizes * t.numerator // t.denominator)
+    return sizes - common + _shared(sizes, t), _shared(common, t)
+
+
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """Sizes on the scale, from 1; the largest share its end."""
+    return np.where(sizes > 0, np.minimum(1 + np.floor(np.log(np.maximum(sizes, 1)) / np.log(SCALE)), 255), 0).astype(np.uint8)
+
+
 def _small_parity(row: np.ndarray, element: np.ndarray, n_rows: int) -> np.ndarray:
     """Parity sketches of 64 bits."""
     out = np.zeros(n_rows, np.uint64)
@@ -227,6 +256,8 @@ def _wanted(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray, t: Fra
     good &= (fx != PROBE) | (fy != PROBE)
     for k in range(LABELS):  # a pair of one label is made at that label
         good &= (x["label"][:, k] != y["label"][:, k]) | (fx >= LABEL) & (fx <= LABEL + k)
+    a, b = x["step"].astype(np.int64), y["step"].astype(np.int64)
+    good &= (a == 0) | (b == 0) | (np.abs(a - b) < 2 + np.log(float(1 / t)) / np.log(SCALE))
     a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
     apart = np.bitwise_count(x["small"] ^ y["small"]).astype(np.int64)
     good &= (a == 0) | (b == 0) | ((t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (a + b)) & (t.denominator * np.minimum(a, b) >= t.numerator * np.maximum(a, b))
@@ -337,18 +368,140 @@ def _expanded(key: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     records["cls"] = take("<u8", classes)
     records["label"] = take("<u4", classes * LABELS).reshape(-1, LABELS)
     records["size"] = take("u1", classes)
+    records["step"] = take("u1", classes)
     small = np.flatnonzero(records["size"])
     records["small"][small] = take("<u8", len(small))
     return low.view("<u8").ravel(), np.repeat(of, times), np.repeat(kind, times), records
 
 
-def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands, targets: int) -> DataFrame:
-    """Blobs of keys (kind 0), rows of documents (kind 1: key holds the sets' sizes) and sketches (kind 2) by target."""
+def _first_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands, targets: int) -> DataFrame:
+    """Blobs of least elements (kind 0: cls holds the batch, then its classes by number and how many keys each has there), documents (kind 1: key holds the sets' sizes) and a batch's classes (kind 2)."""
 
     def spread(batches):
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = X.ids(batch.column(0))
-            records, sizes = np.zeros(len(ids), _CLASS), np.zeros(len(ids), np.int64)
+            cls, sizes = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.int64)
+            keys, owners = [], []
+            for first, row, element in shingles(batch.column(1), n):
+                rows = int(row[-1]) + 1 if len(row) else 0
+                size = np.bincount(row, minlength=rows)
+                cls[first : first + rows], sizes[first : first + rows] = sketches(row, element, rows, bands)[0], size
+                sent = np.arange(len(row)) - (np.cumsum(size) - size)[row] < _least(size, bands.t)[0][row]  # elements are sorted
+                keys.append(W.mix(element[sent] + W.STEPS[6]))
+                owners.append(row[sent] + first)
+            home = (int(ids[0]) * 0x9E3779B97F4A7C15 >> 33) % targets if len(ids) else 0
+            out = [(home, 1, sizes.astype("<i8").tobytes(), np.stack([cls.view(np.int64), ids]).tobytes())]
+            known, head, of = np.unique(cls, return_index=True, return_inverse=True)
+            if keys:
+                key, owner = np.concatenate(keys), np.concatenate(owners)
+                once = head[of[owner]] == owner
+                key, owner = key[once], of[owner[once]]
+                order = np.argsort(key)  # what several classes of the batch have is counted here, and sent once in no class's name
+                at = X.runs(key[order])
+                size = np.diff(at, append=len(order))
+                within = np.bincount(owner[order[np.repeat(size > 1, size)]], minlength=len(known))
+                owner[order[at[size > 1]]] = ROWS
+                key, owner = key[order[at]], owner[order[at]]
+                target = X.target_of(key, targets)
+                order = np.lexsort((owner, target))
+                key, owner, target = key[order], owner[order], target[order]
+                name = hashlib.blake2b(known.tobytes(), digest_size=8).digest()
+                at = X.runs(target)
+                for to, start, end in zip(target[at].tolist(), at.tolist(), np.append(at[1:], len(target)).tolist()):
+                    run = X.runs(owner[start:end])
+                    low = np.ascontiguousarray(key[start:end]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                    raw = owner[start:end][run].astype("<u2").tobytes() + np.diff(run, append=end - start).astype("<u4").tobytes()
+                    out.append((to, 0, low.tobytes(), name + zstandard.compress(raw, 1)))
+                out.append((home, 2, name, np.concatenate([known.view(np.int64), sizes[head], within]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["target", "kind", "key", "cls"])
+
+    return df.select(F.col(id).cast("long"), text).mapInArrow(releasing(spread), X.schema(_FIELDS))
+
+
+def _first_settled(batches):
+    """Rows of documents (kind 0), of batches' classes (kind 2) and of how many of a batch's keys of each class are elsewhere too (kind 1)."""
+    keys, owners, names = [], [], []
+    for batch in batches:
+        for target, kind, key, cls in zip(*(batch.column(c).to_pylist() for c in ("target", "kind", "key", "cls"))):
+            if kind == 0:
+                raw = zstandard.decompress(cls[8:])
+                many = len(raw) // 6
+                who, times = np.frombuffer(raw, "<u2", many), np.frombuffer(raw, "<u4", many, 2 * many)
+                low = np.zeros((len(key) // KEY_BYTES, 8), np.uint8)
+                low[:, :KEY_BYTES] = np.frombuffer(key, np.uint8).reshape(-1, KEY_BYTES)
+                keys.append(low.view("<u8").ravel() ^ _U(target << 40))
+                owners.append(np.repeat(who.astype(np.int32) + len(names) * (ROWS + 1), times))
+                names.append(int.from_bytes(cls[:8], "little", signed=True))
+            elif kind == 1:
+                size = np.frombuffer(key, "<i8")
+                c, ids = np.frombuffer(cls, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(c), X.id_array(ids), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.binary())], _FOUND)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([int.from_bytes(key, "little", signed=True)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([cls], pa.binary())], _FOUND)
+    if not keys:
+        return
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    keys.clear()
+    owners.clear()
+    order = np.argsort(key)
+    at = X.runs(key[order])
+    size = np.diff(at, append=len(order))
+    who, times = np.unique(owner[order[np.repeat(size > 1, size)]], return_counts=True)
+    some = who % (ROWS + 1) < ROWS
+    who, times = who[some], times[some]
+    of = who // (ROWS + 1)
+    at = X.runs(of)
+    for k, start, end in zip(of[at].tolist(), at.tolist(), np.append(at[1:], len(of)).tolist()):
+        raw = (who[start:end] % (ROWS + 1)).astype("<u2").tobytes() + times[start:end].astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([names[k]]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([raw], pa.binary())], _FOUND)
+
+
+def _with_company(found: DataFrame, targets: int, t: Fraction) -> DataFrame:
+    """(cls, n) of the classes with as many keys that are elsewhere too as a similar set would have."""
+
+    def counted(batches):
+        for _, own in _by_tile(batches):
+            known = next((raw for _, kind, raw in own if kind == 2))
+            cls, size, n = np.frombuffer(known, "<i8").reshape(3, -1).copy()
+            for _, kind, raw in own:
+                if kind == 1:
+                    many = len(raw) // 6
+                    n[np.frombuffer(raw, "<u2", many)] += np.frombuffer(raw, "<u4", many, 2 * many)
+            good = (size > 0) & (n >= _least(size, t)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[good]), pa.array(size[good])], ["cls", "n"])
+
+    rows = found.where("kind > 0").select("a", "kind", "members").repartition(targets, "a").sortWithinPartitions("a")
+    return rows.mapInArrow(releasing(counted), "cls long, n long").dropDuplicates(["cls"])
+
+
+def _likely(batch: pa.RecordBatch, bloom: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id, in the first column, is in the filter."""
+    hit = np.ones(batch.num_rows, bool)
+    for h in _bloom_places(X.ids(batch.column(0)), 8 * len(bloom)):
+        hit &= (bloom[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+    return batch.filter(pa.array(hit))
+
+
+def _gathered(batches):
+    """Batches of ROWS rows, or a few more, that hold copies."""
+    own, many = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            own.append(batch)
+            many += batch.num_rows
+        if many >= ROWS:
+            yield pa.concat_batches(own)
+            own, many = [], 0
+    if own:
+        yield pa.concat_batches(own)
+
+
+def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands, targets: int, bloom: np.ndarray) -> DataFrame:
+    """Blobs of keys (kind 0) and sketches (kind 2) by target, of the documents whose id is in the filter."""
+
+    def spread(batches):
+        for batch in (b.slice(k, ROWS) for b in _gathered(_likely(b, bloom) for b in batches) for k in range(0, b.num_rows, ROWS)):
+            records = np.zeros(batch.num_rows, _CLASS)
             keys, owners, kinds = [], [], []
             parities: dict[int, bytes] = {}
             for first, row, element in shingles(batch.column(1), n):
@@ -356,7 +509,7 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands, targets
                 cls, key, owner, kind = _sketched(row, element, rows, bands)
                 size = np.bincount(row, minlength=rows)
                 full, own = np.flatnonzero(size), records[first : first + rows]
-                own["cls"], sizes[first : first + rows] = cls, size
+                own["cls"], own["step"] = cls, _steps(size)
                 small = size <= SMALL
                 own["size"] = np.where(small, size, 0)
                 own["small"] = np.where(small & (size > 0), _small_parity(row, element, rows), 0)
@@ -371,17 +524,17 @@ def _class_rows(df: DataFrame, id: str, text: str, n: int, bands: Bands, targets
                 kinds.append(kind)
                 for r, start, end in _slices(row):
                     if int(cls[r]) not in parities:
-                        parities[int(cls[r])] = _parity(element[start:end])
-            if keys:
-                key, owner, kind = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds)
-                _, head, of = np.unique(records["cls"], return_index=True, return_inverse=True)
-                once = head[of[owner]] == owner  # copies within the batch send their blocks once
-                yield from _compact(key[once], owner[once], kind[once], records, targets)
-            home = (int(ids[0]) * 0x9E3779B97F4A7C15 >> 33) % targets if len(ids) else 0
-            rows = [(home, 1, sizes.astype("<i8").tobytes(), np.stack([records["cls"].view(np.int64), ids]).tobytes())]
-            if parities:
-                rows.append((home, 2, np.array(list(parities), np.uint64).tobytes(), b"".join(parities.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["target", "kind", "key", "cls"])
+                        parities[int(cls[r])] = _parity(element[start:end], _width(end - start))
+            if not keys:
+                continue
+            key, owner, kind = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds)
+            _, head, of = np.unique(records["cls"], return_index=True, return_inverse=True)
+            once = head[of[owner]] == owner  # copies within the batch send their blocks once
+            yield from _compact(key[once], owner[once], kind[once], records, targets)
+            home = int(records["cls"][0] >> _U(33)) % targets
+            for width in {len(p) for p in parities.values()}:
+                own = {c: p for c, p in parities.items() if len(p) == width}
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([2], pa.int32()), pa.array([np.array(list(own), np.uint64).tobytes()], pa.binary()), pa.array([b"".join(own.values())], pa.binary())], ["target", "kind", "key", "cls"])
 
     return df.select(F.col(id).cast("long"), text).mapInArrow(releasing(spread), X.schema(_FIELDS))
 
@@ -393,7 +546,16 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     targets = X.targets(spark, df)
     bands = Bands(t)
 
-    # documents and candidate counts come out of one pass, told apart by kind
+    # documents and what is known of their classes' keys come out of one pass, told apart by kind
+    first = X.exchanged(_first_rows(df, id, text, n, bands, targets), targets).mapInArrow(releasing(_first_settled), "kind int, a long, b long, n int, members binary")
+    first = written(first, "first")
+    documents = first.where("kind = 0").select(F.col("b").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("cls"))
+    classes = written(documents.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
+    going = written(_with_company(first, targets, t).join(classes, "cls").select(F.coalesce("rep", F.lit(X.NULL_ID)).alias("rep"), "n"), "going")
+    going_bloom = _bloom(going.select("rep"))
+    few = min(targets, max(spark.sparkContext.defaultParallelism, (going.agg(F.sum("n")).first()[0] or 0) // TARGET_ELEMENTS))
+
+    # sketches and candidate counts come out of one pass, too
     def settle(batches):
         keys, owners, kinds, tables, known = [], [], [], [], 0
         for batch in batches:
@@ -405,15 +567,11 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
                     kinds.append(what)
                     tables.append(records)
                     known += len(records)
-                elif kind == 2:
+                else:
                     c = np.frombuffer(key, "<i8")
                     width = len(cls) // max(1, len(c))
                     own = [cls[k * width : (k + 1) * width] for k in range(len(c))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), 3, np.int32)), pa.array(c), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int32()), pa.array(own, pa.binary())], _FOUND)
-                else:
-                    size = np.frombuffer(key, "<i8")
-                    c, ids = np.frombuffer(cls, "<i8").reshape(2, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(c), X.id_array(ids), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.binary())], _FOUND)
         if not keys:
             return
         key, own, kind, table = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds), np.concatenate(tables)
@@ -433,12 +591,9 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
                 some = entries[k * CHUNK : (k + 1) * CHUNK]
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([name]), pa.array([parts]), pa.array([k], pa.int32()), pa.array([_tail(table[own[some]], kind[some])], pa.binary())], _FOUND)
 
-    found = X.exchanged(_class_rows(df, id, text, n, bands, targets), targets).mapInArrow(releasing(settle), "kind int, a long, b long, n int, members binary")
+    found = X.exchanged(_class_rows(df, id, text, n, bands, few, going_bloom), few).mapInArrow(releasing(settle), "kind int, a long, b long, n int, members binary")
     found = written(found, "blocks")
 
-    documents = found.where("kind = 0").select(F.col("b").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("a")).alias("cls"))
-    classes = documents.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-
     sketch = found.where("kind = 3").select(F.col("a").alias("cls"), F.col("members").alias("s")).dropDuplicates(["cls"])
     needed = F.greatest(F.col("a").bitwiseAND(_NEED), F.col("b").bitwiseAND(_NEED))
     counted = found.where("kind = 1").select("a", "b", "n")
@@ -447,7 +602,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
     # a wide sketch of each set goes first: most pairs that are not similar end there, and whole sets needn't follow
     @F.arrow_udf("boolean")
     def may_be_similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(_near(*(np.frombuffer(b"".join(v.to_pylist()), "<u8").reshape(len(v), -1) for v in (x, y)), t))
+        return pa.array(_alike(x.to_pylist(), y.to_pylist(), t))
 
     met = pairs.join(sketch.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sketch.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     close = met.where(may_be_similar("sa", "sb")).select("a", "b")
@@ -464,10 +619,7 @@ def join(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: F
 
     def likely(batches):
         for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for h in _bloom_places(X.ids(batch.column(0)), 8 * len(bloom)):
-                hit &= (bloom[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit))
+            yield _likely(batch, bloom)
 
     texts = df.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
     texts = texts.mapInArrow(releasing(likely), "rep long, text string").join(chosen.where("rep is not null").hint("shuffle_hash"), "rep")
@@ -497,6 +649,30 @@ def _parity(elements: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     return np.uint64(len(elements)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _width(size: int) -> int:
+    """Bits of the sketch of a set: sketches of fewer bits than elements that differ tell nothing."""
+    return max(SKETCH_BITS, 1 << (2 * size - 1).bit_length())
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches as they would be with fewer bits."""
+    while sketch.shape[-1] > words + 1:
+        half = sketch.shape[-1] // 2
+        sketch = np.concatenate([sketch[..., :1], sketch[..., 1 : half + 1] ^ sketch[..., half + 1 :]], -1)
+    return sketch
+
+
+def _alike(one: list[bytes], other: list[bytes], t: Fraction) -> np.ndarray:
+    """Whether the sketches of each pair, of any widths, may be of similar sets."""
+    width = np.array([[len(x), len(y)] for x, y in zip(one, other)], np.int64).reshape(-1, 2)
+    good = np.zeros(len(one), bool)
+    for a, b in np.unique(width, axis=0).tolist():
+        at = np.flatnonzero((width == (a, b)).all(1))
+        words = min(a, b) // 8 - 1
+        good[at] = _near(*(_folded(np.frombuffer(b"".join(v[k] for k in at.tolist()), "<u8").reshape(len(at), -1), words) for v in (one, other)), t)
+    return good
+
+
 def _tiles(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tile, a, b) of every pair, written, and (tile, cls) of every class that a tile needs.
 
@@ -547,7 +723,8 @@ def _by_tile(batches):
 def _near(x: np.ndarray, y: np.ndarray, t: Fraction) -> np.ndarray:
     """Whether sketches (size, then parities) may be of similar sets; rows against rows."""
     apart = np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(-1, dtype=np.int64)
-    return (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (x[..., 0] + y[..., 0]).astype(np.int64)
+    a, b = x[..., 0].astype(np.int64), y[..., 0].astype(np.int64)
+    return ((t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (a + b)) & (t.denominator * np.minimum(a, b) >= t.numerator * np.maximum(a, b))
 
 
 def _tail(records: np.ndarray, kind: np.ndarray) -> bytes:
@@ -575,7 +752,8 @@ def _tiled(large: DataFrame, sketch: DataFrame, targets: int, t: Fraction) -> Da
         for _, own in _by_tile(batches):
             side = np.array([k for _, k, _, _ in own])
             record = np.frombuffer(b"".join(r for _, _, r, _ in own), np.dtype([("record", _CLASS), ("kind", "u1")]))
-            wide = np.frombuffer(b"".join(s for *_, s in own), "<u8").reshape(len(own), -1)
+            sketches = [s for *_, s in own]
+            wide = np.stack([_folded(np.frombuffer(s, "<u8"), SKETCH_BITS // 64) for s in sketches])
             one = np.flatnonzero(side == side.min())
             other = np.flatnonzero(side == side.max())
             cls, kind = record["record"]["cls"], record["kind"]
@@ -584,6 +762,7 @@ def _tiled(large: DataFrame, sketch: DataFrame, targets: int, t: Fraction) -> Da
                 j = j[_near(wide[i], wide[j], t)]
                 same = np.full(len(j), i)
                 j = j[_wanted(record["record"][same], record["record"][j], kind[same], kind[j], t)]
+                j = j[_alike([sketches[i]] * len(j), [sketches[k] for k in j.tolist()], t)]
                 if len(j):
                     a, b = cls[i : i + 1].repeat(len(j)), cls[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
@@ -630,8 +809,7 @@ def _slices(row: np.ndarray):
 def similar(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, n_shingles, n_similar, component_id), a row per document."""
     made = join(df, id, text, n, t)
-    documents, classes, links = written(made["documents"], "documents"), made["classes"], made["links"]
-    classes = written(classes, "classes")
+    documents, classes, links = made["documents"], made["classes"], made["links"]
     other = classes.select(F.col("cls").alias("b"), "copies")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(other, "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("linked"))

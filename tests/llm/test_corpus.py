@@ -135,6 +135,72 @@ def test_parity_is_a_lower_bound():
         assert int(np.bitwise_count(x ^ y).sum()) <= len(a) - len(b)
 
 
+def test_a_narrower_sketch_is_a_folded_one():
+    r = np.random.default_rng(4)
+    a, b = (np.unique(r.integers(1, 1 << 63, n, dtype=np.uint64)) for n in (3000, 700))
+    wide, narrow = (np.frombuffer(jaccard._parity(a, bits), "<u8") for bits in (8192, 2048))
+    assert jaccard._width(3000) == 8192 and jaccard._width(700) == 2048 and jaccard._width(1) == jaccard._width(512) == 1024
+    assert jaccard._folded(wide, 32).tolist() == narrow.tolist()
+    one, other = jaccard._parity(a, 8192), jaccard._parity(b, 2048)
+    more = np.append(a[30:], r.integers(1, 1 << 63, 1500, dtype=np.uint64))
+    near, far = jaccard._parity(a[30:], 8192), jaccard._parity(more, jaccard._width(len(more)))
+    assert jaccard._alike([one, one, other, one, far], [other, near, one, far, near], jaccard.Fraction(4, 5)).tolist() == [False, True, False, False, False]
+
+
+@pytest.mark.parametrize("t", [jaccard.Fraction(4, 5), jaccard.Fraction(7, 10), jaccard.Fraction(1, 20), jaccard.Fraction(1)])
+def test_the_first_pass_loses_no_similar_pair(t):
+    """Sets as unlike as may be send as many equal least elements as each is asked for, where the elements that differ are the least of all or any."""
+    r = np.random.default_rng(5)
+    for a in [*range(1, 60), 199, 200, 1000, 4999]:
+        for b in {a, a + (int(a / t) - a) // 2, int(a / t)}:
+            if b > 50_000:
+                continue
+            both = -(-(a + b) * t.numerator // (t.numerator + t.denominator))  # the least that makes them similar
+            for low in (True, False):
+                values = np.sort(r.choice(1 << 40, a + b - both, replace=False)) if low else r.choice(1 << 40, a + b - both, replace=False)
+                x, y = np.sort(np.concatenate([values[: a - both], values[a + b - 2 * both :]])), np.sort(values[a - both :])
+                assert (len(x), len(y)) == (a, b)
+                sent, asked = jaccard._least(np.array([a, b]), t)
+                shared = len(np.intersect1d(x[: sent[0]], y[: sent[1]]))
+                assert (sent <= [a, b]).all() and (asked >= 1).all() and shared >= asked.max(), (a, b, low)
+
+
+def long_texts(seed: int) -> list[tuple]:
+    """Texts of 3 to 3,000 words, each with others that share more or less of it, about the threshold and far below."""
+    r, rows = np.random.default_rng(seed), []
+    for k, size in enumerate([3, 8, 40, 130, 500, 900, 3000]):
+        base = [f"w{k}x{i}" for i in range(size)]
+        for share in (1, 0.95, 0.9, 0.89, 0.88, 0.8, 0.6, 0.3):
+            cut = int(size * share)
+            rows.append((len(rows), " ".join(base[:cut] + [f"o{len(rows)}x{i}" for i in range((size - cut) * int(r.integers(0, 2)))])))
+    return rows + [(1000 + k, " ".join(f"u{k}x{i}" for i in range(60 + k))) for k in range(30)]
+
+
+@pytest.mark.parametrize("bucket", [512, 2])
+def test_only_texts_with_company_send_blocks_and_only_near_ones_send_sets(spark, monkeypatch, bucket):
+    """Class records went to nearly every target, whether any text was like theirs, and sketches of 1,024 bits let every pair of long texts pass."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    tables, plain = {}, jaccard.written
+
+    def kept(df, name):
+        tables[name] = plain(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    rows = long_texts(6)
+    sets = shingle_sets([(d, t) for d, t in rows])
+    similar = {d: sum(len(s & o) * 5 >= 4 * len(s | o) for e, o in sets.items() if e != d) for d, s in sets.items()}
+    got = {r["doc_id"]: r["n_similar"] for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == similar and 0 < sum(similar.values())
+    classes = {r["cls"]: r["rep"] for r in tables["classes"].collect()}
+    sketched = {classes[r["a"]] for r in tables["blocks"].where("kind = 3").collect()}
+    linked = {d for d, s in sets.items() if any(s != o and len(s & o) * 5 >= 4 * len(s | o) for o in sets.values())}
+    assert linked & set(classes.values()) <= sketched and not any(d >= 1000 for d in sketched)
+    close = [(classes[r["a"]], classes[r["b"]]) for r in tables["close"].collect()]
+    shares = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in close if len(sets[a]) > 800]
+    assert len(shares) > 5 and min(shares) > 0.7
+
+
 def test_large_buckets_are_tiled(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     texts = [" ".join(words[:k] + [f"v{k}"] + words[k + 1 :]) for k in range(30)]
