@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..sources.files import spread
+from ..sources.files import small_batches, spread
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -42,20 +42,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of some megabytes, unless the session has smaller ones: texts are long, and each task holds a batch on both sides.
-
-    The setting is the session's and stays, as results are computed when they are asked for.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
-    if digits is None or int(digits[1]) > BATCH_BYTES or int(digits[1]) <= 0:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def release() -> None:
     """Gives freed memory back at the end of a task; Python workers live on between tasks."""
     gc.collect()

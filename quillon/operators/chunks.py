@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,28 +28,35 @@ class Packing:
         return Packing(max(200, self.target_chars), max(300, self.max_chars), min(1.0, max(0.0, self.similarity)), max(1, self.embed_batch), max(0, self.retries))
 
 
-def _bounds(lengths: list[int], vectors: list[list[float]] | None, p: Packing) -> list[int]:
-    """How many sentences each chunk takes: the running chunk takes the next one unless that makes it too long, or it is long enough and unlike."""
+def _bounds(lengths: list[int], vectors: Iterable[list[float]] | None, p: Packing) -> list[int]:
+    """How many sentences each chunk takes: the running chunk takes the next one unless that makes it too long, or it is long enough and unlike.
+
+    Vectors are taken one by one, and of those taken only the running mean is kept.
+    """
     out: list[int] = []
     now, taken, mean = 0, 0, None
-    for k, n in enumerate(lengths):
+    for n, v in zip(lengths, vectors if vectors is not None else repeat(None)):
         if taken:
             apart = now + 1 + n > p.max_chars
-            if not apart and vectors is not None and now >= p.target_chars:
-                apart = V.likeness(mean, vectors[k]) < p.similarity
+            if not apart and v is not None and now >= p.target_chars:
+                apart = V.likeness(mean, v) < p.similarity
             if apart:
                 out.append(taken)
                 taken = 0
         if taken:
             now, taken = now + 1 + n, taken + 1
-            mean = [(x + y) / 2 for x, y in zip(mean, vectors[k])] if vectors is not None else None
+            mean = [(x + y) / 2 for x, y in zip(mean, v)] if v is not None else None
         else:
-            now, taken, mean = n, 1, vectors[k] if vectors is not None else None
+            now, taken, mean = n, 1, v
     return [*out, taken] if taken else out
 
 
-def _fold(parts: str, vectors: str | None, p: Packing) -> Column:
-    """Chunks of an ordered array of sentences.  Only their lengths (and vectors) go to Python, and only the chunks' sizes come back."""
+def _fold(parts: str, stream: Callable[[list[str]], Iterator[list[float]]] | None, p: Packing) -> Column:
+    """Chunks of an ordered array of sentences.  Their lengths go to Python, or for vectors the sentences themselves, and only the chunks' sizes come back.
+
+    Vectors take some twenty times the room of their sentences, so none leave the worker:
+    they are made as the fold asks for them, a document at a time.
+    """
     lengths = F.transform(parts, F.length)
     kind = "array<struct<first:int,n:int>>"
 
@@ -65,10 +74,14 @@ def _fold(parts: str, vectors: str | None, p: Packing) -> Column:
         return pa.array([placed(_bounds(own or [], None, p)) for own in sizes.to_pylist()], made)
 
     @F.arrow_udf(kind)
-    def by_meaning(sizes: pa.Array, vectors: pa.Array) -> pa.Array:
-        return pa.array([placed(_bounds(own or [], v or [], p)) for own, v in zip(sizes.to_pylist(), vectors.to_pylist())], made)
-
-    bounds = by_length(lengths) if vectors is None else by_meaning(lengths, F.col(vectors))
+    def by_meaning(sentences: pa.Array) -> pa.Array:
+        out = []
+        for document in sentences:
+            own = document.values.to_pylist() if document.is_valid else []
+            out.append(placed(_bounds([*map(len, own)], stream(own), p)))
+        return pa.array(out, made)
+
+    bounds = by_length(lengths) if stream is None else by_meaning(F.col(parts))
     return F.transform(bounds, lambda b: F.array_join(F.slice(F.col(parts), b["first"], b["n"]), " "))
 
 
@@ -80,11 +93,10 @@ def pack_by_length(df: DataFrame, text: str = "content", p: Packing = Packing(),
 
 
 def pack_by_meaning(df: DataFrame, embed, text: str = "content", p: Packing = Packing(), name: str = "chunks") -> DataFrame:
-    """V8: ``embed`` turns an array of sentences into an array of vectors (a column function of a provider)."""
+    """V8: ``embed`` is ``providers.embed_arrays`` of a provider; its vectors are made as they are packed."""
     p = p.clamped()
     staged = df.withColumn("_s", X.sentences(X.strip(F.coalesce(F.col(text), F.lit(""))), p.max_chars))
-    staged = staged.withColumn("_v", embed(F.col("_s")))
-    return staged.withColumn(name, _fold("_s", "_v", p)).drop("_s", "_v")
+    return staged.withColumn(name, _fold("_s", embed.stream, p)).drop("_s")
 
 
 def records(df: DataFrame, chunks: str = "chunks") -> DataFrame:

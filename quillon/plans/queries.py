@@ -207,6 +207,7 @@ SELECT doc_id, format('{{}}_{{:03d}}', doc_id, i) AS chunk_id, i::INT AS chunk_i
 FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM packed)""")
 def pack_chunks_vec(spark: SparkSession, d: str) -> DataFrame:
     """V8, V7 with the stand-in's vectors, V9."""
+    files.small_batches(spark)
     docs = texts(spark, d)
     packed = chunks.pack_by_meaning(docs, providers.embed_arrays(providers.HashingEmbedder()), "text")
     return chunks.records(packed.drop("text").withColumn("article_number", F.col("doc_id").cast("string"))).select("doc_id", "chunk_id", "chunk_index", "chunk_count", "content")

@@ -7,11 +7,12 @@ picklable; ``remote`` has clients for HTTP endpoints.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import random
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -45,6 +46,16 @@ class RateLimited(RuntimeError):
         self.retry_after = retry_after
 
 
+@functools.lru_cache(1 << 16)
+def _short_place(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % WIDTH
+
+
+def _place(word: str) -> int:
+    """Where a word counts; those of usual lengths are remembered, up to a number."""
+    return _short_place(word) if len(word) <= 32 else _short_place.__wrapped__(word)
+
+
 class HashingEmbedder:
     """Stand-in: each lower-cased word counts in one of 64 places, scaled to length 1 (``stub_vector`` is the same in columns)."""
 
@@ -54,7 +65,7 @@ class HashingEmbedder:
             v = [0.0] * WIDTH
             for word in text.lower().split(" "):
                 if word:
-                    v[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % WIDTH] += 1
+                    v[_place(word)] += 1
             n = sum(x * x for x in v) ** 0.5
             out.append([x / n for x in v] if n else v)
         return out
@@ -148,18 +159,20 @@ def embed_column(df: DataFrame, provider: Embedder, text: str = "content", size:
 
 
 def embed_arrays(provider: Embedder, size: int = 16, retries: int = 5) -> Callable[[Column], Column]:
-    """Column function: vectors of an array of sentences, for packing by meaning."""
+    """Column function: vectors of an array of sentences; its ``stream`` yields them one by one, asking for ``size`` at a time, for packing by meaning."""
+
+    def stream(sentences: Sequence[str]) -> Iterator[list[float]]:
+        for k in range(0, len(sentences), max(1, size)):
+            for v, error in embed_batch(provider, sentences[k : k + max(1, size)], size, retries):
+                if error:
+                    raise RuntimeError(error)
+                yield v
 
     @F.arrow_udf("array<array<double>>")
     def embedded(batch: pa.Array) -> pa.Array:
-        out = []
-        for sentences in batch.to_pylist():
-            got = embed_batch(provider, sentences or [], size, retries)
-            if any(e for _, e in got):
-                raise RuntimeError(next(e for _, e in got if e))
-            out.append([v for v, _ in got])
-        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+        return pa.array([list(stream(sentences or [])) for sentences in batch.to_pylist()], pa.list_(pa.list_(pa.float64())))
 
+    embedded.stream = stream
     return embedded
 
 
