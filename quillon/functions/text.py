@@ -140,9 +140,12 @@ def is_footnote(c) -> Column:
     line = _col(c)
     number = F.expr("null")
     number = F.coalesce(_first(line, f"^{P.S}(\\d+){P.S}{P.DASH}").try_cast("long"), F.lit(10**9))
-    body = strip(_drop(line, P.NOTE_LINE + P.S))
-    cited = _like(body, P.NOTE_OPENING) | _like(body, P.NOTE_ANYWHERE)
-    verdict = F.when(number >= 30, True).when(body == "", False).when(_like(body, P.NOTE_ORDINARY), False).when(cited, True).otherwise(F.length(body) > 120)
+
+    def reads_so(body: Column) -> Column:
+        cited = _like(body, P.NOTE_OPENING) | _like(body, P.NOTE_ANYWHERE)
+        return F.when(body == "", False).when(_like(body, P.NOTE_ORDINARY), False).when(cited, True).otherwise(F.length(body) > 120)
+
+    verdict = F.when(number >= 30, True).otherwise(_once(strip(_drop(line, P.NOTE_LINE + P.S)), reads_so))
     return F.when(_like(line, P.NOTE_LINE + ".*$"), verdict).otherwise(False)
 
 
