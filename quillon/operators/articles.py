@@ -27,6 +27,7 @@ _QUOTED = P.python(P.QUOTED_BEFORE)
 _RESTART = [P.python(P.IN_ADDITION), P.python(P.PAREN_NOTE_NEAR, re.DOTALL)]
 _GLUED = P.python(P.GLUED_CHAPTER)
 _PLAIN = P.python(f"\\d+{P.QUALIFIER}?")
+_BREAKS, _SPACES = re.compile("(?:\r?\n)+"), re.compile("\t[ \t]*| [ \t]+")
 _QUALIFIED = P.python(P.QUALIFIER + P.B)
 
 
@@ -81,7 +82,7 @@ def _restarted(text: str, start: int, raw: str, previous: int | None) -> bool:
 def articles_of(rows: list[tuple]) -> list[dict]:
     """The articles of one document, in order."""
     text, pages, events = structure(rows)
-    starts = [p[0] for p in pages]
+    starts, places = [p[0] for p in pages], [e[0] for e in events]
     page_at = lambda offset: pages[max(0, bisect_right(starts, offset) - 1)][1] if pages else 1
     matches = list(_ARTICLE.finditer(text))
     now = dict.fromkeys(LEVELS, "")
@@ -98,7 +99,8 @@ def articles_of(rows: list[tuple]) -> list[dict]:
             continue
         number, base = N.article_number(raw, previous)
         stop = next((n.start() for n in matches[i + 1 : i + 2]), len(text))
-        stop = next((e[0] for e in events[k:] if m.end() < e[0] < stop), stop)
+        within = bisect_right(places, m.end(), k)  # not by a walk: a document may have as many events as articles
+        stop = min(stop, places[within]) if within < len(places) else stop
         body = text[m.end() : stop]
         mark = N.suffix(body)
         if mark is not None and base is not None and previous == base and number.isdigit():
@@ -108,7 +110,7 @@ def articles_of(rows: list[tuple]) -> list[dict]:
         if label is not None and _PLAIN.fullmatch(number):
             number = f"{number} {label}"
         number = N.compound(number)
-        content = re.sub("[ \t]+", " ", re.sub("(?:\r?\n)+", " ", content)).strip()
+        content = _SPACES.sub(" ", _BREAKS.sub(" ", content)).strip()
         if not content:
             continue
         first, last = page_at(m.start()), page_at(max(stop - 1, m.start()))
